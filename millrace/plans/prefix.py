@@ -16,15 +16,22 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.frames import col
+from millrace.plans.frames import col, is_temporal
 
 ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 8_192
 
 
-def range_boundaries(df: DataFrame, order: Column, buckets: int | None = None) -> list[float]:
+def order_number(df: DataFrame, order: str) -> Column:
+    """The order column as a double that sorts alike (times through their epoch seconds)."""
+    if is_temporal(df.schema[order].dataType):
+        return col(order).cast("timestamp").cast("double")
+    return col(order).cast("double")
+
+
+def range_boundaries(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
     """Sorted distinct cut points that split ``order`` into buckets of similar row count."""
-    number = order.cast("double")
+    number = order_number(df, order)
     if buckets is None:
         rows = df.agg(F.count(number)).first()[0]
         buckets = min(MAX_BUCKETS, rows // ROWS_PER_BUCKET + 1)
@@ -41,7 +48,7 @@ def with_bucket(df: DataFrame, order: str, cuts: Sequence[float], out: str = "bu
     if not cuts:
         return df.withColumn(out, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
-    keyed = df.withColumn("_order_double", col(order).cast("double"))
+    keyed = df.withColumn("_order_double", order_number(df, order))
     cutter = Bucketizer(splits=splits, inputCol="_order_double", outputCol=out, handleInvalid="keep")
     return cutter.transform(keyed).drop("_order_double")
 
@@ -59,12 +66,12 @@ def running_totals(
 
     ``sums`` are summed per distinct value first. ``cum_`` is the total up to and including
     the value in ascending order, ``all_`` the total of the whole group. NULL order values
-    take no part. ``order`` must cast to double without changing its sort order.
+    take no part. ``order`` is a number, date or timestamp column.
     """
     by = list(by)
     df = df.where(col(order).isNotNull())
     if cuts is None:
-        cuts = range_boundaries(df, col(order), buckets)
+        cuts = range_boundaries(df, order, buckets)
     counted = df.groupBy(*by, order).agg(*[F.sum(col(s)).alias(s) for s in sums])
     cut = with_bucket(counted, order, cuts)
 
@@ -102,28 +109,36 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(renamed, condition).drop(*[f"_k_{k}" for k in keys])
 
 
-def row_positions(df: DataFrame, order: str, tie: Sequence[str] = (), cuts: Sequence[float] | None = None) -> DataFrame:
-    """Add ``position`` (1-based rank in ``order``, ties broken by ``tie``) and ``total``.
+def row_positions(
+    df: DataFrame,
+    order: str,
+    tie: Sequence[str] = (),
+    by: Sequence[str] = (),
+    cuts: Sequence[float] | None = None,
+) -> DataFrame:
+    """Add ``position`` (1-based rank in ``order`` within ``by``, ties broken by ``tie``) and ``total``.
 
-    The order column should be near-unique (a time or key column): rows of one value stay
-    in one bucket.
+    A group is ranked through range buckets of the order column, so a hot group is spread
+    over many tasks; only rows of one and the same order value stay together.
     """
+    by = list(by)
     df = df.where(col(order).isNotNull())
     if cuts is None:
-        cuts = range_boundaries(df, col(order))
+        cuts = range_boundaries(df, order)
     cut = with_bucket(df, order, cuts)
-    totals = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
-    everything = Window.partitionBy(F.lit(0))
-    before = everything.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        F.col("bucket").alias("_bucket"),
+        *by,
+        "bucket",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(everything).alias("total"),
+        F.sum("_n").over(group).alias("total"),
     )
-    inside = Window.partitionBy("bucket").orderBy(order, *tie)
+    inside = Window.partitionBy(*by, "bucket").orderBy(order, *tie)
+    ranked = cut.withColumn("_row", F.row_number().over(inside))
     return (
-        cut.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, F.col("bucket") == F.col("_bucket"))
+        _join_null_safe(ranked, offsets, [*by, "bucket"])
         .withColumn("position", F.col("_row") + F.col("_offset"))
-        .drop("_row", "_offset", "_bucket", "bucket")
+        .drop("_row", "_offset", "bucket")
     )

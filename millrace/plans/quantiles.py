@@ -37,6 +37,12 @@ def quantiles(
     return out
 
 
+def _place(prob: float, size: int) -> float:
+    """0-based fractional rank, snapped to a whole rank when rounding noise is all that is left."""
+    place = prob * (size - 1)
+    return float(round(place)) if abs(place - round(place)) < 1e-6 else place
+
+
 def _chunk(df, cols, probs, approx, direct_rows):
     margin = 2.0 / ACCURACY
     brackets = [b for p in probs for b in (max(0.0, p - margin), min(1.0, p + margin))]
@@ -89,7 +95,7 @@ def _refine(df, cols, probs, sizes, found):
 
     targets = []
     for i, (c, j) in enumerate(keys):
-        place = probs[j] * (sizes[c] - 1)
+        place = _place(probs[j], sizes[c])
         lo, hi = math.floor(place), math.ceil(place)
         targets.append((i, place - lo, lo - below[(c, j)], hi - below[(c, j)]))
     lows = F.create_map(*[F.lit(x) for i, _, lo, _ in targets for x in (i, lo)])
@@ -124,7 +130,7 @@ def _full(df, c, probs, size):
     first = F.col("cum_n") - F.col("n")
     out = []
     for p in probs:
-        place = p * (size - 1)
+        place = _place(p, size)
         lo, hi = math.floor(place), math.ceil(place)
         row = ranked.agg(
             F.max(F.when((first <= lo) & (lo < F.col("cum_n")), F.col("v"))),
