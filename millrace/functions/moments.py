@@ -42,6 +42,11 @@ def adjust_kurtosis(n: int, g2: float | None) -> float | None:
 
 
 def clean_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation, NULL in place of NaN when a side does not vary."""
-    r = F.corr(a, b)
+    """Pairwise-complete Pearson correlation, NULL when a side does not vary.
+
+    Written over covariance and deviations because ``corr`` raises on a constant column in
+    ANSI mode.
+    """
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
     return F.when(~F.isnan(r), r)
