@@ -63,6 +63,7 @@ def clean(
     for p in found.values():
         log.add("schema_inference", f"inferred {p.inferred_type}", column=p.name, reason=f"missing={p.missing_rate:.2%}")
     typed = schema.apply_types(nan_to_null(df), found).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [typed]
     try:
         result = CleanResult(typed, found, target, log)
         if target:
@@ -81,7 +82,9 @@ def clean(
         features = {c: p for c, p in kept.items() if c not in key}
         result.encoding = encode.fit_encoding(capped, features, target, log)
         fold = encode.fold_of(F.struct(*[col(k) for k in key]))
-        encoded = encode.encode_training(capped, result.encoding, target, fold)
+        # encoding joins category tables; scaling and selection read the outcome several times
+        encoded = encode.encode_training(capped, result.encoding, target, fold).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(encoded)
         binary = {n for c in result.encoding.methods for n in result.encoding.new_columns(c) if result.encoding.methods[c]["method"] in ("onehot", "boolean", "ordinal", "frequency", "target_kfold")}
         skip = {*key, *binary, *([target] if target else [])}
         numeric = [c for c in encoded.columns if c not in skip and encoded.schema[c].dataType.simpleString() in ("double", "float", "int", "bigint", "smallint")]
@@ -107,7 +110,8 @@ def clean(
             result.reports["drift"] = detect_drift(typed, fresh, found)
         return result
     finally:
-        typed.unpersist()
+        for frame in held:
+            frame.unpersist()
 
 
 def save_result(result: CleanResult, path: str) -> None:

@@ -40,16 +40,17 @@ ORDINAL_SCALES = (
     ("cold", "warm", "hot"),
     ("mild", "moderate", "severe"),
 )
+# Each format with the shape a text must have before it is parsed.
 DATETIME_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "dd-MM-yyyy",
-    "dd.MM.yyyy",
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss.SSSSSS", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"),
 )
 CONVERSION_RATE = 0.80
 TEXT_LENGTH = 50
@@ -84,11 +85,12 @@ Schema = dict[str, ColumnProfile]
 
 def as_number(text: Column) -> Column:
     """Double behind a text such as ``1,234.5``; NULL when it is none."""
-    return F.regexp_replace(text, ",", "").try_cast("double")
+    return F.translate(text, ",", "").try_cast("double")
 
 
 def as_timestamp(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATETIME_FORMATS])
+    """First format that fits. A failed parse costs a Java exception, so the shape is tested first."""
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in DATETIME_FORMATS])
 
 
 def conversion_rates(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -45,10 +46,23 @@ def prepare_unsupervised(df: DataFrame, key: str, minimum: float = MIN_VARIANCE)
     return model.transform(keyed).select(key, "features"), kept
 
 
-def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (0, 1, 2)):
+SEEDS = (0, 1, 2)
+
+
+def kmeans_runs(df: DataFrame, k: int, seeds: Sequence[int] = SEEDS) -> list:
+    """One k-means model per seed; driver threads submit the fits side by side."""
+    fit = lambda s: KMeans(k=k, seed=s, maxIter=100, predictionCol=f"run{s}").fit(df)
+    with ThreadPoolExecutor(len(seeds)) as pool:
+        return list(pool.map(fit, seeds))
+
+
+def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = SEEDS):
     """Best of several starts by training cost."""
-    fits = [KMeans(k=k, seed=s, maxIter=100).fit(df) for s in seeds]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    return _best(kmeans_runs(df, k, seeds))
+
+
+def _best(runs: Sequence):
+    return min(runs, key=lambda m: m.summary.trainingCost).copy().setPredictionCol("prediction")
 
 
 def fit_bisecting(df: DataFrame, k: int, seed: int = 42):
@@ -62,31 +76,31 @@ def fit_gmm(df: DataFrame, k: int, seed: int = 42):
 ALGORITHMS = {"KMeans": fit_kmeans, "Bisecting KMeans": fit_bisecting, "Gaussian Mixture": fit_gmm}
 
 
-def stability(df: DataFrame, k: int, key: str, seeds: Sequence[int] = (0, 1, 2)) -> float:
+def stability(df: DataFrame, runs: Sequence) -> float:
     """Mean adjusted Rand index between k-means runs of different seeds."""
-    runs = df.select(key, "features")
-    for s in seeds:
-        model = KMeans(k=k, seed=s, maxIter=100, predictionCol=f"run{s}").fit(df)
-        runs = model.transform(runs)
-    pairs = list(combinations(seeds, 2))
-    return sum(quality.ari(runs, f"run{a}", f"run{b}").first()[0] for a, b in pairs) / len(pairs)
+    for model in runs:
+        df = model.transform(df)
+    pairs = list(combinations([m.getPredictionCol() for m in runs], 2))
+    return sum(quality.ari(df, a, b).first()[0] for a, b in pairs) / len(pairs)
 
 
-def k_sweep(df: DataFrame, key: str, k_min: int = 2, k_max: int = 10, algorithms: Sequence[str] | None = None) -> DataFrame:
-    """Every algorithm and k, best score first. ``df`` is (key, features) and should be cached."""
+def k_sweep(df: DataFrame, k_min: int = 2, k_max: int = 10, algorithms: Sequence[str] | None = None) -> DataFrame:
+    """Every algorithm and k, best score first. ``df`` holds ``features`` and should be cached."""
     k_max = min(k_max, df.count() // 3, MAX_K)
     rows = []
     for name in algorithms or ALGORITHMS:
         for k in range(k_min, k_max + 1):
             try:
-                labelled = ALGORITHMS[name](df, k).transform(df).select("features", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+                runs = kmeans_runs(df, k) if name == "KMeans" else []
+                model = _best(runs) if runs else ALGORITHMS[name](df, k)
+                labelled = model.transform(df).select("features", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
                 try:
                     sil = quality.silhouette(labelled)
                     db = quality.davies_bouldin(labelled).first()[0]
                     ch = quality.calinski_harabasz(labelled).first()[0]
                 finally:
                     labelled.unpersist()
-                steady = stability(df, k, key) if name == "KMeans" else None
+                steady = stability(df, runs) if runs else None
                 rows.append((name, k, sil, db, ch, steady, quality.cluster_score(sil, db), None))
             except Exception as error:  # noqa: BLE001 - one bad fit must not end the sweep
                 rows.append((name, k, None, None, None, None, None, str(error)[:500]))
@@ -130,7 +144,7 @@ def run_unsupervised(
     try:
         width = len(matrix.first()["features"])
         _, explained = pca(matrix, min(2, width))
-        sweep = k_sweep(matrix, key, k_min, k_max, algorithms)
+        sweep = k_sweep(matrix, k_min, k_max, algorithms)
         top = sweep.where("score IS NOT NULL").first()
         name, k, score = top["algorithm"], top["k"], top["score"]
         labels = ALGORITHMS[name](matrix, k).transform(matrix).select(col(key).alias("id"), F.col("prediction").cast("bigint").alias("cluster"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.moments import clean_corr
-from millrace.plans.frames import col, is_numeric, numeric_columns, one_row, small_frame, stats_row, to_long
+from millrace.plans.frames import col, is_temporal, numeric_columns, one_row, small_frame, stats_row, to_long
 from millrace.plans.quantiles import quantiles
 from millrace.operators.profile import value_counts
 
@@ -225,22 +226,29 @@ class Filter:
     value: object = None
     high: object = None
 
-    def predicate(self) -> Column:
-        c = col(self.column)
+    def predicate(self, df: DataFrame) -> Column:
+        c, kind = col(self.column), df.schema[self.column].dataType
+
+        def typed(value: object) -> Column:
+            # times go through text: a Python datetime would be read in the driver's zone
+            if is_temporal(kind) and isinstance(value, date):
+                return F.lit(str(value)).cast(kind)
+            return F.lit(value)
+
         if self.kind == "range":
-            return c.between(F.lit(self.value), F.lit(self.high))
+            return c.between(typed(self.value), typed(self.high))
         if self.kind == "equals":
-            return c == F.lit(self.value)
+            return c == typed(self.value)
         if self.kind == "among":
-            return c.isin(list(self.value))
+            return c.isin([typed(v) for v in self.value])
         if self.kind == "at_most":
-            return c <= F.lit(self.value)
+            return c <= typed(self.value)
         raise ValueError(f"unknown filter kind {self.kind!r}")
 
 
 def apply_filters(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     for f in filters:
-        df = df.where(f.predicate())
+        df = df.where(f.predicate(df))
     return df
 
 

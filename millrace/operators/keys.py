@@ -15,28 +15,32 @@ SKETCH_ERROR = 0.02
 SKETCH_SLACK = 0.10
 
 
-def _as_text(cols: Sequence[str]):
-    return F.to_json(F.array(*[col(c).cast("string") for c in cols]), {"ignoreNullFields": "false"})
-
-
 def distinct_counts(df: DataFrame, groups: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-    """Exact distinct counts (NULL is a value) of several column groups in one shuffle."""
+    """Exact distinct counts (NULL is a value) of several column groups in one shuffle.
+
+    Grouping sets keep the columns typed and drop repeated keys on the map side.
+    """
     if not groups:
         return {}
-    tagged = [F.struct(F.lit(i).alias("g"), _as_text(g).alias("k")) for i, g in enumerate(groups)]
+    cols = sorted({c for g in groups for c in g})
+    place = {c: len(cols) - 1 - i for i, c in enumerate(cols)}
+    # grouping_id sets the bit of every column that a set leaves out
+    mask = {sum(1 << place[c] for c in cols if c not in g): g for g in groups}
+    sets = [[col(c) for c in g] for g in groups]
     rows = (
-        df.select(F.inline(F.array(*tagged)))
-        .distinct()
-        .groupBy("g")
+        df.select(*[col(c) for c in cols])
+        .groupingSets(sets, *[col(c) for c in cols])
+        .agg(F.grouping_id().alias("_set"))
+        .groupBy("_set")
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()  # one row per column group
     )
-    found = {r["g"]: r["n"] for r in rows}
-    return {g: found.get(i, 0) for i, g in enumerate(groups)}
+    found = {mask[r["_set"]]: r["n"] for r in rows}
+    return {g: found.get(g, 0) for g in groups}
 
 
 def _sketches(df: DataFrame, groups: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-    return stats_row(df, {g: F.approx_count_distinct(_as_text(g), SKETCH_ERROR) for g in groups})
+    return stats_row(df, {g: F.approx_count_distinct(F.struct(*[col(c) for c in g]), SKETCH_ERROR) for g in groups})
 
 
 def candidate_keys(df: DataFrame, max_width: int = 2, cols: Sequence[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.plans.frames import AGG_CHUNK, col, is_numeric, is_orderable, long_values, to_long
+from millrace.plans.frames import AGG_CHUNK, col, is_numeric, is_orderable, is_temporal, long_values, to_long
 
 PROFILE_TYPE = (
     "column string, type string, ordinal int, row_count bigint, null_count bigint, min string, max string, "
@@ -16,12 +16,22 @@ PROFILE_TYPE = (
 )
 
 
+def _chunks(df: DataFrame, cols: Sequence[str]) -> list[list[str]]:
+    """Column groups aggregated together: fixed-width and variable-width apart, 20 at most.
+
+    One text column would push the whole aggregate off the generated hash path; the groups
+    read disjoint columns, so splitting costs no extra input.
+    """
+    step = AGG_CHUNK // 5
+    fixed = [c for c in cols if is_numeric(df.schema[c].dataType) or is_temporal(df.schema[c].dataType)]
+    groups = (fixed, [c for c in cols if c not in fixed])
+    return [g[i : i + step] for g in groups for i in range(0, len(g), step)]
+
+
 def _first_pass(df: DataFrame, cols: Sequence[str], approx: bool) -> DataFrame:
     parts = []
-    step = AGG_CHUNK // 5
     names = list(df.columns)
-    for start in range(0, len(cols), step):
-        chunk = list(cols[start : start + step])
+    for chunk in _chunks(df, cols):
         aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(chunk):
             dtype = df.schema[c].dataType
@@ -59,24 +69,42 @@ def _first_pass(df: DataFrame, cols: Sequence[str], approx: bool) -> DataFrame:
     return out
 
 
-def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, n) for every distinct non-null value, values as text."""
+MAX_BRANCHES = 64
+
+
+def value_counts(df: DataFrame, cols: Sequence[str] | None = None, stored: bool = False) -> DataFrame:
+    """(column, value, n) for every distinct non-null value, values as text.
+
+    One pass over ``df`` by default. With ``stored`` (a table or cached frame, cheap to read
+    column by column) each column is counted in its own type in its own branch and only the
+    distinct values become text.
+    """
     cols = list(cols or df.columns)
-    return long_values(df, cols).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)).alias("n")
+    if not stored or len(cols) > MAX_BRANCHES:
+        return long_values(df, cols).where("value IS NOT NULL").groupBy("column", "value").agg(n)
+    out = None
+    for c in cols:
+        part = df.where(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(n)
+        part = part.select(F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def profile(df: DataFrame, table: str | None = None, approx: bool = False, cols: Sequence[str] | None = None) -> DataFrame:
+def profile(
+    df: DataFrame, table: str | None = None, approx: bool = False, cols: Sequence[str] | None = None, stored: bool = False
+) -> DataFrame:
     """One row per column: counts, null and distinct shares, min / max as text, mean, quality.
 
     ``approx`` replaces the exact distinct counts (a shuffle of the distinct values of every
-    column) by HyperLogLog in the first pass.
+    column) by HyperLogLog in the first pass; ``stored`` is passed to :func:`value_counts`.
     """
     cols = list(cols or df.columns)
     base = _first_pass(df, cols, approx)
     if approx:
         stats = base.withColumn("distinct_count", F.col("approx_distinct"))
     else:
-        distinct = value_counts(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+        distinct = value_counts(df, cols, stored).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
         stats = base.join(F.broadcast(distinct), "column", "left").withColumn(
             "distinct_count", F.coalesce("distinct_count", F.lit(0))
         )
@@ -108,7 +136,7 @@ def column_quality(null_pct):
 def profile_tables(tables: dict[str, DataFrame], approx: bool = False) -> DataFrame:
     out = None
     for name, df in tables.items():
-        part = profile(df, name, approx)
+        part = profile(df, name, approx, stored=True)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -121,16 +149,16 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def sample_values(df: DataFrame, n: int = 5, cols: Sequence[str] | None = None) -> DataFrame:
+def sample_values(df: DataFrame, n: int = 5, cols: Sequence[str] | None = None, stored: bool = False) -> DataFrame:
     """The ``n`` smallest distinct non-null values of each column, as text."""
     rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    return value_counts(df, cols).select("column", "value", rank.alias("rank")).where(F.col("rank") <= n)
+    return value_counts(df, cols, stored).select("column", "value", rank.alias("rank")).where(F.col("rank") <= n)
 
 
-def top_values(df: DataFrame, k: int = 5, cols: Sequence[str] | None = None) -> DataFrame:
+def top_values(df: DataFrame, k: int = 5, cols: Sequence[str] | None = None, stored: bool = False) -> DataFrame:
     """The ``k`` most common non-null values of each column; ties by value."""
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
-    return value_counts(df, cols).select("column", "value", "n", rank.alias("rank")).where(F.col("rank") <= k)
+    return value_counts(df, cols, stored).select("column", "value", "n", rank.alias("rank")).where(F.col("rank") <= k)
 
 
 def quality_scores(profiles: DataFrame) -> DataFrame:

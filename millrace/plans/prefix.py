@@ -20,6 +20,7 @@ from millrace.plans.frames import col, is_temporal
 
 ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 8_192
+FIRST_BUCKETS = 64
 
 
 def order_number(df: DataFrame, order: str) -> Column:
@@ -32,15 +33,19 @@ def order_number(df: DataFrame, order: str) -> Column:
 def range_boundaries(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
     """Sorted distinct cut points that split ``order`` into buckets of similar row count."""
     number = order_number(df, order)
+    # one pass finds the row count and enough cut points for most tables
+    probs = [i / FIRST_BUCKETS for i in range(1, FIRST_BUCKETS)]
+    rows, cuts = df.agg(F.count(number), F.percentile_approx(number, probs, 10_000)).first()
     if buckets is None:
-        rows = df.agg(F.count(number)).first()[0]
         buckets = min(MAX_BUCKETS, rows // ROWS_PER_BUCKET + 1)
-    if buckets <= 1:
+    if buckets <= 1 or not cuts:
         return []
-    probs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 4 * buckets)
-    cuts = df.agg(F.percentile_approx(number, probs, accuracy)).first()[0]
-    return sorted(set(cuts or []))
+    if buckets <= FIRST_BUCKETS:
+        cuts = [cuts[round(i * FIRST_BUCKETS / buckets) - 1] for i in range(1, buckets)]
+    else:
+        probs = [i / buckets for i in range(1, buckets)]
+        cuts = df.agg(F.percentile_approx(number, probs, 4 * buckets)).first()[0]
+    return sorted(set(cuts))
 
 
 def with_bucket(df: DataFrame, order: str, cuts: Sequence[float], out: str = "bucket") -> DataFrame:

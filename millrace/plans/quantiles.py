@@ -11,13 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.frames import AGG_CHUNK, col
 from millrace.plans.prefix import running_totals
 
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 50_000
 ACCURACY = 10_000
 
 
@@ -69,58 +70,71 @@ def _chunk(df, cols, probs, approx, direct_rows):
     return out
 
 
+def _merge(brackets: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Disjoint intervals covering the brackets, in order."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _refine(df, cols, probs, sizes, found):
-    windows = {
-        (c, j): (found[c][2 * j], found[c][2 * j + 1]) for c in cols for j in range(len(probs))
-    }
-    keys = list(windows)
-    below_row = df.agg(
-        *[
-            F.count_if(col(c).cast("double") < F.lit(windows[(c, j)][0])).alias(f"b{i}")
-            for i, (c, j) in enumerate(keys)
+    """Second pass: values inside the brackets by value, everything between them as plain counts.
+
+    A column with intervals 0..m-1 gets the codes 0..2m: even codes are the gaps, odd ones the
+    intervals. Gap rows lose their value, so the map side folds them into one row each.
+    """
+    span = 2 * len(probs) + 1
+    intervals = {c: _merge([(found[c][2 * j], found[c][2 * j + 1]) for j in range(len(probs))]) for c in cols}
+    records = []
+    for i, c in enumerate(cols):
+        x, base = col(c).cast("double"), i * span
+        code = None
+        for m, (lo, hi) in enumerate(intervals[c]):
+            code = F.when(x < F.lit(lo), base + 2 * m) if code is None else code.when(x < F.lit(lo), base + 2 * m)
+            code = code.when(x <= F.lit(hi), base + 2 * m + 1)
+        code = F.when(x.isNotNull(), code.otherwise(base + 2 * len(intervals[c])))
+        records.append(F.struct(code.alias("code"), x.alias("v")))
+    inside = F.col("code") % span % 2 == 1
+    tagged = df.select(F.inline(F.array(*records))).where("code IS NOT NULL")
+    counted = (
+        tagged.select("code", F.when(inside, F.col("v")).alias("v")).groupBy("code", "v").agg(F.count(F.lit(1)).alias("n"))
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        totals = {r["code"]: r["n"] for r in counted.groupBy("code").agg(F.sum("n").alias("n")).collect()}  # row per interval
+        ranked = running_totals(counted.where(inside), "v", ["n"], by=["code"])
+        first = F.col("cum_n") - F.col("n")  # 0-based rank of the first copy inside the interval
+        wanted = []
+        for i, c in enumerate(cols):
+            for j, p in enumerate(probs):
+                place = _place(p, sizes[c])
+                for side, rank in (("lo", math.floor(place)), ("hi", math.ceil(place))):
+                    below = 0
+                    for m in range(len(intervals[c])):
+                        below += totals.get(i * span + 2 * m, 0)
+                        here = totals.get(i * span + 2 * m + 1, 0)
+                        if below <= rank < below + here:
+                            wanted.append((i, j, side, i * span + 2 * m + 1, rank - below))
+                            break
+                        below += here
+        hits = [
+            F.max(F.when((F.col("code") == code) & (first <= rank) & (rank < F.col("cum_n")), F.col("v"))).alias(f"h{k}")
+            for k, (_, _, _, code, rank) in enumerate(wanted)
         ]
-    ).first()
-    below = {k: below_row[i] for i, k in enumerate(keys)}
-    # one narrow projection tags every value with the brackets it falls in; other values vanish
-    tags = [
-        F.when(
-            col(c).cast("double").between(F.lit(windows[(c, j)][0]), F.lit(windows[(c, j)][1])),
-            F.struct(F.lit(i).alias("slot"), col(c).cast("double").alias("v")),
-        )
-        for i, (c, j) in enumerate(keys)
-    ]
-    inside = df.select(F.inline(F.filter(F.array(*tags), lambda t: t.isNotNull())))
-    inside = inside.withColumn("n", F.lit(1).cast("bigint"))
-    ranked = running_totals(inside, "v", ["n"], by=["slot"])
-
-    targets = []
-    for i, (c, j) in enumerate(keys):
-        place = _place(probs[j], sizes[c])
-        lo, hi = math.floor(place), math.ceil(place)
-        targets.append((i, place - lo, lo - below[(c, j)], hi - below[(c, j)]))
-    lows = F.create_map(*[F.lit(x) for i, _, lo, _ in targets for x in (i, lo)])
-    highs = F.create_map(*[F.lit(x) for i, _, _, hi in targets for x in (i, hi)])
-    first = F.col("cum_n") - F.col("n")  # 0-based rank of the first copy inside the bracket
-    picked = (
-        ranked.groupBy("slot")
-        .agg(
-            F.max(F.when((first <= lows[F.col("slot")]) & (lows[F.col("slot")] < F.col("cum_n")), F.col("v"))).alias("lo"),
-            F.max(F.when((first <= highs[F.col("slot")]) & (highs[F.col("slot")] < F.col("cum_n")), F.col("v"))).alias("hi"),
-        )
-        .collect()  # one row per column and probability
-    )
-    values = {r["slot"]: (r["lo"], r["hi"]) for r in picked}
-    out = {c: [None] * len(probs) for c in cols}
-    missed = set()
-    for i, fraction, _, _ in targets:
-        c, j = keys[i]
-        lo, hi = values.get(i, (None, None))
-        if lo is None or hi is None:
-            missed.add(c)
-            continue
-        out[c][j] = lo + (hi - lo) * fraction
-    for c in missed:  # a bracket missed its rank: rank the whole column instead
-        out[c] = _full(df, c, probs, sizes[c])
+        row = ranked.agg(*hits).first() if hits else []
+    finally:
+        counted.unpersist()
+    values = {w[:3]: row[k] for k, w in enumerate(wanted)}
+    out = {}
+    for i, c in enumerate(cols):
+        ends = [(values.get((i, j, "lo")), values.get((i, j, "hi")), _place(p, sizes[c])) for j, p in enumerate(probs)]
+        if any(lo is None or hi is None for lo, hi, _ in ends):  # a bracket missed its rank
+            out[c] = _full(df, c, probs, sizes[c])
+        else:
+            out[c] = [lo + (hi - lo) * (place - math.floor(place)) for lo, hi, place in ends]
     return out
 
 

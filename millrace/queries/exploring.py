@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from millrace.operators import anomalies as an
 from millrace.operators import explore as ex
 from millrace.operators import forecast as fc
-from millrace.operators.sql import run_sql
 from millrace.queries.profiling import COLUMNS, HOLED, holed
 from millrace.queries.registry import query
 
@@ -264,7 +263,7 @@ def e20_filters(t):
         ex.Filter("event_type", "among", ("click", "view")),
         ex.Filter("value", "at_most", 120),
     ]
-    return ex.apply_filters(t.events.withColumn("ts", F.col("ts").cast("timestamp")), filters).select("event_id", "value")
+    return ex.apply_filters(t.events, filters).select("event_id", "value")
 
 
 @query("e20_filter_options", "SELECT DISTINCT event_type AS option FROM events")

@@ -97,7 +97,7 @@ def d1_row_counts(t):
 
 @query("d2_column_profile", profile_sql("lineitem"))
 def d2_column_profile(t):
-    return pf.profile(t.lineitem, "lineitem")
+    return pf.profile(t.lineitem, "lineitem", stored=True)
 
 
 @query("d2_profile_with_gaps", HOLED_PROFILE)
@@ -133,7 +133,7 @@ def _counts_sql(table):
         FROM ({_counts_sql('customer')}) c) r WHERE rank <= 5""",
 )
 def d5_sample_values(t):
-    return pf.sample_values(t.customer, 5)
+    return pf.sample_values(t.customer, 5, stored=True)
 
 
 def _top_sql(table, k):
@@ -143,7 +143,7 @@ def _top_sql(table, k):
 
 @query("d6_top_values", _top_sql("orders", 5))
 def d6_top_values(t):
-    return pf.top_values(t.orders, 5)
+    return pf.top_values(t.orders, 5, stored=True)
 
 
 BOTH = f"({profile_sql('lineitem', HOLED)} UNION ALL {profile_sql('orders')} UNION ALL {profile_sql('customer')})"

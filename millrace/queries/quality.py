@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from millrace.operators.clean import schema
@@ -96,7 +94,7 @@ CUT = "TIMESTAMP '2024-01-16 00:00:00'"
 
 
 def halves(t):
-    early = F.col("ts") < F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz")
+    early = F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     return t.events.where(early), t.events.where(~early)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from millrace.queries.exploring import rounded
@@ -68,7 +66,7 @@ def s2_window_checks(t):
 )
 def s2_batch_drift(t):
     path = _scratch(t, "drift")
-    baseline = t.events.where(F.col("ts") < F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz"))
+    baseline = t.events.where(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
     runner.drain_batches(event_stream(t), quality.to_batches(lambda batch: quality.batch_drift(batch, baseline, ["event_type"]), path))
     return rounded(t.spark.read.parquet(path).drop("batch"), 6)
 

@@ -19,9 +19,10 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("prefix", nargs="*")
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--tz", default="UTC")
     args = parser.parse_args()
     folder = f"/root/testdata/sf{args.sf}"
-    spark = local_session(8)
+    spark = local_session(8, **{"spark.sql.session.timeZone": args.tz})
     con = oracle.connect(folder)
     sqls = contract.oracle_sql()
     bad = 0
