@@ -156,22 +156,38 @@ def seasonality(daily: DataFrame, day: str = "day", value: str = "n", minimum: i
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, complete: bool = True) -> DataFrame:
     """Pearson correlation of every column pair (x before y), long form.
 
-    ``complete`` uses only rows without gaps in any chosen column. All pairs come from one
-    aggregate scan, in chunks; nothing is shuffled but the partial sums.
+    ``complete`` uses only rows without gaps in any chosen column, otherwise each pair uses the
+    rows it is complete on. All pairs come from aggregate scans in chunks; nothing is shuffled
+    but the partial sums.
     """
     cols = list(cols or numeric_columns(df))
     data = df.select(*[col(c).cast("double").alias(c) for c in cols])
-    if complete:
-        data = data.na.drop("any", subset=[f"`{c}`" for c in cols])
     pairs = list(combinations(cols, 2))
     if not pairs:
         return small_frame(df.sparkSession, [], "x string, y string, r double")
+    if complete:
+        data, holed = data.na.drop("any", subset=[f"`{c}`" for c in cols]), set()
+    else:
+        gaps = stats_row(data, {c: F.count_if(col(c).isNull()) for c in cols})
+        holed = {c for c in cols if gaps[c]}
     out = None
     for start in range(0, len(pairs), 50):
         chunk = pairs[start : start + 50]
-        wide = data.agg(*[clean_corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        records = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(chunk)]
-        part = to_long(wide, records)
+        whole = sorted({c for p in chunk for c in p if not holed & set(p)})
+        # columns without gaps share one deviation each; a pair then costs one covariance
+        spread = {c: f"s{i}" for i, c in enumerate(whole)}
+        aggs = [F.stddev_pop(col(c)).alias(s) for c, s in spread.items()]
+        records = []
+        for i, (a, b) in enumerate(chunk):
+            if holed & {a, b}:
+                aggs.append(clean_corr(col(a), col(b)).alias(f"r{i}"))
+                value = F.col(f"r{i}")
+            else:
+                aggs.append(F.covar_pop(col(a), col(b)).alias(f"r{i}"))
+                value = F.try_divide(F.col(f"r{i}"), F.col(spread[a]) * F.col(spread[b]))
+                value = F.when(~F.isnan(value), value)
+            records.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), value.alias("r")))
+        part = to_long(data.agg(*aggs), records)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -73,19 +73,16 @@ def scored(predictions: DataFrame, task: str) -> DataFrame:
     return predictions.select("label", "prediction", vector_to_array(source)[1].alias("score"))
 
 
-def cross_validate(
-    df: DataFrame, estimator, task: str, numeric: Sequence[str], categorical: Sequence[str], folds: int, fold: str = "_fold"
-) -> list[tuple[int, float, float, float]]:
-    """(fold, train score, validation score, seconds); preprocessing is fitted inside each fold."""
-    out = []
-    for i in range(folds):
-        start = time.perf_counter()
-        train, held = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
-        # trees and margins read the same scaled vector; linear coefficients stay comparable
-        model = Pipeline(stages=[build_preprocessor(numeric, categorical), estimator]).fit(train)
-        scores = [score_of(scored(model.transform(part), task), task) for part in (train, held)]
-        out.append((i, *scores, time.perf_counter() - start))
-    return out
+def score_fold(
+    df: DataFrame, estimator, task: str, numeric: Sequence[str], categorical: Sequence[str], i: int, fold: str = "_fold"
+) -> tuple[float, float, float]:
+    """(train score, validation score, seconds) of fold ``i``; preprocessing is fitted inside it."""
+    start = time.perf_counter()
+    train, held = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
+    # trees and margins read the same scaled vector; linear coefficients stay comparable
+    model = Pipeline(stages=[build_preprocessor(numeric, categorical), estimator]).fit(train)
+    scores = [score_of(scored(model.transform(part), task), task) for part in (train, held)]
+    return (*scores, time.perf_counter() - start)
 
 
 def run_cv(
@@ -109,18 +106,21 @@ def run_cv(
     data, numeric, categorical = _prepared(df, target, key, task, fold_column(key, folds, seed))
     data.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def attempt(item):
-        name, estimator = item
+    def attempt(job):
+        name, estimator, i = job
         try:
-            return [(name, i, a, b, s, None) for i, a, b, s in cross_validate(data, estimator, task, numeric, categorical, folds)]
+            return (name, i, *score_fold(data, estimator, task, numeric, categorical, i), None)
         except Exception as error:  # noqa: BLE001 - one bad model must not end the comparison
-            return [(name, None, None, None, None, str(error)[:500])]
+            return (name, i, None, None, None, str(error)[:500])
 
+    jobs = [(name, estimator, i) for name, estimator in candidates.items() for i in range(folds)]
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            rows = [r for part in pool.map(attempt, candidates.items()) for r in part]
+            rows = list(pool.map(attempt, jobs))
     finally:
         data.unpersist()
+    failed = {r[0]: r[5] for r in rows if r[5] is not None}
+    rows = [r for r in rows if r[0] not in failed] + [(n, None, None, None, None, e) for n, e in failed.items()]
     return small_frame(df.sparkSession, rows, FOLD_SCHEMA)
 
 

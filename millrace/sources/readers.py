@@ -8,9 +8,6 @@ from pyspark.sql import types as T
 
 from millrace.plans.frames import quote
 
-CORRUPT = "_corrupt_record"
-REPLACEMENT_CHARACTER = "�"
-
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str | None = None
@@ -28,7 +25,7 @@ def read_csv(
 
     if encoding:
         return scan(encoding)
-    undecodable = spark.read.text(path).where(F.col("value").contains(REPLACEMENT_CHARACTER)).limit(1)
+    undecodable = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     return scan("ISO-8859-1" if undecodable.count() else "UTF-8")
 
 
