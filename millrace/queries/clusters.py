@@ -10,7 +10,7 @@ from millrace.operators.cluster import outliers as ou
 from millrace.operators.cluster import quality as qu
 from millrace.operators.cluster import sweep as sw
 from millrace.operators.cluster.neighbors import as_points
-from millrace.queries.exploring import hist_sql, rounded
+from millrace.queries.exploring import rounded
 from millrace.queries.registry import query
 from millrace.queries.supervised import NEAR
 
@@ -154,7 +154,7 @@ def h13_lof(t):
 def event_flags(t):
     """Two simple detectors over events: large values, values large for their type."""
     mean = t.events.groupBy("event_type").agg(F.avg("value").alias("m"))
-    return t.events.join(F.broadcast(mean), "event_type").select(
+    return t.events.join(mean, "event_type").select(
         F.col("event_id").alias("id"), F.col("value").alias("iso_score"), (F.col("value") > 150).alias("iso_anomaly"),
         (F.col("value") / F.col("m")).alias("lof_score"), (F.col("value") > 3 * F.col("m")).alias("lof_anomaly"),
     ).withColumn("both", F.col("iso_anomaly") & F.col("lof_anomaly"))

@@ -139,7 +139,7 @@ for _how in ("left", "right", "full"):
 
 @query("b9_cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 def b9_cross_join(t):
-    return t.region.select("r_name").crossJoin(F.broadcast(t.nation.select("n_name")))
+    return t.region.select("r_name").crossJoin(t.nation.select("n_name"))
 
 
 @query(

@@ -26,16 +26,23 @@ def _checkpoint(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
 
 
-def drain_to_memory(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run to the end of the available files into a memory table; for small aggregates only."""
-    name = f"drained_{uuid.uuid4().hex}"
+def drain_complete(stream: DataFrame, path: str) -> DataFrame:
+    """Run an aggregation to the end of the available files, its whole result in parquet at ``path``.
+
+    Each batch rewrites the result from the distributed state, so late rows and replayed batches
+    count once and nothing gathers on the driver.
+    """
     spark = stream.sparkSession
+
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
     run = (
-        stream.writeStream.outputMode(mode).format("memory").queryName(name)
+        stream.writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def drain_to_files(stream: DataFrame, path: str) -> DataFrame:

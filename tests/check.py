@@ -20,6 +20,7 @@ def main() -> int:
     parser.add_argument("prefix", nargs="*")
     parser.add_argument("--sf", default="0.01")
     parser.add_argument("--tz", default="UTC")
+    parser.add_argument("--oracle-only", action="store_true")
     args = parser.parse_args()
     folder = f"/root/testdata/sf{args.sf}"
     spark = local_session(8, **{"spark.sql.session.timeZone": args.tz})
@@ -29,6 +30,8 @@ def main() -> int:
     for name, fn in contract.queries().items():
         if args.prefix and not any(name.startswith(p) for p in args.prefix):
             continue
+        if args.oracle_only and name not in sqls:
+            continue
         start = time.perf_counter()
         try:
             df = fn(spark, folder)

@@ -24,13 +24,13 @@ def rows(df):
 
 
 @pytest.mark.parametrize("size, slide", [("1 hour", None), ("2 hours", "30 minutes")])
-def test_counts(spark, parts, size, slide):
-    live = runner.drain_to_memory(windows.window_counts(stream(spark, parts), "ts", size, slide, ["event_type"], late="30 days"))
+def test_counts(spark, parts, tmp_path, size, slide):
+    live = runner.drain_complete(windows.window_counts(stream(spark, parts), "ts", size, slide, ["event_type"], late="30 days"), str(tmp_path / "w"))
     assert rows(live) == rows(windows.window_counts(parts[1], "ts", size, slide, ["event_type"]))
 
 
-def test_sessions(spark, parts):
-    live = runner.drain_to_memory(windows.session_counts(stream(spark, parts), "ts", "3 hours", ["user_id"], late="30 days"))
+def test_sessions(spark, parts, tmp_path):
+    live = runner.drain_complete(windows.session_counts(stream(spark, parts), "ts", "3 hours", ["user_id"], late="30 days"), str(tmp_path / "s"))
     assert rows(live) == rows(windows.session_counts(parts[1], "ts", "3 hours", ["user_id"]))
 
 
