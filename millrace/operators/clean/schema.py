@@ -52,6 +52,7 @@ DATETIME_FORMATS = (
     ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
     ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"),
 )
+NUMBER_SHAPE = r"(?i)^\s*[-+]?((\d+\.?\d*|\.\d+)(e[-+]?\d+)?|inf|infinity)\s*$"
 CONVERSION_RATE = 0.80
 TEXT_LENGTH = 50
 TEXT_RATIO = 0.5
@@ -84,8 +85,12 @@ Schema = dict[str, ColumnProfile]
 
 
 def as_number(text: Column) -> Column:
-    """Double behind a text such as ``1,234.5``; NULL when it is none."""
-    return F.translate(text, ",", "").try_cast("double")
+    """Double behind a text such as ``1,234.5``; NULL when it is none.
+
+    A failed cast costs a Java exception inside the task, so the shape is tested first.
+    """
+    plain = F.translate(text, ",", "")
+    return F.when(plain.rlike(NUMBER_SHAPE), plain.try_cast("double"))
 
 
 def as_timestamp(text: Column) -> Column:

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from millrace.plans.frames import col, small_frame, stats_row, string_columns
 
-# HyperLogLog error is 2 % here; groups further off than this cannot be equal.
-SKETCH_ERROR = 0.02
-SKETCH_SLACK = 0.10
+# Relative standard error of the sketches; groups further off than six errors are ruled out
+# (a dependency compares two sketches, hence the wider bar). Small sketches keep the
+# aggregate buffer of many groups short.
+SKETCH_ERROR = 0.05
+KEY_SLACK = 0.30
+PAIR_SLACK = 0.45
 
 
 def distinct_counts(df: DataFrame, groups: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
@@ -56,7 +59,7 @@ def candidate_keys(df: DataFrame, max_width: int = 2, cols: Sequence[str] | None
         if not groups:
             break
         rough = _sketches(df, groups)
-        likely = [g for g in groups if rough[g] >= (1 - SKETCH_SLACK) * rows]
+        likely = [g for g in groups if rough[g] >= (1 - KEY_SLACK) * rows]
         exact = distinct_counts(df, likely)
         keys += [g for g in likely if exact[g] == rows]
     return small_frame(
@@ -77,7 +80,7 @@ def functional_deps(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     rough = _sketches(df, singles + ordered)
     likely = [
         (a, b) for a, b in pairs
-        if rough[tuple(sorted((a, b)))] <= (1 + SKETCH_SLACK) * rough[(a,)]
+        if rough[tuple(sorted((a, b)))] <= (1 + PAIR_SLACK) * rough[(a,)]
     ]
     wanted = sorted({(a,) for a, _ in likely} | {tuple(sorted(p)) for p in likely})
     exact = distinct_counts(df, wanted)
