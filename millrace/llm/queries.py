@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import compression, line_dedup, mixing
+from millrace.llm import compression, line_dedup, minhash, mixing, ppm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,13 @@ def op8_line_dedup(documents):
 @query("documents")
 def op10_compression_bands(documents):
     return compression.quality_report(documents)
+
+
+@query("documents")
+def op1_minhash_near_dedup(documents):
+    return minhash.duplicate_report(documents, minhash.Likeness(words=3, num=85))
+
+
+@query("documents")
+def op9_ppm_language(documents):
+    return ppm.language_report(documents)
