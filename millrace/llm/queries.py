@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import compression, line_dedup, minhash, mixing, ppm
+from millrace.llm import compression, line_dedup, minhash, mixing, ngram_lm, ppm, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,33 @@ def op1_minhash_near_dedup(documents):
 @query("documents")
 def op9_ppm_language(documents):
     return ppm.language_report(documents)
+
+
+@query("documents")
+def op6_backoff_automaton(documents):
+    return ngram_lm.score(documents)
+
+
+@query(
+    "documents",
+    """
+    WITH words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents
+    ), windows AS (
+        SELECT doc_id, pos, array_to_string(list_slice(ws, pos, pos + 12), ' ') AS win
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS pos FROM words WHERE len(ws) >= 13)
+    ), firsts AS (
+        SELECT win, min(doc_id) AS first FROM windows GROUP BY win HAVING min(doc_id) < max(doc_id)
+    ), gone AS (
+        SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM windows JOIN firsts USING (win) WHERE first < doc_id
+    ), each AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM words),
+    kept AS (
+        SELECT each.doc_id, count(gone.pos) AS n_removed, string_agg(w, ' ' ORDER BY each.pos) FILTER (gone.pos IS NULL) AS text
+        FROM each LEFT JOIN gone USING (doc_id, pos) GROUP BY each.doc_id
+    )
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM words LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op5_suffix_tree_dedup(documents):
+    return substring.substring_report(documents).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -101,7 +101,7 @@ def windows_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[whole]), owner[:total][whole]
 
 
-def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
+def column_bytes(batch: pa.RecordBatch | pa.Table, name: str) -> list[bytes | None]:
     """A text column as UTF-8 bytes without decoding."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
