@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import compression, line_dedup, minhash, mixing, ngram_lm, ppm, substring
+from millrace.llm import compression, line_dedup, minhash, mixing, ngram_lm, packing, ppm, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,8 @@ def op6_backoff_automaton(documents):
 )
 def op5_suffix_tree_dedup(documents):
     return substring.substring_report(documents).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("documents")
+def op3_bm25_packing(documents):
+    return packing.pack(documents, with_ids=False)
