@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import compression, line_dedup, minhash, mixing, ngram_lm, packing, ppm, substring
+from millrace.llm import compression, cross_polytope, line_dedup, minhash, mixing, ngram_lm, packing, ppm, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,9 @@ def op5_suffix_tree_dedup(documents):
 @query("documents")
 def op3_bm25_packing(documents):
     return packing.pack(documents, with_ids=False)
+
+
+@query("embeddings")
+def op4_cross_polytope_dedup(embeddings):
+    found = cross_polytope.near_vectors(embeddings)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
