@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import compression, cross_polytope, line_dedup, minhash, mixing, ngram_lm, packing, ppm, substring
+from millrace.llm import compression, cross_polytope, line_dedup, minhash, mixing, ngram_lm, ordinal, packing, ppm, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(table: str, oracle: str | None = None):
-    """Register ``fn(table) -> DataFrame`` under its own name."""
+def query(tables: str, oracle: str | None = None):
+    """Register ``fn(*tables) -> DataFrame`` under its own name; ``tables`` are their names."""
 
     def wrap(fn):
-        QUERIES[fn.__name__] = lambda spark, folder: fn(spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
+        QUERIES[fn.__name__] = lambda spark, folder: fn(*[spark.read.parquet(f"{folder.rstrip('/')}/{t}.parquet") for t in tables.split()])
         if oracle:
             ORACLES[fn.__name__] = oracle
         return fn
@@ -129,3 +129,8 @@ def op3_bm25_packing(documents):
 def op4_cross_polytope_dedup(embeddings):
     found = cross_polytope.near_vectors(embeddings)
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@query("documents labels")
+def op7_ordinal_quality(documents, labels):
+    return ordinal.quality_grades(documents, labels)
