@@ -36,8 +36,8 @@ def _uniform(digest: Column) -> Column:
 def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, size: float = 1.0) -> DataFrame:
     """(source, rate, cdf): mean copies of a source's documents and the distribution of their count.
 
-    ``weights`` are shares of the output's characters (one is added for each document), equal for all sources
-    when not given; ``size`` is the output's size over the input's.
+    ``weights`` are shares of the output's characters (one is added for each document) among the sources that are
+    there, equal for all when not given; ``size`` is the output's size over the input's.
     """
     per = docs.groupBy("source").agg(F.sum(F.coalesce(F.char_length("text"), F.lit(0)) + 1).alias("chars"))
     if weights is None:

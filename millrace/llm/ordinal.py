@@ -29,7 +29,7 @@ from millrace.llm.text import column_bytes, mix, slices, words_of
 
 DIMENSIONS = 1 << 18
 FIT_ROWS = 4_000
-EPOCHS = 12
+STEPS = 1_000
 RATE = 0.5
 DECAY = 1e-6
 BATCH = 128
@@ -78,7 +78,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: Features, grade: np.ndarray, weight: np.ndarray, grades: int, epochs: int = EPOCHS, min_rows: int = MIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: Features, grade: np.ndarray, weight: np.ndarray, grades: int, steps: int = STEPS, min_rows: int = MIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ordered thresholds) by adaptive stochastic gradient on the weighted log-likelihood."""
     w, g2 = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8)
     share = np.cumsum(np.bincount(grade, weight, grades))[:-1] / weight.sum()
@@ -89,8 +89,9 @@ def fit(rows: Features, grade: np.ndarray, weight: np.ndarray, grades: int, epoc
     held = np.bincount(rows.index, minlength=DIMENSIONS)
     rows = Features(rows.index, np.where(held[rows.index] >= min_rows, rows.value, 0.0), rows.bounds, rows.words)
     draw = np.random.default_rng(1)
-    for _ in range(epochs):
-        for rows_now in np.array_split(draw.permutation(len(grade)), max(1, len(grade) // BATCH)):
+    parts = max(1, len(grade) // BATCH)
+    for _ in range(-(-steps // parts)):
+        for rows_now in np.array_split(draw.permutation(len(grade)), parts):
             size = np.diff(rows.bounds)[rows_now]
             at = np.repeat(rows.bounds[rows_now] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             index, value = rows.index[at], rows.value[at]
@@ -118,7 +119,7 @@ def grade_of(quality: str = "quality", toxic: str = "toxic"):
     return F.when(F.col(toxic).isNull() | F.col(quality).isNull(), None).when(F.col(toxic) > 0, 0).when(F.col(quality) > 0, 2).otherwise(1)
 
 
-def learn(docs: DataFrame, rated: DataFrame, fit_rows: int = FIT_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, int]:
+def learn(docs: DataFrame, rated: DataFrame, fit_rows: int = FIT_ROWS, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, int]:
     """(weights, thresholds, grades) from ``rated`` (doc_id, grade 0, 1, ...) and the texts of ``docs``.
 
     With a single grade there are no thresholds and ``grades`` - 1 is that grade.
@@ -141,7 +142,7 @@ def learn(docs: DataFrame, rated: DataFrame, fit_rows: int = FIT_ROWS, epochs: i
         grade = table["grade"].to_numpy().astype(np.int64)
         took = np.bincount(grade, minlength=grades)
         weight = np.array([counts.get(k, 0) / max(took[k], 1) for k in range(grades)])[grade]
-        w, t = fit(features(column_bytes(table, "text")), grade, weight / weight.mean(), grades, epochs)
+        w, t = fit(features(column_bytes(table, "text")), grade, weight / weight.mean(), grades, steps)
         return pa.table({"weights": [w.astype("<f4").tobytes()], "thresholds": [t.astype("<f8").tobytes()]})
 
     if len(counts) < 2:
