@@ -8,9 +8,10 @@ of a chunk gives keys of which such a pair shares one: no pair within t is lost.
 
 Texts with equal sets are one node from the start. In every bucket all nodes are first compared with its
 smallest one; what that verifies makes components. Only buckets that still hold several components are looked
-at again: nodes outside the bucket's largest component against all others of another component. Pairs within
-one component are never formed, so a group of near copies costs its size, not its square, and no link
-between components is lost. Every link is confirmed on the full sets of both texts.
+at again: nodes outside the bucket's largest component against those of other components, block by block in
+tasks that return nodes and forest edges, never pairs. A pair is looked at in the first bucket that it shares. So a
+group of near copies that hang together costs its size, and no link between components is lost. Every link is
+confirmed on the full sets of both texts.
 
 Shuffled: keys and node numbers twice, texts of candidate nodes by node. Signatures, buckets and links are
 checkpointed; components are found by distributed minimum labels.
@@ -45,6 +46,9 @@ BITS = 14
 LANE = 16
 #: Share of pairs at the least similarity whose signatures may lie beyond the distance that is searched.
 MISS = 1e-5
+#: Nodes of a bucket that a task compares with as many others, and shingles counted at a time there.
+BLOCK = 1024
+STRIP = 4096
 _FACTORS = (np.random.default_rng(20240607).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ONES = sum(((1 << BITS) - 1) << (LANE * i) for i in range(WIDTH))
 _TOPS = sum((1 << BITS) << (LANE * i) for i in range(WIDTH))
@@ -146,14 +150,17 @@ def _sizes(a: str, b: str, like: Likeness) -> Column:
     return F.least(a, b) * like.den >= F.greatest(a, b) * like.num
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) of nodes whose full sets are linked."""
-    ends = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-    where = ends.join(reps.select("nid", F.col("first_id").alias("id"), F.col("print")), "nid")
+def _texts(nodes: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(nid, text) of the nodes; the print deals the join out, ids are compared null-safe."""
+    where = nodes.join(reps.select("nid", F.col("first_id").alias("id"), F.col("print")), "nid")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"), "text")
-    # Ids may be missing, so they are compared null-safe beside the print that deals them out.
     texts = rows.alias("r").join(where.alias("w"), (F.col("r.print") == F.col("w.print")) & F.col("r.id").eqNullSafe(F.col("w.id")))
-    texts = texts.select("nid", "text")
+    return texts.select("nid", "text")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of nodes whose full sets are linked."""
+    texts = _texts(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), docs, reps)
     wide = (
         pairs.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
@@ -178,6 +185,111 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness)
     return wide.mapInArrow(run, "a long, b long").distinct()
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows of a, rows of b) positions in which packed signatures differ."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for c in range(a.shape[1]):
+        out += np.bitwise_count(((a[:, c][:, None] ^ b[:, c][None, :]) + _ONES) & _TOPS)
+    return out
+
+
+def _near_in_bucket(masks: list[tuple[int, int]], bound: int, like: Likeness):
+    """Nodes of a bucket's two blocks that have a partner in reach, in another component, met here first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        half, nid, part, n = (table[c].to_numpy() for c in ("half", "nid", "part", "n"))
+        sig = np.array(table["sig"].to_pylist(), np.int64)
+        low, high, slot = (table[c][0].as_py() for c in ("low", "high", "slot"))
+        left, right = np.flatnonzero(half == low), np.flatnonzero(half == high)
+        close = _distances(sig[left], sig[right]) <= bound
+        close &= part[left][:, None] != part[right][None, :]
+        small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+        a, b = np.nonzero(close & (like.den * small >= like.num * large))
+        a, b = left[a], right[b]
+        for c, mask in masks[:slot]:
+            later = ((sig[a, c] ^ sig[b, c]) & mask) != 0
+            a, b = a[later], b[later]
+        use = np.unique(np.concatenate([a, b]))
+        return table.select(["key", "low", "high", "half", "nid"]).take(pa.array(use))
+
+    return run
+
+
+def _linked_in_bucket(like: Likeness):
+    """Links between a bucket's two blocks by exact set sizes, as edges of a spanning forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        half, nid = table["half"].to_numpy(), table["nid"].to_numpy()
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        hashes, bounds = shingle_hashes(column_bytes(table, "text"), like.words)
+        sets = [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
+        size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # Shingles of one text only are shared with none; the rest are counted in strips of columns.
+        several = times > 1
+        column = np.cumsum(several) - 1
+        use = several[code]
+        owner, column = owner[use], column[code[use]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int(several.sum()), STRIP):
+            x, y = np.searchsorted(column, (start, start + STRIP))
+            strip = np.zeros((len(sets), STRIP), np.float32)
+            strip[owner[x:y], column[x:y] - start] = 1
+            shared += strip @ strip.T
+        shared = shared.astype(np.int64)
+        linked = like.den * shared >= like.num * (size[:, None] + size[None, :] - shared)
+        linked &= ((half == low)[:, None] & (half == high)[None, :]) & (nid[:, None] != nid[None, :])
+        a, b = np.nonzero(linked)
+        root = np.arange(len(sets))
+        while True:
+            least = root.copy()
+            np.minimum.at(least, a, root[b])
+            np.minimum.at(least, b, root[a])
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        joined = np.flatnonzero(root != np.arange(len(sets)))
+        return pa.table({"a": nid[root[joined]], "b": nid[joined]})
+
+    return run
+
+
+def _across(members: DataFrame, groups: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness, masks: list, bound: int) -> DataFrame | None:
+    """Links between the components that still share a bucket, or None where no node has a partner in reach.
+
+    A bucket's nodes outside its largest component are dealt to blocks, its largest component to others;
+    tasks are pairs of blocks of which one at least lies outside. Signatures settle which nodes stay, full
+    sets which are linked; both stages return nodes, not pairs.
+    """
+    named = members.join(groups, "nid", "left").select("key", "slot", "nid", F.coalesce("component", "nid").alias("part"))
+    parts = named.groupBy("key", "part").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("key").agg(
+        F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("major"), F.max("size").alias("inside"), F.sum("size").alias("all")
+    )
+    mixed = mixed.where("parts > 1").select(
+        "key", "major", F.ceil((F.col("all") - F.col("inside")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("inside") / BLOCK).cast("int").alias("inner")
+    )
+    here = F.pmod(F.xxhash64("nid", "key"), F.when(F.col("part") == F.col("major"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    # Blocks 0 .. outer - 1 lie outside, the ones after them are the largest component's.
+    half = F.when(F.col("part") == F.col("major"), F.col("outer") + here).otherwise(here)
+    nodes = named.join(mixed, "key").withColumn("half", half)
+    last = F.when(F.col("half") < F.col("outer"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
+    dealt = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    dealt = dealt.select("key", "slot", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "half", "nid", "part")
+    dealt = dealt.join(reps.select("nid", "n", "sig"), "nid").select("key", "slot", "low", "high", "half", "nid", "part", "n", "sig")
+    near = dealt.groupBy("key", "low", "high").applyInArrow(_near_in_bucket(masks, bound, like), "key long, low int, high int, half int, nid long")
+    near = cut_lineage(near)
+    if near.isEmpty():
+        return None
+    texts = _texts(near.select("nid").distinct(), docs, reps)
+    wide = near.join(texts, "nid").select("key", "low", "high", "half", "nid", "text")
+    return wide.groupBy("key", "low", "high").applyInArrow(_linked_in_bucket(like), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), miss: float = MISS) -> DataFrame:
     """(id, print, n_shingles, component_id) of every row; ``print`` is the hash of its text."""
     bound = distance_bound(like.num / like.den, miss)
@@ -187,10 +299,10 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), miss: float =
     )
     reps = cut_lineage(reps.withColumn("nid", F.monotonically_increasing_id()))
     masks = chunk_masks(bound)
-    key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("sig")[c].bitwiseAND(F.lit(mask))) for i, (c, mask) in enumerate(masks)]))
-    keys = reps.select(key.alias("key"), "nid")
+    key = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.col("sig")[c].bitwiseAND(F.lit(mask))) for i, (c, mask) in enumerate(masks)]))
+    keys = reps.select(key.alias("slot", "key"), "nid")
     hubs = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("top")).where("hub < top").select("key", "hub")
-    members = cut_lineage(keys.join(hubs, "key").select("key", "nid", "hub"))
+    members = cut_lineage(keys.join(hubs, "key").select("key", "slot", "nid", "hub"))
     signed = reps.select("nid", "n", "sig")
     left = signed.select(F.col("nid").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     right = signed.select(F.col("nid").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
@@ -201,23 +313,9 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), miss: float =
     links = cut_lineage(_confirm(star, docs, reps, like))
     groups = _components(links)
 
-    named = members.join(groups, "nid", "left").select("key", "nid", F.coalesce("component", "nid").alias("part"))
-    parts = named.groupBy("key", "part").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("major")).where("parts > 1")
-    mixed = cut_lineage(named.join(mixed.select("key", "major"), "key"))
-    outer = mixed.where("part <> major").select("key", F.col("nid").alias("a"), F.col("part").alias("part_a"))
-    inner = mixed.select("key", F.col("nid").alias("b"), F.col("part").alias("part_b"), "major")
-    across = (
-        outer.join(left, "a")
-        .join(inner.join(right, "b"), "key")
-        .where("part_a <> part_b and (part_b = major or a < b)")
-        .where(near)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    across = cut_lineage(across.join(star, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        links = cut_lineage(links.union(_confirm(across, docs, reps, like)))
+    further = _across(members, groups, docs, reps, like, masks, bound)
+    if further is not None:
+        links = cut_lineage(links.union(further))
         groups = _components(links)
 
     smallest = groups.join(reps.select("nid", "first_id"), "nid").groupBy("component").agg(F.min("first_id").alias("component_id"))
