@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.clean.impute import fill_ordered
 from millrace.plans.frames import col, one_row
 from millrace.plans.prefix import row_positions
 from millrace.plans.rolling import blocks_with_halo, finish
@@ -40,9 +41,14 @@ def forecast_sma(series: DataFrame, time: str, value: str, w: int = 7, horizon:
 
 
 def forecast_ewm(series: DataFrame, time: str, value: str, alpha: float = 0.3, horizon: int = 30) -> DataFrame:
-    """Last level of the bias-corrected exponential mean, repeated."""
-    ranked = row_positions(series.select(time, value), time)
-    weight = F.exp((F.col("total") - F.col("position")) * math.log(1 - alpha))
+    """Last level of the bias-corrected exponential mean, repeated.
+
+    Rows without a value keep their place: they carry no weight, but age the values before them. Ages
+    count from the last value, so a long gap at the end does not make all weights vanish.
+    """
+    ranked = row_positions(series.select(time, value), time).where(col(value).isNotNull())
+    newest = ranked.agg(F.max("position")).scalar()
+    weight = F.exp((newest - F.col("position")) * math.log(1 - alpha))
     level = ranked.agg(F.sum(col(value) * weight) / F.sum(weight)).scalar()
     return _flat(series, time, horizon, level)
 
@@ -67,25 +73,32 @@ def forecast_linear(series: DataFrame, time: str, value: str, horizon: int = 30)
 def smoothed(series: DataFrame, time: str, value: str, w: int = 7, alpha: float = 0.3) -> DataFrame:
     """History with ``moving_avg``, ``exp_smooth`` and ``trend`` columns.
 
-    The exponential mean only looks back as far as weights matter in double precision.
+    The exponential mean is a ratio of two running sums inside blocks about as long as weights matter in
+    double precision, each row scaled by its place in the block: constant work a row. Rows without a
+    value keep their place and take the level of the last one; before the first value there is none.
     """
-    reach = max(w - 1, math.ceil(math.log(NEGLIGIBLE) / math.log(1 - alpha)))
-    spread, window = blocks_with_halo(series.select(time, value), time, reach)
-    past = F.collect_list(col(value).cast("double")).over(window.rowsBetween(-reach, 0))
-    keep = F.lit(1 - alpha)
-    folded = F.aggregate(
-        past,
-        F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den")),
-        lambda acc, x: F.struct((acc["num"] * keep + x).alias("num"), (acc["den"] * keep + 1.0).alias("den")),
-        lambda acc: acc["num"] / acc["den"],
-    )
+    decay = math.log(1 - alpha)
+    reach = max(w - 1, math.ceil(math.log(NEGLIGIBLE) / decay))
+    spread, window = blocks_with_halo(series.select(time, value), time, reach, block_rows=reach + 1)
+    x = col(value).cast("double")
+    # Scaled from the block's first row, at most two reaches back, so neither sum leaves the range of doubles.
+    scale = F.exp((F.col("position") - F.col("_block") * (reach + 1)) * F.lit(-decay))
+    running = window.rowsBetween(Window.unboundedPreceding, 0)
+    level = F.try_divide(F.sum(x * scale).over(running), F.sum(F.when(x.isNotNull(), scale)).over(running))
     fit = one_row(linear_fit(series, time, value))
     recent = window.rowsBetween(-(w - 1), 0)
     # both windows are taken on the blocked rows before the repeated ones are dropped
-    out = spread.withColumn("exp_smooth", folded).withColumn(
+    out = spread.withColumn("exp_smooth", level).withColumn(
         "moving_avg", F.when(F.col("position") >= w, F.avg(col(value)).over(recent))
     )
-    return finish(out).select(
+    out = finish(out)
+    if series.where(col(value).isNull() & col(time).isNotNull()).limit(1).count():
+        # A gap longer than the reach takes the level before it.
+        first = one_row(out.where(col(value).isNotNull()).agg(F.min("position").alias("first")))["first"]
+        out = fill_ordered(out, ["exp_smooth"], "position").withColumn(
+            "exp_smooth", F.when(F.col("position") >= first, F.col("exp_smooth"))
+        )
+    return out.select(
         time, value, "moving_avg", "exp_smooth", (fit["intercept"] + fit["slope"] * (F.col("position") - 1)).alias("trend")
     )
 

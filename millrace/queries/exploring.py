@@ -206,6 +206,37 @@ def e15_linear_fit(t):
     return rounded(fc.linear_fit(_daily(t), "day", "n"), 6)
 
 
+GAPS = "o2 AS (SELECT day, i, k, CASE WHEN day(day) % 4 = 0 OR day(day) BETWEEN 10 AND 17 THEN NULL ELSE n END AS v FROM o)"
+
+
+def _daily_gaps(t):
+    """Daily counts in which single days and a run of days have no value."""
+    d = F.dayofmonth("day")
+    return _daily(t).withColumn("v", F.when((d % 4 == 0) | d.between(10, 17), None).otherwise(F.col("n"))).select("day", "v")
+
+
+def _gap_level(keep: float) -> str:
+    return f"(SELECT sum(v * exp((k - i) * ln({keep}))) / sum(CASE WHEN v IS NOT NULL THEN exp((k - i) * ln({keep})) END) FROM o2)"
+
+
+@query(
+    "e14_forecast_ewm_gaps",
+    f"{DAILY}, {GAPS} SELECT CAST(last + step * gap AS DATE) AS day, step, round({_gap_level(0.7)}, 4) AS fast, round({_gap_level(0.99)}, 4) AS slow {AHEAD}",
+)
+def e14_forecast_ewm_gaps(t):
+    fast, slow = (fc.forecast_ewm(_daily_gaps(t), "day", "v", a, 30).withColumnRenamed("forecast", n) for a, n in ((0.3, "fast"), (0.01, "slow")))
+    return rounded(fast.join(slow, ["day", "step"]))
+
+
+@query(
+    "e16_smoothed_gaps",
+    f"""{DAILY}, {GAPS} SELECT day, round((SELECT sum(p.v * exp((o2.i - p.i) * ln(0.99))) / sum(CASE WHEN p.v IS NOT NULL THEN exp((o2.i - p.i) * ln(0.99)) END)
+        FROM o2 p WHERE p.i <= o2.i), 4) AS exp_smooth FROM o2""",
+)
+def e16_smoothed_gaps(t):
+    return rounded(fc.smoothed(_daily_gaps(t), "day", "v", alpha=0.01).select("day", "exp_smooth"))
+
+
 LINEAR = f"{DAILY}, f AS (SELECT regr_slope(n, i - 1) AS b, regr_intercept(n, i - 1) AS a, count(*) AS c FROM o)"
 
 
