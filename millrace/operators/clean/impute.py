@@ -13,7 +13,7 @@ from millrace.functions.moments import adjust_skew, clean_corr
 from millrace.operators.clean.log import TransformationLog
 from millrace.operators.clean.schema import DATETIME, NUMERIC, Schema
 from millrace.operators.profile import top_values
-from millrace.plans.frames import col, is_numeric, one_row, stats_row
+from millrace.plans.frames import col, is_numeric, is_temporal, one_row, stats_row
 from millrace.plans.lineage import cut_lineage
 from millrace.plans.prefix import range_boundaries, with_bucket
 from millrace.plans.quantiles import quantiles
@@ -56,9 +56,13 @@ class Fill:
 
 
 def plan_missing(
-    df: DataFrame, schema: Schema, target: str | None, log: TransformationLog | None = None, *, regression: bool = True
+    df: DataFrame, schema: Schema, target: str | None, log: TransformationLog | None = None, *, regression: bool = True,
+    order_by: str | None = None,
 ) -> list[Fill]:
-    """Decide every column from the raw statistics before anything is filled."""
+    """Decide every column from the raw statistics before anything is filled.
+
+    In a table ordered by time numbers are filled in that order; times always are.
+    """
     log = log or TransformationLog()
     n = df.count()
     gaps = stats_row(df, {c: F.count_if(col(c).isNull()) for c in df.columns})
@@ -105,7 +109,9 @@ def plan_missing(
                 plan.append(Fill(c, "drop", "no target signal"))
                 log.warn("missing_values", "drop_column", column=c, reason=f"missing={rate:.1%}")
                 continue
-        if kind == NUMERIC:
+        if kind == NUMERIC and order_by is not None and is_temporal(df.schema[order_by].dataType):
+            fill = Fill(c, "fill", "ordered", indicator=mark)
+        elif kind == NUMERIC:
             fill = _numeric_fill(c, moments, corr, medians, features, mark)
         elif kind == DATETIME:
             fill = Fill(c, "fill", "ordered", indicator=mark)
@@ -119,7 +125,9 @@ def plan_missing(
             else:
                 fill = Fill(c, "fill", "missing_category", "Missing", indicator=mark)
         plan.append(fill)
-        log.add("missing_values", f"impute_{fill.strategy}", column=c, before=f"missing={rate:.2%}", after="0%")
+        # A column without any value has nothing to carry forward or back.
+        left = "100%" if fill.strategy == "ordered" and gaps[c] == n else "0%"
+        log.add("missing_values", f"impute_{fill.strategy}", column=c, before=f"missing={rate:.2%}", after=left)
         if mark:
             log.add("missing_values", "add_missing_indicator", column=c, reason=f"corr={signal[c]:.3f}")
     return plan
@@ -159,9 +167,9 @@ def fit_regressions(df: DataFrame, plan: Sequence[Fill]) -> list[Fill]:
 
 
 def apply_missing(
-    df: DataFrame, plan: Sequence[Fill], order_by: str | None = None, by: Sequence[str] = ()
+    df: DataFrame, plan: Sequence[Fill], order_by: str | None = None, by: Sequence[str] = (), tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Projection that drops, marks and fills; ordered fills need ``order_by``."""
+    """Projection that drops, marks and fills; a plan with ordered fills is refused without ``order_by``."""
     fills = {f.column: f for f in plan}
     out, marks = [], []
     for c in df.columns:
@@ -186,8 +194,10 @@ def apply_missing(
         out.append(value.alias(c))
     filled = df.select(*out, *marks)
     ordered = [f.column for f in plan if f.strategy == "ordered" and f.action == "fill"]
-    if ordered and order_by:
-        filled = fill_ordered(filled, [c for c in ordered if c != order_by], order_by, by)
+    if ordered and not order_by:
+        raise ValueError(f"{', '.join(ordered)}: an ordered fill needs order_by")
+    if ordered:
+        filled = fill_ordered(filled, [c for c in ordered if c != order_by], order_by, by, tie)
     return filled
 
 
@@ -311,19 +321,21 @@ def fill_ordered(df: DataFrame, cols: Sequence[str], order_by: str, by: Sequence
     known = df.where(col(order_by).isNotNull())
     cut = with_bucket(known, order_by, range_boundaries(known, order_by), "_bucket")
     inside = Window.partitionBy(*by, "_bucket").orderBy(order_by, *tie)
-    up, down = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    # A frame up to the current row is a running one; one from it to the end would be read again for every row.
+    back = Window.partitionBy(*by, "_bucket").orderBy(F.desc(order_by), *[F.desc(c) for c in tie])
+    up, down = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (inside, back))
     place = F.struct(col(order_by), *[col(c) for c in tie])
     ends = cut.groupBy(*by, "_bucket").agg(
         *[F.max_by(col(c), F.when(col(c).isNotNull(), place)).alias(f"_last_{i}") for i, c in enumerate(cols)],
         *[F.min_by(col(c), F.when(col(c).isNotNull(), place)).alias(f"_first_{i}") for i, c in enumerate(cols)],
     )
-    group = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket")
-    before, after = group.rowsBetween(Window.unboundedPreceding, -1), group.rowsBetween(1, Window.unboundedFollowing)
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    before, after = (group.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("_bucket", F.desc("_bucket")))
     carry = ends.select(
         *[col(b).alias(f"_by_{b}") for b in by],
         F.col("_bucket").alias("_carry_bucket"),
         *[F.last(f"_last_{i}", ignorenulls=True).over(before).alias(f"_before_{i}") for i in range(len(cols))],
-        *[F.first(f"_first_{i}", ignorenulls=True).over(after).alias(f"_after_{i}") for i in range(len(cols))],
+        *[F.last(f"_first_{i}", ignorenulls=True).over(after).alias(f"_after_{i}") for i in range(len(cols))],
     )
     same = F.col("_bucket") == F.col("_carry_bucket")
     for b in by:
@@ -331,7 +343,7 @@ def fill_ordered(df: DataFrame, cols: Sequence[str], order_by: str, by: Sequence
     local = cut.select(
         "*",
         *[F.last(col(c), ignorenulls=True).over(up).alias(f"_up_{i}") for i, c in enumerate(cols)],
-        *[F.first(col(c), ignorenulls=True).over(down).alias(f"_down_{i}") for i, c in enumerate(cols)],
+        *[F.last(col(c), ignorenulls=True).over(down).alias(f"_down_{i}") for i, c in enumerate(cols)],
     )
     filled = local.join(carry, same).select(
         *[

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from millrace.operators.ml.baseline import Baseline, baseline
 from millrace.operators.quality.bias import bias_report
 from millrace.operators.quality.drift import detect_drift
 from millrace.operators.quality.leakage import detect_leakage
-from millrace.plans.frames import col, is_temporal, nan_to_null, small_frame
+from millrace.plans.frames import col, is_numeric, is_temporal, nan_to_null, small_frame
 
 
 @dataclass
@@ -30,16 +31,20 @@ class CleanResult:
     encoding: encode.EncodingPlan = field(default_factory=encode.EncodingPlan)
     scalers: list = field(default_factory=list)
     dropped: list[str] = field(default_factory=list)
+    order: list[str] = field(default_factory=list)
+    types: dict[str, str] = field(default_factory=dict)
+    repairs: dict[str, float] = field(default_factory=dict)
     baseline: Baseline | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Replay the fitted steps on new data; nothing is fitted again."""
         df = schema.apply_types(nan_to_null(df), self.schema)
-        df = impute.apply_missing(df, self.fills)
+        df = impute.apply_missing(df, self.fills, *self.order[:1], tie=self.order[1:])
         df = outliers.apply_outliers(df, self.caps)
         df = self.encoding.apply(df)
         df = scale.scale(df, self.scalers)
-        return df.drop(*self.dropped)
+        df = validate.narrow_like(df.drop(*self.dropped), self.types)
+        return validate.repair_infinite(df, self.repairs)
 
 
 def clean(
@@ -53,7 +58,8 @@ def clean(
 ) -> CleanResult:
     """Infer, report bias, fill, cap, check leakage, encode, scale, select, narrow, validate.
 
-    ``key`` identifies rows for out-of-fold encoding. Each step is one or two statistics jobs
+    ``key`` identifies rows for out-of-fold encoding. Ordered fills follow ``order_by``, else the first
+    key column that is a number or a time, and break ties by the key. Each step is one or two statistics jobs
     and a projection; the typed input is cached once, everything else stays lazy. Call
     ``result.data.write`` to materialise.
     """
@@ -69,8 +75,10 @@ def clean(
         if target:
             result.reports["bias"] = bias_report(typed, found, target)
 
-        result.fills = impute.fit_regressions(typed, impute.plan_missing(typed, found, target, log))
-        filled = impute.apply_missing(typed, result.fills, order_by)
+        ranked = [c for c in ([order_by] if order_by else key) if is_numeric(typed.schema[c].dataType) or is_temporal(typed.schema[c].dataType)]
+        result.order = [*ranked[:1], *[k for k in key if k not in ranked[:1]]] if ranked else []
+        result.fills = impute.fit_regressions(typed, impute.plan_missing(typed, found, target, log, order_by=order_by))
+        filled = impute.apply_missing(typed, result.fills, *result.order[:1], tie=result.order[1:])
         kept = {c: p for c, p in found.items() if c in filled.columns}
 
         result.caps = outliers.plan_outliers(filled, kept, target, log)
@@ -100,6 +108,8 @@ def clean(
         plan = validate.narrowing_plan(selected)
         result.reports["narrowing"] = plan
         narrowed = validate.narrow_types(selected, plan)
+        result.types = {n: t for n, t in narrowed.dtypes if not t.startswith(("array", "map", "struct"))}
+        result.repairs = validate.finite_medians(narrowed, validate.infinite_columns(narrowed))
         result.reports["validation"], fixed = validate.validate(narrowed)
         result.data = fixed
         log.add("validation", "validation_complete")
@@ -114,6 +124,11 @@ def clean(
             frame.unpersist()
 
 
+def _plans(spark, plans: Sequence) -> DataFrame:
+    """Decisions as JSON, one row each."""
+    return small_frame(spark, [(json.dumps(asdict(p), default=str),) for p in plans], "plan string")
+
+
 def save_result(result: CleanResult, path: str) -> None:
     """Data, log, schema, plans and reports as parquet folders; category tables included."""
     spark = result.data.sparkSession
@@ -123,6 +138,11 @@ def save_result(result: CleanResult, path: str) -> None:
         "schema": schema.schema_frame(spark, result.schema),
         "encoding": result.encoding.frame(spark),
         "scaling": scale.scaler_frame(spark, result.scalers),
+        "fills": _plans(spark, result.fills),
+        "caps": _plans(spark, result.caps),
+        "finish": small_frame(
+            spark, [(c, t, result.repairs.get(c)) for c, t in result.types.items()], "column string, type string, infinite_as double"
+        ),
         **{f"report_{n}": r for n, r in result.reports.items()},
         **{f"encoding_table_{c}": t for c, t in result.encoding.tables.items()},
     }

@@ -31,18 +31,28 @@ def duplicate_count(df: DataFrame) -> int:
     return counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
 
 
-def repair_infinite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Infinite values become the median of the finite ones."""
+def finite_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Median of the finite values of each column."""
     finite = df.select(*[F.when(~_infinite(c), col(c)).alias(c) for c in cols])
-    medians = quantiles(finite, cols, [0.5])
+    return {c: v[0] for c, v in quantiles(finite, list(cols), [0.5]).items()} if cols else {}
+
+
+def repair_infinite(df: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """Infinite values become the given medians."""
     return df.select(
         *[
-            F.when(_infinite(c), F.lit(medians[c][0])).otherwise(col(c)).cast(df.schema[c].dataType).alias(c) if c in cols else col(c)
+            F.when(_infinite(c), F.lit(medians[c])).otherwise(col(c)).cast(df.schema[c].dataType).alias(c) if c in medians else col(c)
             for c in df.columns
         ]
     )
 
 
+def infinite_columns(df: DataFrame) -> list[str]:
+    floats = _float_columns(df)
+    found = stats_row(df, {c: F.count_if(_infinite(c)) for c in floats})
+    return [c for c in floats if found[c]]
+
+
 def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(checks, repaired frame). Infinite values are repaired; the rest is only reported.
 
@@ -67,7 +77,7 @@ def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     constant = [c for c in df.columns if s.get(("flat", c))]
     copies = duplicate_count(df)
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    fixed = repair_infinite(df, infinite) if infinite else df
+    fixed = repair_infinite(df, finite_medians(df, infinite)) if infinite else df
     checks = [
         ("no_missing_values", not missing, not missing, sum(s[("null", c)] for c in missing), missing),
         ("no_infinite_values", not infinite, True, sum(s[("inf", c)] for c in infinite), infinite),
@@ -127,6 +137,22 @@ def narrowing_plan(df: DataFrame) -> DataFrame:
     )
 
 
+def narrow_like(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Cast to the types fitted before; a whole-number column of new data that does not fit takes the smallest that does."""
+    sizes = {name: (lo, hi) for name, lo, hi in INTEGER_SIZES}
+    ints = [c for c in df.columns if types.get(c) in sizes]
+    s = stats_row(df, {(k, c): f(col(c)) for c in ints for k, f in (("lo", F.min), ("hi", F.max))})
+    out = []
+    for c in df.columns:
+        target = types.get(c, "dictionary")
+        if c in ints and s[("lo", c)] is not None:
+            fits = lambda lo, hi: lo <= s[("lo", c)] and s[("hi", c)] <= hi  # noqa: E731, B023
+            if not fits(*sizes[target]):
+                target = next((t for t, lo, hi in INTEGER_SIZES if fits(lo, hi)), "bigint")
+        out.append(col(c) if target in ("dictionary", "string") else col(c).cast(target).alias(c))
+    return df.select(*out)
+
+
 def narrow_types(df: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     plan = plan if plan is not None else narrowing_plan(df)
     target = {r["column"]: r["narrowed"] for r in plan.collect()}  # one row per column

@@ -205,6 +205,17 @@ def f12_fill_ordered(t):
     return impute.fill_ordered(df, ["v"], "ts", ["user_id"], ["event_id"]).select("event_id", "v")
 
 
+@query(
+    "f12_fill_ordered_whole",
+    """WITH g AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)
+       SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         first_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM g""",
+)
+def f12_fill_ordered_whole(t):
+    df = t.events.select("event_id", "ts", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
+    return impute.fill_ordered(df, ["v"], "ts", tie=["event_id"]).select("event_id", "v")
+
+
 @query(
     "f13_impute_categorical",
     f"""WITH m AS (SELECT kind, count(*) AS n FROM {SKEWED} s WHERE kind IS NOT NULL GROUP BY kind ORDER BY n DESC, kind LIMIT 1),

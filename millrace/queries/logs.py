@@ -168,9 +168,7 @@ def f43_clean_run(t):
 CLEAN = "(SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS DOUBLE) END AS member FROM events)"
 
 
-@query(
-    "f43_clean_values",
-    f"""WITH s AS (SELECT CASE WHEN abs(skewness(value)) > 2 THEN quantile_cont(value, 0.5) ELSE avg(value) END AS fv, avg(member) AS fm FROM {CLEAN} c),
+CLEAN_VALUES = f"""WITH s AS (SELECT CASE WHEN abs(skewness(value)) > 2 THEN quantile_cont(value, 0.5) ELSE avg(value) END AS fv, avg(member) AS fm FROM {CLEAN} c),
         f AS (SELECT event_id, coalesce(value, fv) AS value, coalesce(member, fm) AS member FROM {CLEAN} c, s),
         k AS (SELECT kurtosis(value) AS kv, quantile_cont(value, 0.25) AS v1, quantile_cont(value, 0.75) AS v3, quantile_cont(member, 0.25) AS m1, quantile_cont(member, 0.75) AS m3, count(*) AS n FROM f),
         o AS (SELECT value AS x, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM f),
@@ -178,19 +176,45 @@ CLEAN = "(SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN value END AS value,
         c AS (SELECT event_id, CASE WHEN kv > 7 THEN least(greatest(value, lo), hi) ELSE least(greatest(value, v1 - 1.5 * (v3 - v1)), v3 + 1.5 * (v3 - v1)) END AS value,
           least(greatest(member, m1 - 1.5 * (m3 - m1)), m3 + 1.5 * (m3 - m1)) AS member FROM f, k, w),
         z AS (SELECT skewness(value) AS sv, avg(value) AS av, stddev_pop(value) AS dv, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3, avg(member) AS am, stddev_pop(member) AS dm FROM c)
-        SELECT event_id, round(CASE WHEN abs(sv) > 1 THEN (value - q2) / (q3 - q1) ELSE (value - av) / dv END, 3) AS value, round((member - am) / dm, 3) AS member FROM c, z""",
-)
-def f43_clean_values(t):
+        SELECT event_id, round(CASE WHEN abs(sv) > 1 THEN (value - q2) / (q3 - q1) ELSE (value - av) / dv END, 3) AS value, round((member - am) / dm, 3) AS member FROM c, z"""
+
+
+def _holed_events(t):
     k = F.col("event_id")
-    df = t.events.select(
+    return t.events.select(
         "event_id",
         F.when(k % 6 != 0, F.col("value")).alias("value"),
         F.when(k % 5 != 0, F.col("user_id").cast("double")).alias("member"),
     )
-    data = clean(df, None, key=["event_id"]).data
+
+
+def _three_decimals(data):
     return data.select(F.col("event_id").cast("bigint"), *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("value", "member")])
 
 
+@query("f43_clean_values", CLEAN_VALUES)
+def f43_clean_values(t):
+    return _three_decimals(clean(_holed_events(t), None, key=["event_id"]).data)
+
+
+@query("f44_replay", CLEAN_VALUES)
+def f44_replay(t):
+    """The fitted steps on the rows they were fitted on."""
+    df = _holed_events(t)
+    return _three_decimals(clean(df, None, key=["event_id"]).apply(df))
+
+
+@query(
+    "f43_clean_times",
+    """WITH g AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts FROM events)
+       SELECT event_id, coalesce(last_value(ts IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         first_value(ts IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS ts FROM g""",
+)
+def f43_clean_times(t):
+    df = t.events.select("event_id", "value", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"))
+    return clean(df, None, key=["event_id"]).data.select(F.col("event_id").cast("bigint"), "ts")
+
+
 @query("f44_saved_result")
 def f44_saved_result(t):
     path = _scratch(t, "cleaned")
