@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.clean.log import TransformationLog
-from millrace.operators.clean.schema import BOOLEAN, CATEGORICAL, FALSE_WORDS, ORDINAL, TEXT, TRUE_WORDS, Schema
+from millrace.operators.clean.schema import BOOLEAN, CATEGORICAL, ORDINAL, TEXT, TRUE_WORDS, Schema
 from millrace.plans.frames import col, is_numeric, small_frame
 
 LOW_CARDINALITY = 6
+MAX_INDICATORS = 1_000
 HIGH_CARDINALITY = 20
 FOLDS = 5
 MISSING = "Missing"
@@ -58,9 +59,15 @@ def onehot_columns(c: str, categories: Sequence[str]) -> dict[str, Column]:
     return {f"{c}_{v}": F.when(_category(c) == F.lit(v), 1).otherwise(0).cast("byte") for v in kept}
 
 
-def encode_onehot(df: DataFrame, c: str, categories: Sequence[str] | None = None) -> DataFrame:
+def encode_onehot(df: DataFrame, c: str, categories: Sequence[str] | None = None, most: int = MAX_INDICATORS) -> DataFrame:
+    """One indicator per category but the first; every category of the column unless they are given.
+
+    More than ``most`` categories are refused: a wide column is for frequency or target encoding.
+    """
     if categories is None:
-        categories = [r[0] for r in df.select(_category(c)).distinct().limit(LOW_CARDINALITY + 2).collect()]
+        categories = [r[0] for r in df.select(_category(c)).distinct().limit(most + 1).collect()]
+        if len(categories) > most:
+            raise ValueError(f"{c} has more than {most} categories; use frequency or target encoding")
     new = onehot_columns(c, categories)
     return df.select(*[col(o) for o in df.columns if o != c], *[e.alias(n) for n, e in new.items()])
 

@@ -22,8 +22,7 @@ TARGET_NAME = re.compile(
     r"target|label|y$|outcome|output|result|class$|churn|fraud|default|survived|response", re.IGNORECASE
 )
 LEAK_NAME = re.compile(r"future|post|after|result|outcome|label|target|score_final|leak", re.IGNORECASE)
-TRUE_WORDS = ("true", "yes", "y", "1", "t", "on")
-FALSE_WORDS = ("false", "no", "n", "0", "f", "off")
+BOOLEAN_PAIRS = (("true", "false"), ("yes", "no"), ("y", "n"), ("1", "0"), ("t", "f"), ("on", "off"))
 ORDINAL_SCALES = (
     ("low", "medium", "high"),
     ("low", "med", "high"),
@@ -40,6 +39,8 @@ ORDINAL_SCALES = (
     ("cold", "warm", "hot"),
     ("mild", "moderate", "severe"),
 )
+TRUE_WORDS = tuple(true for true, _ in BOOLEAN_PAIRS)
+KNOWN_WORDS = sorted({w for words in (*BOOLEAN_PAIRS, *ORDINAL_SCALES) for w in words})
 # Each format with the shape a text must have before it is parsed.
 DATETIME_FORMATS = (
     ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
@@ -57,7 +58,6 @@ CONVERSION_RATE = 0.80
 TEXT_LENGTH = 50
 TEXT_RATIO = 0.5
 ID_RATIO = 0.95
-MAX_WORDS = 20
 
 NUMERIC, BOOLEAN, DATETIME, CATEGORICAL, ORDINAL, TEXT = (
     "numeric", "boolean", "datetime", "categorical", "ordinal", "text",
@@ -135,7 +135,7 @@ def entropy(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def matches_boolean(words: set[str]) -> bool:
-    return any(words <= {t, f} for t, f in zip(TRUE_WORDS, FALSE_WORDS))
+    return any(words <= set(pair) for pair in BOOLEAN_PAIRS)
 
 
 def matching_scale(words: set[str]) -> dict[str, int] | None:
@@ -158,18 +158,17 @@ def infer_schema(df: DataFrame) -> Schema:
         number = as_number(col(c)) if c in text else col(c).cast("double")
         if c in text:
             exprs[(c, "num")] = F.count(number)
+            word = F.lower(F.trim(col(c)))
+            exprs[(c, "words")] = F.collect_set(F.when(word.isin(KNOWN_WORDS), word))
+            exprs[(c, "others")] = F.count_if(~word.isin(KNOWN_WORDS))
             if DATE_NAME.search(c):
                 exprs[(c, "time")] = F.count(as_timestamp(col(c)))
         if c in text or c in numeric:
             exprs[(c, "lo")], exprs[(c, "hi")] = F.min(number), F.max(number)
     stats = stats_row(df, exprs)
     spread = {r["column"]: (r["cardinality"], r["entropy"]) for r in entropy(df, df.columns).collect()}  # row per column
-    few = [c for c in text if 0 < spread.get(c, (0, 0))[0] <= MAX_WORDS]
-    words: dict[str, set[str]] = {}
-    if few:  # at most MAX_WORDS values per column
-        tidy = F.lower(F.trim("value"))
-        listed = value_counts(df, few).groupBy("column").agg(F.collect_set(tidy).alias("w")).collect()
-        words = {r["column"]: set(r["w"]) for r in listed}
+    # The known words of a column, none if it holds any other, in whatever spellings they come.
+    words = {c: set(stats[(c, "words")]) for c in text if not stats[(c, "others")]}
     return {f.name: _infer(f, n, stats, spread.get(f.name, (0, 0.0)), words.get(f.name)) for f in fields}
 
 

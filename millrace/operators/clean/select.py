@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.clean.log import TransformationLog
 from millrace.operators.explore import corr_matrix
-from millrace.plans.frames import col, numeric_columns, stats_row
+from millrace.plans.frames import col, is_numeric, numeric_columns, stats_row
 from millrace.plans.quantiles import quantiles
 
 MIN_VARIANCE = 0.001
@@ -53,14 +53,14 @@ def _edges(values: Sequence[float]) -> list[float]:
 def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: int = 10) -> DataFrame:
     """(column, mi): mutual information in nats between quantile-binned columns and the target.
 
-    The target is used as classes up to 15 distinct values and binned above. Joint counts are
-    at most columns x bins x classes rows; everything after them is tiny.
+    A numeric target is used as classes up to 15 distinct values and binned above; a text target is
+    always classes. Joint counts are at most columns x bins x classes rows.
     """
     probs = [i / bins for i in range(1, bins)]
     rows = df.where(col(target).isNotNull())
-    classes = rows.select(target).distinct().limit(MAX_CLASSES + 1).count()
+    binned = is_numeric(df.schema[target].dataType) and rows.select(target).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES
     cuts = quantiles(rows.select(*[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]), cols, probs)
-    if classes > MAX_CLASSES:
+    if binned:
         y = _bin(col(target).cast("double"), _edges(quantiles(rows, [target], probs)[target])).cast("string")
     else:
         y = col(target).cast("string")

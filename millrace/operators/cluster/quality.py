@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.cluster.neighbors import block_pairs
+from millrace.operators.quality.leakage import class_places
 from millrace.plans.frames import col
 
 NOISE = -1
@@ -32,7 +33,7 @@ def _labelled(df: DataFrame, vector: str, label: str) -> DataFrame:
     """(vec, cluster) without noise rows."""
     kind = df.schema[vector].dataType.typeName()
     v = vector_to_array(vector) if kind == "vectorudt" or "vector" in kind else col(vector).cast("array<double>")
-    return df.select(v.alias("vec"), col(label).cast("int").alias("cluster")).where(F.col("cluster") != NOISE)
+    return df.select(v.alias("vec"), col(label).cast("bigint").alias("cluster")).where(F.col("cluster") != NOISE)
 
 
 def centroids(points: DataFrame) -> DataFrame:
@@ -44,7 +45,12 @@ def centroids(points: DataFrame) -> DataFrame:
 
 def silhouette(df: DataFrame, vector: str = "features", label: str = "prediction") -> float:
     """Mean silhouette with squared Euclidean distance (closed form over cluster sums)."""
-    points = _labelled(df, vector, label).select(array_to_vector("vec").alias("features"), F.col("cluster").cast("double").alias("prediction"))
+    points = _labelled(df, vector, label)
+    # The evaluator wants small whole numbers; cluster ids may be any long.
+    places = class_places(points.select("cluster"), "cluster")
+    points = points.join(places, F.col("cluster") == F.col("_class")).select(
+        array_to_vector("vec").alias("features"), F.col("_place").cast("double").alias("prediction")
+    )
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(points)
 
 

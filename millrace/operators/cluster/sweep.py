@@ -22,7 +22,6 @@ from millrace.operators.ml.prep import build_preprocessor, model_frame
 from millrace.plans.frames import col, numeric_columns, small_frame
 
 MIN_VARIANCE = 0.01
-MAX_K = 12
 SWEEP_SCHEMA = (
     "algorithm string, k int, silhouette double, davies_bouldin double, calinski_harabasz double, stability double, "
     "score double, error string"
@@ -86,7 +85,8 @@ def stability(df: DataFrame, runs: Sequence) -> float:
 
 def k_sweep(df: DataFrame, k_min: int = 2, k_max: int = 10, algorithms: Sequence[str] | None = None) -> DataFrame:
     """Every algorithm and k, best score first. ``df`` holds ``features`` and should be cached."""
-    k_max = min(k_max, df.count() // 3, MAX_K)
+    if not 2 <= k_min <= k_max < df.count():
+        raise ValueError("k must lie between 2 and the number of rows less one")
     rows = []
     for name in algorithms or ALGORITHMS:
         for k in range(k_min, k_max + 1):

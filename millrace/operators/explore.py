@@ -43,8 +43,8 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed, empty bins kept: (bin, low, high, n)."""
-    if not 1 <= bins <= 1000:
-        raise ValueError("bins must be between 1 and 1000")
+    if bins < 1:
+        raise ValueError("bins must be at least 1")
     x = col(column).cast("double")
     return _binned(df.select(x.alias("x")), df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")), bins)
 
@@ -69,10 +69,10 @@ def _binned(values: DataFrame, bounds: DataFrame, bins: int) -> DataFrame:
     )
 
 
-def histogram_pair(before: DataFrame, after: DataFrame, cols: Sequence[str], bins: int = 40, limit: int = 6) -> DataFrame:
-    """Before / after distribution of up to ``limit`` columns on shared bins."""
+def histogram_pair(before: DataFrame, after: DataFrame, cols: Sequence[str], bins: int = 40) -> DataFrame:
+    """Before / after distribution of the columns on shared bins."""
     out = None
-    for c in list(cols)[:limit]:
+    for c in cols:
         b = before.select(col(c).cast("double").alias("x"))
         a = after.select(col(c).cast("double").alias("x"))
         bounds = b.unionByName(a).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -272,10 +272,10 @@ def filter_options(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column).alias("option")).where("option IS NOT NULL").distinct()
 
 
-def missing_map(df: DataFrame, limit: int = 30) -> DataFrame:
-    """(a, b, n): missing cells per column (a = b) and rows missing both, first ``limit`` columns with gaps."""
+def missing_map(df: DataFrame) -> DataFrame:
+    """(a, b, n): missing cells per column with gaps (a = b) and rows missing both."""
     counts = stats_row(df, {c: F.count_if(col(c).isNull()) for c in df.columns})
-    gaps = [c for c in df.columns if counts[c]][:limit]
+    gaps = [c for c in df.columns if counts[c]]
     rows = [(c, c, counts[c]) for c in gaps]
     pairs = list(combinations(gaps, 2))
     both = stats_row(df, {p: F.count_if(col(p[0]).isNull() & col(p[1]).isNull()) for p in pairs})

@@ -1,7 +1,7 @@
 """Ready-made metric models for sales, marketing and finance tables.
 
 Each builder takes the frames in the role names it documents and returns a Model; run its
-metrics with ``query_metrics``.
+metrics with ``query_metrics``. Metric names and their expressions are fixed values of the contract.
 """
 
 from __future__ import annotations

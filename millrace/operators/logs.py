@@ -13,6 +13,9 @@ from millrace.plans.lineage import cut_lineage
 
 WINDOWS = ("today", "yesterday", "last 7 days", "last 30 days")
 
+#: Frontiers of a closure that are read side by side before they are written as one.
+HOPS_KEPT_APART = 8
+
 
 def audit_query(
     log: DataFrame,
@@ -67,24 +70,27 @@ def lineage_search(entries: DataFrame, term: str) -> DataFrame:
     return entries.where(own | source).select("artifact", "type", F.when(own, "artifact").otherwise("source").alias("found_in"))
 
 
-def lineage_closure(edges: DataFrame, node: str, direction: str = "downstream", max_depth: int = 1_000) -> DataFrame:
+def lineage_closure(edges: DataFrame, node: str, direction: str = "downstream") -> DataFrame:
     """(node, depth): everything reachable from ``node``, with the smallest number of hops.
 
-    One join per hop over the frontier only; visited nodes never come back, so cycles end.
+    One join per hop over the frontier only; visited nodes never come back, so it ends with the last
+    new node, however deep the chain. Frontiers are appended, and joined into one every few hops.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError("direction must be downstream or upstream")
     a, b = ("src", "dst") if direction == "downstream" else ("dst", "src")
     hops = edges.select(col(a).alias("node"), col(b).alias("next")).distinct()
     seen = edges.sparkSession.createDataFrame([(node, 0)], "node string, depth int")
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while True:
+        depth += 1
         fresh = hops.join(frontier.select("node"), "node").select(F.col("next").alias("node")).distinct()
         frontier = cut_lineage(fresh.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen.where("depth > 0")
-        seen = cut_lineage(seen.unionByName(frontier))
-    return seen.where("depth > 0")
+        seen = seen.unionByName(frontier)
+        if depth % HOPS_KEPT_APART == 0:
+            seen = cut_lineage(seen)
 
 
 def filter_tags(df: DataFrame, tag: str | None = None, author: object = None, tags: str = "tags", author_col: str = "author") -> DataFrame:

@@ -206,8 +206,8 @@ def quality_summary(profiles: DataFrame) -> DataFrame:
     )
 
 
-def column_report(df: DataFrame, table: str, columns: int = 5, values: int = 3) -> DataFrame:
-    """Flat export: profile, category, and frequent values of the first categorical columns."""
+def column_report(df: DataFrame, table: str, columns: int | None = None, values: int = 3) -> DataFrame:
+    """Flat export: profile, category, and frequent values of the categorical columns (the first ``columns`` if given)."""
     from millrace.operators.catalog import category_of
 
     stats = profile(df, table).withColumn("category", category_of(F.col("column"), F.col("type")))
@@ -225,5 +225,5 @@ def column_report(df: DataFrame, table: str, columns: int = 5, values: int = 3)
     )
     return chosen.join(F.broadcast(tops), F.col("column") == F.col("_column"), "left").select(
         "table", "column", "type", "category", "row_count", "null_pct", "distinct_count", "is_unique", "quality",
-        F.when(F.col("wanted") & (F.col("_rank") <= columns), F.col("_text")).alias("frequent"),
+        F.when(F.col("wanted") & (F.lit(columns is None) | (F.col("_rank") <= (columns or 0))), F.col("_text")).alias("frequent"),
     )

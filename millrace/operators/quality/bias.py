@@ -74,8 +74,9 @@ def bias_report(
             span = group_report(df, c, target).agg(F.max("mean") - F.min("mean")).first()[0]
             if span is None:
                 continue
-            overall = df.agg(F.avg(col(target).cast("double"))).first()[0]
-            biased = span > DISPARITY * (abs(overall) + 1e-8) if overall else False
+            # A spread is judged against the level of the target; around a mean of zero any spread counts.
+            level = df.agg(F.abs(F.avg(col(target).cast("double")))).first()[0]
+            biased = span > 0 if level == 0 else span / level > DISPARITY
             statistic, p = anova_test(df, c, target)
             rows.append((c, groups, "anova", round(span, 4), bool(biased), statistic, p))
         else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.moments import clean_corr
@@ -14,26 +14,37 @@ LEAK_CORR = 0.98
 LEAK_SCHEMA = "column string, correlation double, corr_flag boolean, name_flag boolean, datetime_flag boolean"
 
 
-def detect_leakage(df: DataFrame, schema: Schema, target: str, classes: int = 10_000) -> DataFrame:
+def class_places(df: DataFrame, target: str) -> DataFrame:
+    """(_class, _place): distinct values in ascending order from 0, however many.
+
+    Values meet in buckets of their first characters; a bucket's offset is the size of those before it.
+    """
+    classes = df.select(col(target).alias("_class")).where("_class IS NOT NULL").distinct().withColumn("_head", F.substring(F.col("_class").cast("string"), 1, 2))
+    heads = classes.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = heads.select("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_head").orderBy("_class")) - 1
+    return classes.withColumn("_row", inside).join(offsets, "_head").select("_class", (F.col("_row") + F.col("_offset")).alias("_place"))
+
+
+def detect_leakage(df: DataFrame, schema: Schema, target: str) -> DataFrame:
     """Rows for columns with a correlation of at least 0.98 (gaps at the median), a leaky name or a date.
 
-    A text target is coded by the alphabetical place of its classes.
+    A text target is coded by the alphabetical place of its classes, joined from a ranked frame of them.
     """
-    cols = [c for c in numeric_columns(df) if c != target]
+    names, cols = df.columns, [c for c in numeric_columns(df) if c != target]
     if is_numeric(df.schema[target].dataType):
         y = col(target).cast("double")
     else:
-        ranked = [r[0] for r in df.select(target).where(col(target).isNotNull()).distinct().orderBy(target).limit(classes + 1).collect()]
-        if len(ranked) > classes:
-            raise ValueError(f"{target} has more than {classes} classes")
-        y = (F.array_position(F.lit([str(v) for v in ranked]), col(target).cast("string")) - 1).cast("double")
+        df = df.join(class_places(df, target), col(target) == F.col("_class"), "left")
+        y = F.col("_place").cast("double")
     gaps = stats_row(df, {c: F.count_if(col(c).isNull()) for c in cols})
     holed = [c for c in cols if gaps[c]]
     medians = {c: v[0] for c, v in quantiles(df, holed, [0.5]).items()} if holed else {}
     filled = {c: F.coalesce(col(c).cast("double"), F.lit(medians[c])) if c in medians else col(c).cast("double") for c in cols}
     r = stats_row(df, {c: clean_corr(filled[c], y) for c in cols})
     rows = []
-    for c in df.columns:
+    for c in names:
         if c == target:
             continue
         value = None if r.get(c) is None else abs(r[c])

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from millrace.plans.lineage import cut_lineage
 
-MAX_ROUNDS = 100
-
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): smallest vertex id of the component; ``edges`` is (src, dst).
@@ -21,7 +19,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
     labels = cut_lineage(vertices.select("id", F.col("id").alias("component")))
     total = _total(labels)
-    for _ in range(MAX_ROUNDS):
+    while True:
         named = labels.select(F.col("id").alias("dst"), F.col("component").alias("_near"))
         nearest = both.join(named, "dst").groupBy(F.col("src").alias("id")).agg(F.min("_near").alias("_near"))
         lower = labels.join(nearest, "id", "left").select(
@@ -34,7 +32,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         if fresh == total:
             return labels
         total = fresh
-    raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
 
 
 def _total(labels: DataFrame):
