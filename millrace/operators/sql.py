@@ -39,8 +39,12 @@ def run_sql(
     args: dict[str, object] | None = None,
     types: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Run one statement with named parameters (``:name``) bound as values, never as text."""
+    """Run one statement with named parameters (``:name``) bound as values, never as text.
+
+    Recursive statements end with their data: the session's limit on levels is lifted.
+    """
     register(views)
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     if args:
         return spark.sql(query, args=typed_args(args, types))
     return spark.sql(query)

@@ -191,7 +191,7 @@ def f11_impute_regression(t):
 
 @query("f11_impute_iterative")
 def f11_impute_iterative(t):
-    return impute.impute_iterative(holed(t).select("l_orderkey", "l_linenumber", *NUMS), NUMS, rounds=2)
+    return impute.impute_iterative(holed(t).select("l_orderkey", "l_linenumber", *NUMS), NUMS)
 
 
 @query(

@@ -25,7 +25,7 @@ def _local(df):
     "SELECT event_type, date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts)",
 )
 def s1_tumbling_counts(t):
-    return _local(runner.drain_complete(windows.window_counts(event_stream(t), "ts", "1 hour", by=["event_type"]), _scratch(t, "tumbling")))
+    return _local(runner.drain_updates(windows.window_counts(event_stream(t), "ts", "1 hour", by=["event_type"]), _scratch(t, "tumbling"), ["event_type", "start", "end"]))
 
 
 @query(
@@ -34,7 +34,7 @@ def s1_tumbling_counts(t):
        FROM events, (VALUES (0), (1)) s(k) GROUP BY 1, 2""",
 )
 def s1_sliding_counts(t):
-    return _local(runner.drain_complete(windows.window_counts(event_stream(t), "ts", "2 hours", "1 hour"), _scratch(t, "sliding")))
+    return _local(runner.drain_updates(windows.window_counts(event_stream(t), "ts", "2 hours", "1 hour"), _scratch(t, "sliding"), ["start", "end"]))
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings that change results or plan shape. Cluster sizing (executors, memory,
@@ -25,6 +23,7 @@ def local_session(cores: int = 8, app: str = "millrace", **extra: str) -> SparkS
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": str(cores),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": "12g",
         **extra,
     }
@@ -36,7 +35,7 @@ def local_session(cores: int = 8, app: str = "millrace", **extra: str) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the cluster, or a fresh local one where none is named."""
+    """Checkpoint folder of the cluster; a local session that names none uses one beside its warehouse."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -45,6 +44,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        path = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     context.setCheckpointDir(path)
     return path

@@ -25,10 +25,23 @@ def rows(df):
 
 @pytest.mark.parametrize("size, slide", [("1 hour", None), ("2 hours", "30 minutes")])
 def test_counts(spark, parts, tmp_path, size, slide):
-    live = runner.drain_complete(windows.window_counts(stream(spark, parts), "ts", size, slide, ["event_type"], late="30 days"), str(tmp_path / "w"))
+    counted = windows.window_counts(stream(spark, parts), "ts", size, slide, ["event_type"], late="30 days")
+    live = runner.drain_updates(counted, str(tmp_path / "w"), ["event_type", "start", "end"])
     assert rows(live) == rows(windows.window_counts(parts[1], "ts", size, slide, ["event_type"]))
 
 
+def test_rows_beyond_the_bound_are_dropped(spark, parts, tmp_path):
+    """Day 1, day 9, then a row of day 1 and one of day 9: only the latter still counts."""
+    folder = str(tmp_path / "late")
+    for k, days in enumerate(((1, 1), (9,), (9,), (1, 9))):
+        frame = spark.range(len(days)).select(F.element_at(F.array(*[F.lit(f"2024-01-0{d} 10:00:00") for d in days]), (F.col("id") + 1).cast("int")).cast("timestamp_ntz").alias("ts"))
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        __import__("time").sleep(1.1)  # files are taken in the order of their times
+    live = runner.file_stream(spark, folder, "*.parquet", frame.schema)
+    out = runner.drain_updates(windows.window_counts(live, "ts", "1 day", late="1 day"), str(tmp_path / "o"), ["start", "end"])
+    assert sorted(r.n for r in out.collect()) == [2, 3]
+
+
 def test_sessions(spark, parts, tmp_path):
     live = runner.drain_complete(windows.session_counts(stream(spark, parts), "ts", "3 hours", ["user_id"], late="30 days"), str(tmp_path / "s"))
     assert rows(live) == rows(windows.session_counts(parts[1], "ts", "3 hours", ["user_id"]))
