@@ -23,6 +23,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,54 +41,65 @@ END = 1
 SHARD_TOKENS = 4 << 20
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-REMEMBERED = 400_000
+#: Distinct chunks that an encoder keeps, the first ones it meets; others are encoded when met.
+REMEMBERED = 500_000
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte behind each letter of a byte-level vocabulary: printable ones stand for themselves, others follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
+
+
 class Encoder:
     """Token ids of texts; chunks of white space and what follows it are encoded once and remembered.
 
     The vocabulary's pattern never joins a character to white space after it, so a text's ids are those of its
-    chunks in turn. Separators on which white-space definitions differ send a text to the tokenizer whole.
+    chunks in turn. New chunks go through a merger built from the tokenizer file's own vocabulary, whose ids are
+    its merge ranks; separators on which white-space definitions differ send a text to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self) -> None:
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        letters = _bytes_of_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        self.merger = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.index: dict[str, int] = {}
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        fresh = [c for c in dict.fromkeys(chunks) if c not in self.index]
-        if not fresh:
-            return
-        if len(self.index) + len(fresh) > REMEMBERED:
-            self._forget()
-            fresh = list(dict.fromkeys(chunks))
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(size.sum()))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
-        self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+    def _table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each chunk, all ids, first id and number of ids by row); the first REMEMBERED chunks met stay."""
+        at, table = list(map(self.index.get, chunks)), (self.flat, self.first, self.size)
+        if None in at:
+            fresh = list(dict.fromkeys(c for c, i in zip(chunks, at) if i is None))
+            ids = list(map(self.merger.encode_ordinary, fresh))
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+            known = dict(zip(fresh, range(len(self.size), len(self.size) + len(fresh))))
+            at = [known[c] if i is None else i for c, i in zip(chunks, at)]
+            first = len(self.flat) + np.cumsum(size) - size
+            table = tuple(map(np.concatenate, ((self.flat, flat), (self.first, first), (self.size, size))))
+            if len(self.index) + len(fresh) <= REMEMBERED:
+                self.index.update(known)
+                self.flat, self.first, self.size = table
+        return np.array(at, np.int64), *table
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [[] if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        chunks = [c for p in parts for c in p]
-        self._learn(chunks)
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[at]
+        at, table, first, sizes = self._table(list(chain.from_iterable(parts)))
+        size = sizes[at]
         ends = np.cumsum(size)
-        flat = self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(int(size.sum()))]
+        flat = table[np.repeat(first[at] - (ends - size), size) + np.arange(int(size.sum()))]
         edge = np.concatenate(([0], ends))[np.cumsum([0, *map(len, parts)])]
         out = [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
         for i, text in enumerate(texts):
@@ -95,6 +108,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process, with what it remembers."""
+    return Encoder(path)
+
+
 class Index:
     """BM25 index of one shard's tails: postings by term, weights ready to add."""
 
@@ -189,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
     shards = max(1, math.ceil((docs.agg(F.sum(bound)).first()[0] or 0) / shard_tokens))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, met = Encoder(path), Counter()
+        encoder, met = encoder_of(path), Counter()
         schema = pa.schema([(n, {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in _WIDE.split(", "))])
         for batch, raw in slices(batches, "text"):
             out = []
