@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,10 +69,26 @@ def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     return model.transform(df.withColumn(column, col(column).cast("string"))).withColumn(out, col(out).cast("int"))
 
 
+class UnknownClasses(Transformer, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Class indexes in which the place kept for unseen and missing classes, the last one, is -1."""
+
+    @keyword_only
+    def __init__(self, *, inputCols: list[str] | None = None, outputCols: list[str] | None = None) -> None:
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = []
+        for source, name in zip(self.getInputCols(), self.getOutputCols()):
+            last = len(df.schema[source].metadata["ml_attr"]["vals"]) - 1
+            out.append(F.when(col(source) == last, -1.0).otherwise(col(source)).alias(name))
+        return df.select("*", *out)
+
+
 def build_preprocessor(
     numeric: Sequence[str], categorical: Sequence[str], output: str = "features", standardize: bool = True
 ) -> Pipeline:
-    """Median imputation, class indexes (unseen and missing classes get their own), scaling.
+    """Median imputation, class indexes (-1 for unseen and missing classes), scaling.
 
     Stages keep their working columns behind ``_p_`` names. Scaling divides by the sample
     deviation, MLlib's choice.
@@ -83,11 +102,12 @@ def build_preprocessor(
             stages.append(StandardScaler(inputCol="_p_numeric", outputCol="_p_scaled", withMean=True, withStd=True))
         inputs.append("_p_scaled" if standardize else "_p_numeric")
     if categorical:
-        indexed = [f"_p_{c}" for c in categorical]
+        indexed, placed = [f"_i_{c}" for c in categorical], [f"_p_{c}" for c in categorical]
         stages.append(
             StringIndexer(inputCols=list(categorical), outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="keep")
         )
-        inputs += indexed
+        stages.append(UnknownClasses(inputCols=indexed, outputCols=placed))
+        inputs += placed
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="keep"))
     return Pipeline(stages=stages)
 

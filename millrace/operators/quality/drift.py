@@ -29,16 +29,24 @@ def drift_ks(ref: DataFrame, new: DataFrame, column: str) -> DataFrame:
     return ranked.agg(F.max(gap).alias("ks"), F.max("all_r").alias("n_ref"), F.max("all_w").alias("n_new"))
 
 
+def category_counts(df: DataFrame, column: str) -> DataFrame:
+    """(c, n): rows of each category as text, missing ones left out."""
+    return df.select(col(column).cast("string").alias("c")).where("c IS NOT NULL").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+
+
 def drift_chi2(ref: DataFrame, new: DataFrame, column: str) -> DataFrame:
     """Chi-square of the new category counts against the reference shares: (chi2, dof, n_ref, n_new).
 
     Counts are smoothed by one per category and both scaled to the size of the new frame.
     """
-    value = col(column).cast("string").alias("c")
-    both = ref.select(value, F.lit(1).alias("r"), F.lit(0).alias("w")).unionByName(
-        new.select(value, F.lit(0).alias("r"), F.lit(1).alias("w"))
-    )
-    counts = both.where("c IS NOT NULL").groupBy("c").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
+    return drift_of_counts(category_counts(ref, column), category_counts(new, column))
+
+
+def drift_of_counts(ref: DataFrame, new: DataFrame) -> DataFrame:
+    """The same from category counts (c, n)."""
+    zero = F.lit(0).cast("bigint")
+    both = ref.select("c", F.col("n").alias("r"), zero.alias("w")).unionByName(new.select("c", zero.alias("r"), F.col("n").alias("w")))
+    counts = both.groupBy("c").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
     t = counts.agg(
         F.sum(F.col("r") + 1).alias("sr"), F.sum(F.col("w") + 1).alias("sw"), F.sum("w").alias("m"),
     )

@@ -66,8 +66,9 @@ def s2_window_checks(t):
 )
 def s2_batch_drift(t):
     path = _scratch(t, "drift")
-    baseline = t.events.where(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
-    runner.drain_batches(event_stream(t), quality.to_batches(lambda batch: quality.batch_drift(batch, baseline, ["event_type"]), path))
+    before = t.events.where(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
+    baseline = quality.baseline_counts(before, ["event_type"])
+    runner.drain_batches(event_stream(t), quality.to_batches(lambda batch: quality.batch_drift(batch, baseline), path))
     return rounded(t.spark.read.parquet(path).drop("batch"), 6)
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.quality.drift import drift_chi2
+from millrace.operators.quality.drift import category_counts, drift_of_counts
 from millrace.plans.frames import col
+from millrace.plans.lineage import cut_lineage
 from millrace.streaming.windows import event_time
 
 
@@ -39,11 +40,16 @@ def merge_checks(parts: DataFrame) -> DataFrame:
     ).withColumn("passed", (F.col("nulls") == 0) & (F.col("infinite") == 0) & ~F.col("constant"))
 
 
-def batch_drift(batch: DataFrame, baseline: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, chi2, dof) of one batch against a stored baseline frame."""
+def baseline_counts(baseline: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """Category counts of the baseline, made once and kept in the checkpoint folder for all batches."""
+    return {c: cut_lineage(category_counts(baseline, c)) for c in columns}
+
+
+def batch_drift(batch: DataFrame, baseline: dict[str, DataFrame]) -> DataFrame:
+    """(column, chi2, dof) of one batch against the kept counts of a baseline."""
     out = None
-    for c in columns:
-        part = drift_chi2(baseline, batch, c).select(F.lit(c).alias("column"), "chi2", "dof")
+    for c, counts in baseline.items():
+        part = drift_of_counts(counts, category_counts(batch, c)).select(F.lit(c).alias("column"), "chi2", "dof")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -31,7 +31,7 @@ def test_preprocessor_handles_gaps_and_new_classes(spark):
     model = prep.build_preprocessor(["x"], ["c"]).fit(train)
     new = spark.createDataFrame([(None, "zzz")], "x double, c string")
     features = model.transform(new).first()["features"]
-    assert features[0] == pytest.approx(0.0) and features[1] == 2.0
+    assert features[0] == pytest.approx(0.0) and features[1] == -1.0
 
 
 def test_compare_ranks_and_reports_failures(loans):

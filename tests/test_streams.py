@@ -75,5 +75,6 @@ def test_alerts_drop_redelivered_events(spark, parts, tmp_path):
 
 
 def test_drift_per_batch(spark, parts, tmp_path):
-    runner.drain_batches(stream(spark, parts), quality.to_batches(lambda b: quality.batch_drift(b, parts[1], ["event_type"]), str(tmp_path / "d")))
+    counts = quality.baseline_counts(parts[1], ["event_type"])
+    runner.drain_batches(stream(spark, parts), quality.to_batches(lambda b: quality.batch_drift(b, counts), str(tmp_path / "d")))
     assert spark.read.parquet(str(tmp_path / "d")).where("chi2 >= 0").count() > 1
