@@ -23,11 +23,11 @@ HEADLINE = (
     "c2_model_view", "c6_metrics_by_dimensions", "c9_sales_by_location",
     "d2_column_profile", "d2_profile_approx", "d6_top_values", "d17_functional_deps", "d18_inclusion_deps",
     "e2_histogram", "e3_describe_lineitem", "e7_correlation", "e12_moving_anomalies", "e16_smoothed_history", "e23_overview",
-    "f1_infer_schema", "f11_impute_regression", "f12_fill_ordered", "f15_outlier_report", "f18_winsorize", "f23_encode_target",
+    "f1_infer_schema", "f11_impute_regression", "f12_fill_ordered", "f12_fill_ordered_whole", "e16_smoothed_gaps", "f15_outlier_report", "f18_winsorize", "f23_encode_target",
     "f30_mutual_information", "f31_validate", "f34_anova", "f35_chi2", "f36_drift_ks", "f37_drift_chi2", "f43_clean_values",
     "g9_knn_classify", "g18_classification_report", "g19_auc", "g21_regression_metrics",
     "h6_davies_bouldin", "h11_dbscan", "h12_isolation_forest", "h13_lof", "h16_cluster_profiles",
-    "i2_keep_latest", "i5_lineage_downstream", "s1_tumbling_counts",
+    "i2_keep_latest", "i5_lineage_downstream", "s1_tumbling_counts", "f44_replay",
 )
 
 
