@@ -138,7 +138,7 @@ def h11_dbscan(t):
 
 @query("h12_isolation_forest")
 def h12_isolation_forest(t):
-    return ou.isolation_forest(points(t), trees=50)
+    return ou.isolation_forest(points(t))
 
 
 LOF = NEAR + """, n AS (SELECT id, neighbor, dist FROM r WHERE rank <= 20), k AS (SELECT id, max(dist) AS kd FROM n GROUP BY id),
@@ -206,7 +206,7 @@ def h17_top_feature(t):
 def h18_annotate(t):
     p = points(t)
     clusters = p.select("id").join(t.embeddings.select(F.col("vec_id").alias("_v"), F.col("label").alias("cluster")), F.col("id") == F.col("_v")).drop("_v")
-    flags = ou.combine(ou.isolation_forest(p, trees=20), ou.lof(p, 20))
+    flags = ou.combine(ou.isolation_forest(p), ou.lof(p, 20))
     return ou.annotate(t.embeddings.select("vec_id", "label"), "vec_id", clusters, flags)
 
 
