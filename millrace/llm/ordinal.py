@@ -63,17 +63,38 @@ def features(texts: list[bytes | None]) -> Features:
     buffer = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8).astype(np.uint64)
     gram = buffer[:-2] | (buffer[1:-1] << np.uint64(8)) | (buffer[2:] << np.uint64(16))
     sizes = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, n)
-    gram_owner = np.repeat(np.arange(n), sizes)[: len(gram)]
-    code, times = np.unique((gram_owner.astype(np.uint64) << np.uint64(24)) | gram, return_counts=True)
+    byte_owner = np.repeat(np.arange(n), sizes)
+    # Trigrams stay within their text and the line end after it, whatever text comes next.
+    whole = byte_owner[:-2] == byte_owner[2:]
+    code, times = np.unique((byte_owner[:-2][whole].astype(np.uint64) << np.uint64(24)) | gram[whole], return_counts=True)
     code_owner = (code >> np.uint64(24)).astype(np.int64)
     mask = np.uint64(DIMENSIONS - 1)
     index = np.concatenate([found.hashes[distinct] & mask, mix((code & np.uint64(0xFFFFFF)) + np.uint64(0xA5A5A5A5A5)) & mask]).astype(np.int64)
     value = np.concatenate([1 / np.sqrt(held[word_owner]), np.sqrt(times / sizes[code_owner])])
     row = np.concatenate([word_owner, code_owner])
-    order = np.argsort(row, kind="stable")
+    order = np.lexsort((value, index, row))
     return Features(index[order], value[order], np.searchsorted(row[order], np.arange(n + 1)), found.counts)
 
 
+def features_by_slices(texts: list[bytes | None], most: int = 1 << 19) -> Features:
+    """The same for many texts, about ``most`` bytes at a time, in numbers of half the size."""
+    parts, start, size = [], 0, 0
+
+    def add(end: int) -> None:
+        part = features(texts[start:end])
+        parts.append(Features(part.index.astype(np.int32), part.value.astype(np.float32), part.bounds, part.words))
+
+    for i, text in enumerate(texts):
+        if size and size + len(text or b"") > most:
+            add(i)
+            start, size = i, 0
+        size += len(text or b"")
+    add(len(texts))
+    edge = np.cumsum([0, *[len(p.index) for p in parts]])
+    bounds = np.concatenate([[0], *[p.bounds[1:] + e for p, e in zip(parts, edge)]])
+    return Features(np.concatenate([p.index for p in parts]), np.concatenate([p.value for p in parts]), bounds, np.concatenate([p.words for p in parts]))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -87,7 +108,7 @@ def fit(rows: Features, grade: np.ndarray, weight: np.ndarray, grades: int, step
     t = np.maximum.accumulate(t + 1e-3 * np.arange(grades - 1))
     t2 = np.full(grades - 1, 1e-8)
     held = np.bincount(rows.index, minlength=DIMENSIONS)
-    rows = Features(rows.index, np.where(held[rows.index] >= min_rows, rows.value, 0.0), rows.bounds, rows.words)
+    rows = Features(rows.index, np.where(held[rows.index] >= min_rows, rows.value, rows.value.dtype.type(0)), rows.bounds, rows.words)
     draw = np.random.default_rng(1)
     parts = max(1, len(grade) // BATCH)
     for _ in range(-(-steps // parts)):
@@ -142,7 +163,7 @@ def learn(docs: DataFrame, rated: DataFrame, fit_rows: int = FIT_ROWS, steps: in
         grade = table["grade"].to_numpy().astype(np.int64)
         took = np.bincount(grade, minlength=grades)
         weight = np.array([counts.get(k, 0) / max(took[k], 1) for k in range(grades)])[grade]
-        w, t = fit(features(column_bytes(table, "text")), grade, weight / weight.mean(), grades, steps)
+        w, t = fit(features_by_slices(column_bytes(table, "text")), grade, weight / weight.mean(), grades, steps)
         return pa.table({"weights": [w.astype("<f4").tobytes()], "thresholds": [t.astype("<f8").tobytes()]})
 
     if len(counts) < 2:

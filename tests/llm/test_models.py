@@ -171,6 +171,16 @@ def test_ordinal_held_out(graded):
     assert expected[0] < expected[1] < expected[2]
 
 
+def test_features_do_not_depend_on_neighbours():
+    texts = [None, b"", b"a", b"ab cd", "été là".encode(), *[cases.prose(k, 40).encode() for k in range(20)]]
+    whole, cut = ordinal.features(texts), ordinal.features_by_slices(texts, 100)
+    assert np.array_equal(whole.index, cut.index) and np.allclose(whole.value, cut.value) and np.array_equal(whole.bounds, cut.bounds)
+    for k, text in enumerate(texts):
+        alone = ordinal.features([text])
+        part = slice(whole.bounds[k], whole.bounds[k + 1])
+        assert np.array_equal(alone.index, whole.index[part]) and np.allclose(alone.value, whole.value[part])
+
+
 def test_ordinal_gradient_fit_orders_grades():
     texts = [f"{'bad ' * (k % 3 == 0)}{'so ' * (k % 3 == 1)}{'good ' * (k % 3 == 2)}{cases.prose(k, 10, 30)}".encode() for k in range(300)]
     grade = np.arange(300) % 3
