@@ -49,6 +49,8 @@ MISS = 1e-5
 #: Nodes of a bucket that a task compares with as many others, and shingles counted at a time there.
 BLOCK = 1024
 STRIP = 4096
+#: Rows of a call that decides many small tasks, on average.
+BUNDLE = 16_384
 _FACTORS = (np.random.default_rng(20240607).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ONES = sum(((1 << BITS) - 1) << (LANE * i) for i in range(WIDTH))
 _TOPS = sum((1 << BITS) << (LANE * i) for i in range(WIDTH))
@@ -193,32 +195,62 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _segments(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows of a bundle in order of (key, low, high), with the first row and number of rows of each such task."""
+    key, low, high = (table[c].to_numpy() for c in ("key", "low", "high"))
+    order = np.lexsort((high, low, key))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+    first = np.flatnonzero(fresh)
+    return table.take(pa.array(order)), first, np.diff(np.append(first, len(order)))
+
+
 def _near_in_bucket(masks: list[tuple[int, int]], bound: int, like: Likeness):
-    """Nodes of a bucket's two blocks that have a partner in reach, in another component, met here first."""
+    """Nodes of two blocks of a bucket that have a partner in reach, in another component, met here first.
+
+    A call gets a bundle of such tasks; those of two nodes, the most, are decided all at once.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        half, nid, part, n = (table[c].to_numpy() for c in ("half", "nid", "part", "n"))
-        sig = np.array(table["sig"].to_pylist(), np.int64)
-        low, high, slot = (table[c][0].as_py() for c in ("low", "high", "slot"))
-        left, right = np.flatnonzero(half == low), np.flatnonzero(half == high)
-        close = _distances(sig[left], sig[right]) <= bound
-        close &= part[left][:, None] != part[right][None, :]
-        small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-        a, b = np.nonzero(close & (like.den * small >= like.num * large))
-        a, b = left[a], right[b]
-        for c, mask in masks[:slot]:
-            later = ((sig[a, c] ^ sig[b, c]) & mask) != 0
-            a, b = a[later], b[later]
-        use = np.unique(np.concatenate([a, b]))
-        return table.select(["key", "low", "high", "half", "nid"]).take(pa.array(use))
+        table, first, size = _segments(table)
+        half, part, n, low, high, slot = (table[c].to_numpy() for c in ("half", "part", "n", "low", "high", "slot"))
+        sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(half), -1)
+        ones = first[size == 2]
+        use = ((half[ones] == low[ones]) & (half[ones + 1] == high[ones])) | ((half[ones] == high[ones]) & (half[ones + 1] == low[ones]))
+        near = np.bitwise_count(((sig[ones] ^ sig[ones + 1]) + _ONES) & _TOPS).sum(axis=1) <= bound
+        small, large = np.minimum(n[ones], n[ones + 1]), np.maximum(n[ones], n[ones + 1])
+        use &= near & (part[ones] != part[ones + 1]) & (like.den * small >= like.num * large)
+        a, b = [ones[use]], [ones[use] + 1]
+        for start, rows in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            own = half[start : start + rows]
+            left, right = start + np.flatnonzero(own == low[start]), start + np.flatnonzero(own == high[start])
+            close = (_distances(sig[left], sig[right]) <= bound) & (part[left][:, None] != part[right][None, :])
+            small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+            x, y = np.nonzero(close & (like.den * small >= like.num * large))
+            a.append(left[x])
+            b.append(right[y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        kept = []
+        for value in np.unique(slot[a]).tolist():
+            x, y = a[slot[a] == value], b[slot[a] == value]
+            for c, mask in masks[:value]:
+                later = ((sig[x, c] ^ sig[y, c]) & mask) != 0
+                x, y = x[later], y[later]
+            kept += [x, y]
+        rows = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+        return table.select(["key", "low", "high", "half", "nid"]).take(pa.array(rows))
 
     return run
 
 
 def _linked_in_bucket(like: Likeness):
-    """Links between a bucket's two blocks by exact set sizes, as edges of a spanning forest."""
+    """Links between two blocks of a bucket by exact set sizes, as edges of a spanning forest; a call gets a bundle."""
 
     def run(table: pa.Table) -> pa.Table:
+        table, first, size = _segments(table)
+        return pa.concat_tables([linked(table.slice(s, n)) for s, n in zip(first.tolist(), size.tolist())])
+
+    def linked(table: pa.Table) -> pa.Table:
         half, nid = table["half"].to_numpy(), table["nid"].to_numpy()
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         hashes, bounds = shingle_hashes(column_bytes(table, "text"), like.words)
@@ -281,13 +313,16 @@ def _across(members: DataFrame, groups: DataFrame, docs: DataFrame, reps: DataFr
     dealt = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
     dealt = dealt.select("key", "slot", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "half", "nid", "part")
     dealt = dealt.join(reps.select("nid", "n", "sig"), "nid").select("key", "slot", "low", "high", "half", "nid", "part", "n", "sig")
-    near = dealt.groupBy("key", "low", "high").applyInArrow(_near_in_bucket(masks, bound, like), "key long, low int, high int, half int, nid long")
-    near = cut_lineage(near)
-    if near.isEmpty():
+    # Most tasks are tiny, so several go into one call: bundles by a hash of the task, about as many rows each.
+    bundle = lambda rows, most: F.pmod(F.xxhash64("key", "low", "high"), F.lit(math.ceil(rows / most) or 1)).alias("bundle")
+    dealt = dealt.select(bundle(members.count(), BUNDLE), "*")
+    near = cut_lineage(dealt.groupBy("bundle").applyInArrow(_near_in_bucket(masks, bound, like), "key long, low int, high int, half int, nid long"))
+    rows = near.count()
+    if not rows:
         return None
     texts = _texts(near.select("nid").distinct(), docs, reps)
-    wide = near.join(texts, "nid").select("key", "low", "high", "half", "nid", "text")
-    return wide.groupBy("key", "low", "high").applyInArrow(_linked_in_bucket(like), "a long, b long").distinct()
+    wide = near.join(texts, "nid").select(bundle(rows, BLOCK), "key", "low", "high", "half", "nid", "text")
+    return wide.groupBy("bundle").applyInArrow(_linked_in_bucket(like), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), miss: float = MISS) -> DataFrame:
