@@ -42,7 +42,7 @@ SHARD_TOKENS = 4 << 20
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 #: Distinct chunks that an encoder keeps, the first ones it meets; others are encoded when met.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")

@@ -36,7 +36,7 @@ FLOOR = 2.0**-20
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
 MIN_SCORE = 0.5
-PENDING = 1 << 20
+PENDING = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 
 

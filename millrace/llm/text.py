@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WHITE = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 1 << 21
+PART_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(WHITE.encode())] = True
@@ -61,9 +63,31 @@ class Words:
 def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
     """Positions and 64-bit fingerprints of all words of ``texts`` (None has none).
 
-    The fingerprint is a polynomial in an odd base over the word's bytes, divided by the base's
-    power at the word's start, and mixed; equal words have equal fingerprints wherever they stand.
+    The fingerprint is a polynomial in an odd base over the word's bytes, and mixed; equal words have equal
+    fingerprints wherever they stand. Texts are taken PART_BYTES at a time, since the work needs several
+    numbers a byte.
     """
+    parts, start, size = [], 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or b"") > PART_BYTES:
+            parts.append(_words_of(texts[start:i], lower))
+            start, size = i, 0
+        size += len(text or b"") + 1
+    parts.append(_words_of(texts[start:], lower))
+    if len(parts) == 1:
+        return parts[0]
+    words = np.cumsum([0, *[len(p.hashes) for p in parts]])
+    place = np.cumsum([0, *[len(p.buffer) for p in parts]])
+    return Words(
+        np.concatenate([p.hashes for p in parts]),
+        np.concatenate([[0], *[p.bounds[1:] + w for p, w in zip(parts, words)]]),
+        np.concatenate([p.starts + b for p, b in zip(parts, place)]),
+        np.concatenate([p.ends + b for p, b in zip(parts, place)]),
+        np.concatenate([p.buffer for p in parts]),
+    )
+
+
+def _words_of(texts: list[bytes | None], lower: bool = False) -> Words:
     texts = [t or b"" for t in texts]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -109,11 +133,11 @@ def column_bytes(batch: pa.RecordBatch | pa.Table, name: str) -> list[bytes | No
 def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Record batches cut so that each holds about ``most`` bytes of text, one row at least."""
     for batch in batches:
-        start, size, texts = 0, 0, column_bytes(batch, name)
-        for i, text in enumerate(texts):
-            if size and size + len(text or b"") > most:
-                yield batch.slice(start, i - start), texts[start:i]
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()
+        start, size = 0, 0
+        for i, length in enumerate([*lengths, None]):
+            if i > start and (length is None or size + length > most):
+                part = batch.slice(start, i - start)
+                yield part, column_bytes(part, name)
                 start, size = i, 0
-            size += len(text or b"") + 16
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += (length or 0) + 16
