@@ -18,7 +18,7 @@ checkpointed; components are found by distributed minimum labels.
 
 Defined cases. A missing or empty text has an empty set, links with nothing and is kept. A row without an id
 belongs to its group like others; a group of such rows only has no component id. Repeated rows of one id are
-all reported (and all kept if that id is kept); ``near_dedup`` leaves one of them. An empty table gives an empty result.
+all reported (and all kept if that id is kept); ``near_dedup`` goes by groups and leaves one row of each, whatever the ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -326,7 +326,8 @@ def _across(members: DataFrame, groups: DataFrame, docs: DataFrame, reps: DataFr
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), miss: float = MISS) -> DataFrame:
-    """(id, print, n_shingles, component_id) of every row; ``print`` is the hash of its text."""
+    """(id, print, n_shingles, component_id, group) of every row; ``print`` is the hash of its text, ``group`` the smallest
+    node of its component, null without words."""
     bound = distance_bound(like.num / like.den, miss)
     rows = cut_lineage(_sign(docs, like.words))
     reps = rows.where("n > 0").groupBy("node").agg(
@@ -354,11 +355,12 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), miss: float =
         groups = _components(links)
 
     smallest = groups.join(reps.select("nid", "first_id"), "nid").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = groups.join(smallest, "component").select("nid", "component_id")
-    labels = reps.join(found, "nid", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    found = groups.join(smallest, "component").select("nid", "component", "component_id")
+    label = F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component_id"))
+    labels = reps.join(found, "nid", "left").select("node", F.coalesce("component", "nid").alias("group"), label.alias("component_id"))
     out = rows.select("id", "print", "n", "node").join(labels, "node", "left")
     return out.select(
-        "id", "print", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+        "id", "print", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "group"
     )
 
 
@@ -378,13 +380,14 @@ def duplicate_report(docs: DataFrame, like: Likeness = Likeness(), miss: float =
 def near_dedup(docs: DataFrame, like: Likeness = Likeness(), miss: float = MISS) -> DataFrame:
     """``docs`` with one row of each group of near copies, columns unchanged.
 
-    That is the row with the smallest id; of several such rows the one with the smallest hash of its text, of
-    equal rows one. Rows without words are no copies of each other and all stay.
+    That is the row with the smallest id, missing ids last; of several such rows the one with the smallest hash of its
+    text, of equal rows one. Rows without words are no copies of each other and all stay.
     """
-    found = near_duplicates(docs, like, miss).where("n_shingles > 0 and id is not distinct from component_id")
-    # A group without ids has none to tell its members apart: all of it stays.
-    best = found.where("id is not null").groupBy("id").agg(F.min("print").alias("print"))
+    found = near_duplicates(docs, like, miss).where("n_shingles > 0")
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "print")).alias("best"))
+    best = best.select(F.col("best.id").alias("best_id"), F.col("best.print").alias("best_print"))
     rows = packed(docs, id=F.col("doc_id").cast("long"), print=F.xxhash64("text"), text=F.col("text"))
-    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]") | F.col("id").isNull()
-    one = rows.where(~blank).join(best, ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    chosen = (F.col("print") == F.col("best_print")) & F.col("id").eqNullSafe(F.col("best_id"))
+    one = rows.where(~blank).join(best, chosen, "left_semi").dropDuplicates(["id", "print"])
     return unpacked(one.select("row").union(rows.where(blank).select("row")), docs)

@@ -55,6 +55,19 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted(ids, key=repr) == sorted([*set(best), *blank], key=repr)
 
 
+def test_near_dedup_goes_by_group_not_by_id(spark):
+    """Unrelated texts under one id all stay, a group without ids leaves one row, and one with some leaves one with an id."""
+    a, b, c, d = (cases.prose(60 + k, 120, 10**6) for k in range(4))
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, f"{b} more", "en", "s"), (1, b, "en", "s")]
+    rows += [(None, c, "en", "s"), (None, f"{c} more", "en", "s"), (None, c, "en", "s")]
+    rows += [(None, d, "en", "s"), (5, f"{d} more", "en", "s"), (None, "", "en", "s"), (None, None, "en", "s")]
+    kept = minhash.near_dedup(cases.frame(spark, rows), minhash.Likeness(words=5, num=80)).collect()
+    assert len([r for r in kept if not r.text]) == 2
+    kept = [r for r in kept if r.text]
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 1, 5]
+    assert {a, b} <= {r.text for r in kept} and len({r.text for r in kept} & {rows[4][1], rows[5][1]}) == 1
+
+
 def test_lines(spark):
     docs = cases.frame(spark, ROWS)
     got = cases.collected(line_dedup.line_report(docs), "doc_id", "n_lines", "n_dropped", "text")
