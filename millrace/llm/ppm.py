@@ -9,8 +9,13 @@ Learning: tasks count grams of ORDER + 1 bytes, one shuffle adds them, shorter c
 A gram must hold FLOOR of its language's bytes, so a tree has at most 1 / FLOOR grams of each order
 whatever the corpus; that bound makes the model fit a broadcast. Scoring is one pass without shuffle.
 
+``score`` only weighs the learned languages against each other, so the filter also looks at the code length a byte:
+a text far above what its language's own training texts need (FAR times their COMMON quantile, taken over
+all of them) is in none of the languages. Training text is coded with its own counts in the model, so junk
+that carries a learned language's label lowers its own code length and may stay.
+
 Defined cases. A missing text, or one without a letter, is ``und`` with score 0, as is every text if nothing could be
-learned. Rows without a language or text teach nothing. Equal code lengths go to the first language by
+learned; the filter then leaves the table as it is. Rows without a language or text teach nothing. Equal code lengths go to the first language by
 name. Repeated rows each count and get equal results. An empty table gives an empty result.
 """
 
@@ -36,6 +41,10 @@ FLOOR = 2.0**-20
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
 MIN_SCORE = 0.5
+#: A text is foreign above FAR times the rate that this share of its language's training texts keeps.
+COMMON, FAR = 0.99, 2.0
+#: Bits that the first bytes of a text may cost without counting; they lack their contexts.
+START_BITS = 8.0 * (ORDER + 1)
 PENDING = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -185,38 +194,40 @@ class Scorer:
             out[:, k] = run[edge[1:]] - run[edge[:-1]]
         return out
 
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
-        """Language and its posterior probability (equal priors) of each text."""
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its posterior probability (equal priors) and bits a byte beyond START_BITS of each text."""
+        names, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         able = [i for i, t in enumerate(texts) if t and LETTER.search(t.decode("utf-8", "replace"))]
         if not able or not self.names:
-            return names, scores
+            return names, scores, rates
         bits = self.lengths([texts[i] for i in able])
         best = bits.argmin(axis=1)
         gap = bits - bits[np.arange(len(able)), best][:, None]
         scores[able] = 1.0 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
+        rates[able] = np.maximum(bits.min(axis=1) - START_BITS, 0) / [len(texts[i]) for i in able]
         for i, k in zip(able, best):
             names[i] = self.names[k]
-        return names, scores
+        return names, scores, rates
 
 
 def classify(rows: DataFrame, trees: dict[str, Tree], order: int = ORDER) -> DataFrame:
-    """``rows`` (row or id columns and text) with lang_pred and score for text."""
+    """``rows`` (row or id columns and text) with lang_pred, score and rate for text."""
     shared = rows.sparkSession.sparkContext.broadcast({k: (t.grams, t.bits, t.contexts, t.escapes) for k, t in trees.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer({k: Tree(*parts) for k, parts in shared.value.items()}, order)
         for batch, texts in slices(batches, "text"):
-            names, scores = scorer.predict(texts)
+            names, scores, rates = scorer.predict(texts)
             rest = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rest.schema.names, "lang_pred", "score"]
+                [*rest.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
+                [*rest.schema.names, "lang_pred", "score", "rate"],
             )
 
     from pyspark.sql import types as T
 
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"])
-    return rows.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double").add("rate", "double"))
 
 
 def held_out(column: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
@@ -228,10 +239,22 @@ def language_report(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document, learned from those not held out."""
     trees = learn(docs.where(~held_out()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return classify(rows, trees)
+    return classify(rows, trees).drop("rate")
 
 
 def language_filter(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` whose language is certain to ``min_score``, with ``lang`` set to it; learned from all of them."""
-    rows = classify(packed(docs, text=F.col("text")), learn(docs))
-    return unpacked(rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), docs, lang=F.col("lang_pred"))
+    """``docs`` in one of the learned languages for certain, with ``lang`` set to it; learned from all of them.
+
+    That is to ``min_score`` among the languages, and at a code length near that of the language's own texts.
+    """
+    trees = learn(docs)
+    if not trees:
+        return docs
+    own = classify(docs.where("text is not null and lang is not null").select("lang", "text"), trees).where("lang = lang_pred")
+    rates = own.groupBy("lang").agg(F.percentile_approx("rate", COMMON, 10_000).alias("rate")).collect()
+    rows = classify(packed(docs, text=F.col("text")), trees)
+    limit = F.lit(None).cast("double")
+    if rates:
+        limit = F.create_map(*[F.lit(x) for r in rates for x in (r.lang, FAR * r.rate)])[F.col("lang_pred")]
+    near = F.coalesce(F.col("rate") <= limit, F.lit(True))
+    return unpacked(rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) & near), docs, lang=F.col("lang_pred"))

@@ -122,6 +122,21 @@ def test_language_of_odd_rows(spark):
     assert ppm.language_report(cases.frame(spark, [])).count() == 0
 
 
+def test_language_filter_rejects_what_no_language_explains(spark):
+    import base64
+    import random
+
+    draw = random.Random(5)
+    rows = [(k, cases.prose(k, 120, 60), "en" if k % 2 else "fr", "s") for k in range(40)]
+    odd = [base64.b64encode(draw.randbytes(300)).decode(), draw.randbytes(300).hex(), "Все люди рождаются свободными и равными. " * 4]
+    odd += ["for (i = 0; i < n; ++i) p->x[i] ^= 0xff; return -EINVAL; /* done */", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心" * 3]
+    more = [(100 + k, t, None, "s") for k, t in enumerate(odd)] + [(200, cases.prose(900, 120, 60), None, "s"), (201, "w1 w2", None, "s")]
+    kept = {r.doc_id for r in ppm.language_filter(cases.frame(spark, rows + more)).collect()}
+    assert kept == {*range(40), 200, 201}
+    unnamed = cases.frame(spark, more)
+    assert ppm.language_filter(unnamed).count() == len(more)
+
+
 def test_language_accuracy_on_held_out_documents(spark, folder):
     docs = spark.read.parquet(f"{folder.replace('0.001', '0.01')}/documents.parquet")
     out = ppm.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
