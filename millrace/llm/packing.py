@@ -5,11 +5,16 @@ where it is tokenised; the tail that is left joins a shard. A shard holds a boun
 own inverted index; terms are adjacent token pairs, the lexical unit that stands for words whatever the
 vocabulary. The longest unused tail seeds a window; the index returns its unused neighbours by BM25 over the
 seed's rarest shared terms; those that fit are taken in rank order, then the best one left is cut to fill the
-window, and its rest stays in the pool. Without a neighbour the next longest tail is taken. So every window but a
-shard's last one is full. Each token lies in exactly one piece.
+window, and its rest stays in the pool. When these neighbours are used up the seed's next terms are asked, to the
+last one; only then the next longest tail is taken. So every window but a shard's last one is full. Each token lies
+in exactly one piece.
 
-One shuffle: tails as two or four bytes a token, and one short row for each full window. Shards are dealt by a hash of id,
-text and a count of equal rows, so repeated rows spread.
+Shards are dealt by content (``deal``): tails that agree in the rarest term they share with any other tail form a
+group, groups that agree in their commonest term lie next to each other, and only groups heavier than a shard are
+split. Terms are compared on sketches, the SKETCH smallest term hashes of a tail, so a neighbour may still lie in
+another shard; README states the share found.
+
+Shuffled: tails as two or four bytes a token twice, sketches, and one short row for each full window.
 
 Defined cases. A missing text is packed as an empty one: its end id. Equal rows are separate documents with equal
 ids. Rows without an id are packed alike. Very long texts are cut where they are read. An empty table gives an empty result.
@@ -33,13 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.text import slices
+from millrace.llm.text import mix, slices
+from millrace.plans.lineage import cut_lineage
 
 LENGTH = 2048
 END = 1
 #: Tail tokens of a shard at most on average, counted as bytes where a text is short.
 SHARD_TOKENS = 4 << 20
+#: Terms of a seed that are asked at a time.
 QUERY_TERMS = 32
+#: Term hashes by which tails are dealt to shards; shorter tails are compared whole.
+SKETCH = 32
+#: Ranges of commonest terms whose tokens the driver sums.
+BUCKETS = 1 << 16
 K1, B = 1.2, 0.75
 #: Distinct chunks that an encoder keeps, the first ones it meets; others are encoded when met.
 REMEMBERED = 300_000
@@ -135,12 +146,22 @@ class Index:
         by = np.argsort(self.docs, kind="stable")
         self.terms, self.own = term[by], np.searchsorted(self.docs[by], np.arange(n + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused items that share one of the seed's rarest terms, best first; ties go to the lower number."""
+    def shared_terms(self, seed: int) -> np.ndarray:
+        """The seed's terms that another item holds too, rarest first."""
         terms = self.terms[self.own[seed] : self.own[seed + 1]]
         held = self.held[terms]
         terms, held = terms[held > 1], held[held > 1]
-        terms = terms[np.argsort(held, kind="stable")[:QUERY_TERMS]]
+        return terms[np.argsort(held, kind="stable")]
+
+    def drop_used(self, unused: np.ndarray) -> None:
+        """Forget postings of used items; weights and the number of items that hold a term stay."""
+        keep = unused[self.docs]
+        self.edge = np.concatenate(([0], np.cumsum(keep)))[self.edge]
+        self.docs, self.weight = self.docs[keep], self.weight[keep]
+
+    def neighbours(self, seed: int, unused: np.ndarray, first: int = 0) -> np.ndarray:
+        """Unused items that share one of QUERY_TERMS of the seed's terms from the ``first`` rarest on, best first; ties go to the lower number."""
+        terms = self.shared_terms(seed)[first : first + QUERY_TERMS]
         if not len(terms):
             return np.zeros(0, np.int64)
         size = self.edge[terms + 1] - self.edge[terms]
@@ -158,7 +179,7 @@ def fill(tails: list[np.ndarray], length: int = LENGTH) -> list[list[tuple[int,
     done = np.zeros(len(tails), np.int64)
     unused = size > 0
     order = np.argsort(-size, kind="stable")
-    windows, at = [], 0
+    windows, at, held = [], 0, len(tails)
 
     def take(item: int, room: int) -> int:
         n = int(min(room, size[item] - done[item]))
@@ -177,14 +198,21 @@ def fill(tails: list[np.ndarray], length: int = LENGTH) -> list[list[tuple[int,
         room = take(seed, length)
         if not room:
             continue
-        ranked = index.neighbours(seed, unused)
-        for item in ranked:
-            if size[item] - done[item] <= room and room:
-                room = take(item, room)
-        for item in ranked:
-            if room and unused[item]:
-                room = take(item, room)
+        left = int(unused.sum())
+        if 2 * left < held:
+            index.drop_used(unused)
+            held = left
+        for first in range(0, len(index.shared_terms(seed)), QUERY_TERMS):
+            if not room or not left:
                 break
+            ranked = index.neighbours(seed, unused, first)
+            for item in ranked:
+                if size[item] - done[item] <= room and room:
+                    room = take(item, room)
+            for item in ranked:
+                if room and unused[item]:
+                    room = take(item, room)
+                    break
         further = at
         while room and further < len(order):
             if unused[order[further]]:
@@ -193,7 +221,7 @@ def fill(tails: list[np.ndarray], length: int = LENGTH) -> list[list[tuple[int,
                 further += 1
 
 
-_WIDE = "shard long, doc_id long, print long, nth long, start long, length long, ids_crc32 long, doc_tokens long, full boolean, tokens binary"
+_WIDE = "spread long, doc_id long, print long, nth long, start long, length long, ids_crc32 long, doc_tokens long, full boolean, tokens binary, sketch array<long>"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -201,6 +229,37 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def sketch(ids: np.ndarray) -> np.ndarray:
+    """The SKETCH smallest hashes of the distinct adjacent pairs."""
+    found = np.unique(mix(((ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:]) + np.uint64(1)))
+    return found[:SKETCH].astype(np.int64)
+
+
+def deal(tails: DataFrame, shards: int) -> DataFrame:
+    """(uid, shard) of ``tails`` (uid, spread, length, sketch), of about equal numbers of tokens; similar tails meet."""
+    terms = tails.select("uid", F.explode("sketch").alias("term"))
+    held = terms.groupBy("term").agg(F.count("*").alias("held")).where("held > 1")
+    rank = F.struct("held", "term")
+    own = terms.join(held, "term").groupBy("uid").agg(F.min(rank).getField("term").alias("rarest"), F.max(rank).getField("term").alias("common"))
+    # A tail that shares nothing is a group of its own.
+    named = tails.select("uid", "spread", "length").join(own, "uid", "left")
+    named = named.select("uid", "spread", "length", F.coalesce("rarest", "spread").alias("rarest"), F.coalesce("common", "spread").alias("common"))
+    groups = named.groupBy("rarest").agg(F.min("common").alias("common"), F.sum("length").alias("tokens"))
+    groups = cut_lineage(groups.select("rarest", "tokens", F.pmod(F.xxhash64("common"), F.lit(BUCKETS)).alias("bucket")))
+    sums = dict(groups.groupBy("bucket").agg(F.sum("tokens")).collect())
+    each = max(sum(sums.values()) / shards, 1)
+    start, rows = 0, []
+    for bucket in sorted(sums):
+        end = start + sums[bucket]
+        low = min(int(start / each), shards - 1)
+        rows.append((bucket, low, min(max(math.ceil(end / each) - 1, low), shards - 1) - low + 1 if end - start > each else 1))
+        start = end
+    ranges = tails.sparkSession.createDataFrame(rows, "bucket long, low long, parts long")
+    placed = groups.join(F.broadcast(ranges), "bucket").select("rarest", "low", "parts", (F.col("tokens") > each).alias("heavy"))
+    part = F.pmod(F.xxhash64(F.when(F.col("heavy"), F.col("spread")).otherwise(F.col("rarest")), F.lit(1)), F.col("parts"))
+    return named.join(placed, "rarest").select("uid", (F.col("low") + part).alias("shard"))
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, their token ids)."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
@@ -209,7 +268,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, met = encoder_of(path), Counter()
-        schema = pa.schema([(n, {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in _WIDE.split(", "))])
+        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+        schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in _WIDE.split(", "))])
         for batch, raw in slices(batches, "text"):
             out = []
             for doc_id, text, ids in zip(batch.column(0).to_pylist(), raw, encoder.encode([(t or b"").decode() for t in raw])):
@@ -217,12 +277,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
                 mark = xxhash.xxh3_64_intdigest(text or b"", seed=(doc_id or 0) & 0xFFFFFFFF) >> 1
                 met[doc_id, mark] += 1
                 nth = met[doc_id, mark]
-                shard = xxhash.xxh3_64_intdigest(f"{doc_id} {mark} {nth}".encode()) % shards
+                spread = xxhash.xxh3_64_intdigest(f"{doc_id} {mark} {nth}".encode()) >> 1
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length]
                     full = len(piece) == length
                     blob = piece.astype("<u4" if piece.max() >> 16 else "<u2").tobytes() if with_ids or not full else None
-                    out.append((shard, doc_id, mark, nth, start, len(piece), _crc(piece) if full else 0, len(ids), full, blob))
+                    out.append((spread, doc_id, mark, nth, start, len(piece), _crc(piece) if full else 0, len(ids), full, blob, None if full else sketch(piece)))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     kinds = [pa.int64()] * 7 + ([pa.list_(pa.int32())] if with_ids else [])
@@ -252,4 +312,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _WIDE)
+    rows = cut_lineage(rows.withColumn("uid", F.monotonically_increasing_id()))
+    lone = F.pmod("spread", F.lit(shards))
+    if shards > 1:
+        dealt = deal(rows.where(~F.col("full")).select("uid", "spread", "length", "sketch"), shards)
+        tails = rows.where(~F.col("full")).join(dealt, "uid")
+        rows = tails.unionByName(rows.where("full").withColumn("shard", lone))
+    else:
+        rows = rows.withColumn("shard", lone)
+    rows = rows.drop("uid", "spread", "sketch")
     return rows.groupBy("shard").applyInArrow(join, _PIECE + (", ids array<int>" if with_ids else ""))

@@ -185,3 +185,25 @@ def test_pipeline_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).where("length > 0").count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, cases.frame(spark, []), folder).count() == 0
+
+
+def test_similar_tails_meet_whatever_the_number_of_shards(spark):
+    """Pairs of near copies share a shard, and shards stay bounded although one group of equal texts is heavy."""
+    rows = [(k, cases.mutated(cases.prose(1000 + k % 150, 80, 10**6), k, 0.02), "en", "s") for k in range(300)]
+    rows += [(1000 + k, cases.prose(7, 80, 10**6), "en", "s") for k in range(300)]
+    out = packing.pack(cases.frame(spark, rows), shard_tokens=12_000, with_ids=False).toPandas()
+    shard = dict(zip(out.doc_id, out.sequence_id // 2**32))
+    assert len(set(shard.values())) >= 10
+    assert np.mean([shard[k] == shard[k + 150] for k in range(150)]) > 0.8
+    assert out.groupby(out.sequence_id // 2**32).length.sum().max() < 0.35 * out.length.sum()
+
+
+def test_a_seed_asks_all_its_terms():
+    """Neighbours that share only a common term are taken before longer strangers."""
+    fresh = iter(range(10**4, 10**6))
+    seed = np.array([t for k in range(40) for t in (100 + k, next(fresh))] + [1, 2] + [next(fresh) for _ in range(200)], np.uint32)
+    rare = [np.array([seed[2 * k], seed[2 * k + 1]], np.uint32) for k in range(40)]
+    common = [np.array([next(fresh), 1, 2, next(fresh)], np.uint32) for _ in range(6)]
+    strangers = [np.array([next(fresh) for _ in range(60)], np.uint32) for _ in range(3)]
+    window = packing.fill([seed, *rare, *common, *strangers], len(seed) + 2 * len(rare) + 4 * len(common))[0]
+    assert {i for i, _, _ in window} == set(range(1 + len(rare) + len(common)))
