@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import compression, cross_polytope, line_dedup, minhash, mixing, ngram_lm, ordinal, packing, ppm, substring
+from millrace.llm import compression, cross_polytope, divergence, line_dedup, minhash, mixing, ngram_lm, ordinal, packing, ppm, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,42 @@ def op4_cross_polytope_dedup(embeddings):
 @query("documents labels")
 def op7_ordinal_quality(documents, labels):
     return ordinal.quality_grades(documents, labels)
+
+
+@query(
+    "documents",
+    r"""
+    WITH named AS (
+        SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ), each AS (SELECT d, lang, source, unnest(terms) AS term FROM named),
+    kept AS (SELECT lang, term, count(*) AS n FROM each GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+    sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM each JOIN kept USING (lang, term) GROUP BY ALL),
+    totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY ALL),
+    groups AS (
+        SELECT g.lang, g.source, coalesce(t.total, 0) AS total, s.v, s.total AS lang_total
+        FROM (SELECT DISTINCT lang, source FROM named) g LEFT JOIN totals t USING (lang, source) LEFT JOIN sizes s USING (lang)
+    ), shares AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+               1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v) AS p,
+               1 + 1000000000::HUGEINT * (k.n + 2) // (g.lang_total + 2 * g.v) AS q
+        FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+    ), pairs AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), parts AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM parts QUALIFY part = 'pair' OR rank <= 10
+    """,
+)
+def op11_divergence_audit(documents):
+    return divergence.divergence(documents)
