@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import compression, cross_polytope, divergence, line_dedup, minhash, mixing, ngram_lm, ordinal, packing, ppm, substring
+from millrace.llm import compression, cross_polytope, divergence, line_dedup, minhash, mixing, ngram_lm, ordinal, packing, phrases, ppm, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +173,44 @@ def op7_ordinal_quality(documents, labels):
 )
 def op11_divergence_audit(documents):
     return divergence.divergence(documents)
+
+
+@query(
+    "documents",
+    r"""
+    WITH pieces AS (
+        SELECT row_number() OVER () AS p, lang, piece FROM (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents)
+    ), words AS (SELECT p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+    totals AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM words GROUP BY lang),
+    grams AS (
+        SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+        FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM words, range(1, 6) t(k) WHERE len(ws) >= k)
+    ), freq AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+    longer AS (SELECT lang, ' ' || phrase || ' ' AS padded, k, f FROM freq WHERE k > 2),
+    ends AS (
+        SELECT lang, k, f, unnest([array_to_string(string_split(phrase, ' ')[1:k-1], ' '), array_to_string(string_split(phrase, ' ')[2:k], ' '),
+            array_to_string(string_split(phrase, ' ')[1:k-2], ' '), array_to_string(string_split(phrase, ' ')[2:k-1], ' '),
+            array_to_string(string_split(phrase, ' ')[3:k], ' '), array_to_string(string_split(phrase, ' ')[1:k-3], ' '),
+            array_to_string(string_split(phrase, ' ')[2:k-2], ' '), array_to_string(string_split(phrase, ' ')[3:k-1], ' '),
+            array_to_string(string_split(phrase, ' ')[4:k], ' ')]) AS phrase
+        FROM freq WHERE k > 2
+    ), inside AS (SELECT lang, phrase, max(f) AS f FROM ends GROUP BY ALL),
+    cuts AS (
+        SELECT c.lang, c.phrase, c.f AS a, t.n, cut,
+               array_to_string(string_split(c.phrase, ' ')[1:cut], ' ') AS first, array_to_string(string_split(c.phrase, ' ')[cut+1:c.k], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM freq WHERE k > 1) c JOIN totals t USING (lang)
+        LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase WHERE i.f IS NULL OR 100 * i.f < 100 * c.f
+    ), scored AS (
+        SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, c.n, cut, 1000::HUGEINT * c.a * c.n // (x.f::HUGEINT * y.f) AS score
+        FROM cuts c JOIN freq x ON x.lang = c.lang AND x.phrase = c.first JOIN freq y ON y.lang = c.lang AND y.phrase = c.rest
+    ), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+           n::BIGINT AS n, score::BIGINT AS score
+    FROM best QUALIFY rank <= 2000
+    """,
+)
+def op13_phrase_collocations(documents):
+    return phrases.collocations(documents)

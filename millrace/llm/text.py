@@ -60,8 +60,8 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
 
-def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
-    """Positions and 64-bit fingerprints of all words of ``texts`` (None has none).
+def words_of(texts: list[bytes | None], lower: bool = False, gaps: np.ndarray = _SPACE) -> Words:
+    """Positions and 64-bit fingerprints of all words of ``texts`` (None has none); ``gaps`` marks the bytes between words.
 
     The fingerprint is a polynomial in an odd base over the word's bytes, and mixed; equal words have equal
     fingerprints wherever they stand. Texts are taken PART_BYTES at a time, since the work needs several
@@ -70,10 +70,10 @@ def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
     parts, start, size = [], 0, 0
     for i, text in enumerate(texts):
         if size and size + len(text or b"") > PART_BYTES:
-            parts.append(_words_of(texts[start:i], lower))
+            parts.append(_words_of(texts[start:i], lower, gaps))
             start, size = i, 0
         size += len(text or b"") + 1
-    parts.append(_words_of(texts[start:], lower))
+    parts.append(_words_of(texts[start:], lower, gaps))
     if len(parts) == 1:
         return parts[0]
     words = np.cumsum([0, *[len(p.hashes) for p in parts]])
@@ -87,13 +87,13 @@ def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
     )
 
 
-def _words_of(texts: list[bytes | None], lower: bool = False) -> Words:
+def _words_of(texts: list[bytes | None], lower: bool = False, gaps: np.ndarray = _SPACE) -> Words:
     texts = [t or b"" for t in texts]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     if lower:
         buffer = _LOWER[buffer]
-    gap = _SPACE[buffer]
+    gap = gaps[buffer]
     inside = ~gap
     starts = np.flatnonzero(inside & np.concatenate(([True], gap[:-1])))
     ends = np.flatnonzero(gap & np.concatenate(([False], inside[:-1])))

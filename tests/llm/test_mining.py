@@ -3,7 +3,9 @@
 import re
 from collections import Counter, defaultdict
 
-from millrace.llm import divergence
+import numpy as np
+
+from millrace.llm import divergence, double_array, phrases
 from tests.llm import cases
 
 ROWS = cases.odd_rows()
@@ -54,3 +56,63 @@ def test_terms_of_a_long_text_are_cut_at_separators(monkeypatch):
     for size in (1, 7, 64, 1 << 20):
         monkeypatch.setattr(divergence, "SLICE", size)
         assert divergence.term_counts(text) == whole
+
+
+def phrase_table(rows, least, top, longest=5):
+    freq, total = defaultdict(Counter), Counter()
+    for _, text, lang, _ in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", cases.lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            freq[lang].update(tuple(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in freq.items():
+        good = {p: a for p, a in f.items() if a >= least and len(p) > 1}
+        held = defaultdict(int)
+        for p, a in good.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    held[p[i : i + k]] = max(held[p[i : i + k]], a)
+        rows_of = []
+        for p, a in good.items():
+            if held[p] < a:
+                score, cut = min((1000 * a * total[lang] // (f[p[:c]] * f[p[c:]]), c) for c in range(1, len(p)))
+                rows_of.append((-score, -a, " ".join(p).encode(), f[p[:cut]], f[p[cut:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(rows_of)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, total[lang], -score))
+    return sorted(out, key=repr)
+
+
+SPOKEN = [
+    *ROWS,
+    (30, "New York, new york! NEW\tYORK city; new york city\nnew\x0byork " * 9, "en", "a"),
+    (31, "a a a a a a a. a a: b a b a b a b", None, "a"),
+    (32, "a a a b a b a b # a", "und", "a"),
+    (33, "\x1cwo\x1cr ü  ö\u3000ä x " * 30, "de", "a"),
+]
+
+
+def test_phrases(spark):
+    columns = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    short = [r for r in SPOKEN if len(r[1] or "") < 5_000]
+    for rows, least, top, keys, trie in ((SPOKEN, 3, 2000, 4_000_000, 250_000), (short, 3, 5, 200, 400), (short, 10**6, 5, 10, 10)):
+        found = phrases.collocations(cases.frame(spark, rows), least, top=top, most_keys=keys, most_phrases=trie)
+        assert cases.collected(found, *columns) == phrase_table(rows, least, top)
+    assert phrases.collocations(cases.frame(spark, ROWS[:0]), 1).count() == 0
+
+
+def test_double_array_counts():
+    draw = np.random.default_rng(0)
+    for n_words, n_text, n_phrases in ((1, 9, 3), (5, 400, 60), (300, 20_000, 4_000), (70_000, 5_000, 30_000)):
+        vocabulary = np.unique(draw.integers(1, 2**63, n_words).astype(np.uint64))
+
+        def some(n, vocabulary=vocabulary):
+            return vocabulary[(draw.random(n) ** 3 * len(vocabulary)).astype(int)]
+
+        text, piece = some(n_text), np.cumsum(draw.random(n_text) < 0.1)
+        wanted = [np.array(p, np.uint64) for p in {tuple(some(draw.integers(1, 6))) for _ in range(n_phrases)}]
+        trie = double_array.DoubleArray.unpack(double_array.build(wanted).pack())
+        seen = Counter(tuple(text[i : i + k]) for k in range(1, 6) for i in range(n_text - k + 1) if piece[i] == piece[i + k - 1])
+        assert trie.counts(text, piece, 5).tolist() == [seen[tuple(p)] for p in wanted]
+    assert double_array.build([]).counts(np.array([1, 2], np.uint64), np.array([0, 0]), 5).tolist() == []
