@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import compression, cross_polytope, divergence, line_dedup, minhash, mixing, ngram_lm, ordinal, packing, phrases, ppm, substring
+from millrace.llm import compression, cross_polytope, divergence, line_dedup, minhash, mixing, ngram_lm, nn_descent, ordinal, packing, phrases, ppm, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,3 +214,8 @@ def op11_divergence_audit(documents):
 )
 def op13_phrase_collocations(documents):
     return phrases.collocations(documents)
+
+
+@query("embeddings")
+def op12_nn_descent_search(embeddings):
+    return nn_descent.nearest(embeddings, embeddings.where("vec_id % 50 = 0"))

@@ -4,8 +4,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
-from millrace.llm import divergence, double_array, phrases
+from millrace.llm import divergence, double_array, nn_descent, phrases
 from tests.llm import cases
 
 ROWS = cases.odd_rows()
@@ -116,3 +117,63 @@ def test_double_array_counts():
         seen = Counter(tuple(text[i : i + k]) for k in range(1, 6) for i in range(n_text - k + 1) if piece[i] == piece[i + k - 1])
         assert trie.counts(text, piece, 5).tolist() == [seen[tuple(p)] for p in wanted]
     assert double_array.build([]).counts(np.array([1, 2], np.uint64), np.array([0, 0]), 5).tolist() == []
+
+
+def nearest_by_hand(rows, queries, k):
+    def unit(v):
+        v = np.array(v, float) / np.abs(v).max()
+        return v / np.sqrt((v * v).sum())
+
+    def good(v):
+        return v and None not in v and np.isfinite(v).all() and any(v)
+
+    out = []
+    for q in sorted({i for i, v in queries if i is not None and good(v)}):
+        v = next(v for i, v in queries if i == q and good(v))
+        near = {}
+        for i, w in rows:
+            if i is not None and i != q and good(w) and len(w) == len(v):
+                near[i] = max(near.get(i, -2), float((unit(v) * unit(w)).sum()))
+        out += [(q, r, i, s) for r, (i, s) in enumerate(sorted(near.items(), key=lambda x: (-x[1], x[0]))[:k], 1)]
+    return out
+
+
+def vectors(n, dim, seed):
+    return np.random.default_rng(seed).standard_normal((n, dim)).astype("f4").tolist()
+
+
+VECTOR_ROWS = [
+    *enumerate(vectors(120, 8, 1)),
+    *[(200 + i, v) for i, v in enumerate(vectors(3, 5, 2))],
+    *[(300 + i, vectors(1, 8, 3)[0]) for i in range(40)],
+    (7, vectors(1, 8, 4)[0]), (400, None), (401, []), (402, [0.0] * 8), (403, [1.0, None] * 4), (404, [float("nan")] * 8), (None, vectors(1, 8, 5)[0]),
+    (405, [float("inf")] + [1.0] * 7), (406, [3e38] * 8), (407, [1e-38] * 8), (408, [2.0] * 8),
+]
+
+
+def searched(found):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect())
+
+
+def test_search_of_a_small_table_is_exact(spark):
+    schema = "vec_id long, embedding array<float>, rank int, nid long, node string"
+    frame = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in VECTOR_ROWS], schema)
+    queries = [r for r in VECTOR_ROWS if r[0] != 7]
+    got = searched(nn_descent.nearest(frame, frame.where("vec_id is null or vec_id <> 7")))
+    want = sorted(nearest_by_hand(VECTOR_ROWS, queries, 5))
+    assert [(q, i) for q, _, i, _ in got] == [(q, i) for q, _, i, _ in want]
+    assert np.allclose([s for *_, s in got], [s for *_, s in want], rtol=0, atol=1e-12)
+    assert searched(nn_descent.nearest(frame.limit(0), frame.limit(0))) == []
+
+
+@pytest.mark.parametrize("outside", [False, True])
+def test_graph_search_finds_most(spark, outside):
+    """Many leaves, a crowd of near copies, queries from the table and from elsewhere."""
+    x, crowd = vectors(1500, 24, 6), vectors(1, 24, 7)[0]
+    rows = [*enumerate(x), *[(2000 + i, (np.array(crowd) + np.array(e) * 0.02).tolist()) for i, e in enumerate(vectors(600, 24, 8))]]
+    asked = [(5000 + i, v) for i, v in enumerate(vectors(60, 24, 9))] if outside else [r for r in rows if r[0] % 50 == 0]
+    index = nn_descent.build(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf=128)
+    got = searched(nn_descent.search(index, spark.createDataFrame(asked, "vec_id long, embedding array<float>"), 5))
+    want = nearest_by_hand(rows, asked, 5)
+    found = {(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}
+    assert len(got) == len(want) and len(found) >= 0.9 * len(want)
