@@ -26,10 +26,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import double_array
+from millrace.llm.blocks import from_planes, planes
 from millrace.llm.text import column_bytes, mix, slices, words_of
 from millrace.plans.lineage import cut_lineage
 
@@ -39,6 +41,9 @@ TOP = 2000
 KEYS = 4_000_000
 TRIE = 250_000
 HELD = 400_000
+#: Phrases in a row of counts, and shards whose rows are added up in one task before the folds are.
+RANGE = 4096
+FOLD = 1024
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
@@ -149,14 +154,33 @@ def _trie(table: pa.Table) -> pa.Table:
 
 
 def _matches(shared, longest: int):
+    """Counts of this shard's texts, a row for each range of phrases; shards of neighbouring numbers share a fold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, names = shared.value
-        trie, names = double_array.DoubleArray.unpack(blob), np.frombuffer(names, "<i8")
-        total = np.zeros(len(names), np.int64)
+        trie = double_array.DoubleArray.unpack(shared.value[0])
+        total = np.zeros(trie.n_phrases, np.int64)
         for part, texts in slices(batches, "text"):
             total += trie.counts(*word_keys(texts, part.column(0).to_pylist()), longest)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(names[seen]), pa.array(total[seen])], ["key", "a"])
+        fold = TaskContext.get().partitionId() // FOLD
+        ranges = [r for r in range(0, len(total), RANGE) if total[r : r + RANGE].any()]
+        blobs = [planes(total[r : r + RANGE]) for r in ranges]
+        yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array([fold] * len(ranges), pa.int64()), pa.array(blobs, pa.binary())], ["first", "fold", "counts"])
+
+    return run
+
+
+def _added(key: tuple, table: pa.Table) -> pa.Table:
+    total = reduce(np.add, (from_planes(blob) for blob in table["counts"].to_pylist()))
+    return pa.table({"first": table["first"][:1], "counts": pa.array([planes(total)], pa.binary())})
+
+
+def _named(shared):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Counts of all shards with the keys of their phrases."""
+        total = reduce(np.add, (from_planes(blob) for blob in table["counts"].to_pylist()))
+        first = key[0].as_py()
+        names = np.frombuffer(shared.value[1], "<i8")[first : first + RANGE]
+        return pa.table({"key": names[total > 0], "a": total[total > 0].astype(np.int64)})
 
     return run
 
@@ -196,8 +220,9 @@ def phrase_counts(texts: DataFrame, phrases: DataFrame, longest: int, most: int)
         if row is None:
             continue
         shared = context.broadcast((bytes(row["trie"]), bytes(row["keys"])))
-        rows = texts.mapInArrow(_matches(shared, longest), "key long, a long")
-        found.append(cut_lineage(rows.groupBy("key").agg(F.sum("a").alias("a"))))
+        rows = texts.mapInArrow(_matches(shared, longest), "first long, fold long, counts binary")
+        rows = rows.groupBy("first", "fold").applyInArrow(_added, "first long, counts binary")
+        found.append(cut_lineage(rows.groupBy("first").applyInArrow(_named(shared), "key long, a long")))
         shared.destroy()
     return reduce(DataFrame.unionByName, found)
 
