@@ -7,7 +7,7 @@ candidates of all lengths go into double-array tries of at most TRIE phrases, ea
 broadcast, numpy moves all text positions through it at once, a word a level, counts of accepting states are added up over
 the texts' shards, and these exact counts decide.
 
-What is broadcast is bounded: KEYS fingerprints of frequent phrases or one trie at a time; where there are more, there are more
+What is broadcast is bounded: KEYS fingerprints of frequent phrases and of words, or one trie at a time; where there are more, there are more
 passes. Scores are floor(1000 * a * n / (l * r)) in 38 digits.
 
 Defined cases. A missing text is empty, a missing language is ``und``. Rows are documents, repeated rows count again, with an id
@@ -95,26 +95,36 @@ def _keyed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns], ["key", "lang", "phrase", "n"])
 
 
-def _within(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+def _places(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    """Places of ``keys`` among the sorted ones, -1 for others."""
     if not len(sorted_keys):
-        return np.zeros(len(keys), bool)
-    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
 
 
 def _summed(rows: list[np.ndarray]) -> np.ndarray:
-    """(left, last, n) rows with one row a pair."""
+    """(place, last, n) rows with one row a pair, in order."""
     all_rows = np.concatenate(rows, axis=1)
-    _, first, group = np.unique(joined(all_rows[0], all_rows[1]), return_index=True, return_inverse=True)
-    n = np.zeros(len(first), np.uint64)
-    np.add.at(n, group, all_rows[2])
+    order = np.lexsort((all_rows[1], all_rows[0]))
+    all_rows = all_rows[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = (all_rows[:2, 1:] != all_rows[:2, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    n = np.add.reduceat(all_rows[2], first) if len(first) else all_rows[2]
     return np.stack([all_rows[0, first], all_rows[1, first], n])
 
 
-def _extensions(level: int, shared, whole: bool):
-    """Phrases of ``level`` words whose first words (and, with ``whole`` keys, also whose last words) are among the shared keys."""
+def _extensions(level: int, shared):
+    """Phrases of ``level`` words whose first words are among the shared keys; where all keys are shared, also their last words must be.
+
+    The first words travel as their place among the keys. So does the last word if all words are shared too, in the low half of the same number;
+    otherwise it travels as its fingerprint.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rows, size = shared.value, [], 0
+        frequent, words, whole = shared.value
+        rows, size = [], 0
         for part, texts in slices(batches, "text"):
             last, piece = word_keys(texts, part.column(0).to_pylist())
             left = last
@@ -123,10 +133,14 @@ def _extensions(level: int, shared, whole: bool):
             total = len(last) - level + 1
             if total <= 0:
                 continue
-            good = _within(left, frequent)
-            good = good[:total] & (good[1 : total + 1] if whole else True) & (piece[:total] == piece[level - 1 :])
+            place = _places(left, frequent)
+            good = (place[:total] >= 0) & (place[1 : total + 1] >= 0 if whole else True) & (piece[:total] == piece[level - 1 :])
             at = np.flatnonzero(good)
-            rows.append(_summed([np.stack([left[at], last[at + level - 1], np.ones(len(at), np.uint64)])]))
+            ends, first = last[at + level - 1].view(np.int64), place[at]
+            if words is not None:
+                code = _places(ends.view(np.uint64), words)
+                first, ends = (first << 32 | code)[code >= 0], np.zeros((code >= 0).sum(), np.int64)
+            rows.append(_summed([np.stack([first, ends, np.ones(len(first), np.int64)])]))
             size += rows[-1].shape[1]
             if size > HELD:
                 rows = [_summed(rows)]
@@ -141,7 +155,22 @@ def _extensions(level: int, shared, whole: bool):
 
 
 def _pairs(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(r.view(np.int64)) for r in (joined(rows[0], rows[1]), *rows)], ["key", "left", "last", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["place", "last", "n"])
+
+
+def _named_pairs(shared):
+    """Places as fingerprints again, and the fingerprint of the whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, words, _ = shared.value
+        for batch in batches:
+            place, last = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if words is not None:
+                place, last = place >> 32, words[place & 0xFFFFFFFF]
+            left = frequent[place]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (joined(left, last), left, last)], ["key", "left", "last"])
+
+    return run
 
 
 def _trie(table: pa.Table) -> pa.Table:
@@ -185,10 +214,15 @@ def _named(shared):
     return run
 
 
+def _sorted_keys(frame: DataFrame) -> np.ndarray:
+    return np.sort(frame.select("key").toArrow()["key"].to_numpy().view(np.uint64))
+
+
 def candidates(texts: DataFrame, words: DataFrame, least: int, longest: int, most_keys: int) -> DataFrame | None:
     """(key, lang, phrase) of the phrases of 2 to ``longest`` words that may occur ``least`` times; None if there are none."""
     context = texts.sparkSession.sparkContext
     below, levels = words.select("key", "lang", "phrase"), []
+    all_words = _sorted_keys(words) if words.count() <= most_keys else None
     last_words = words.select(F.col("key").alias("last"), F.col("phrase").alias("word"))
     for level in range(2, longest + 1):
         n = below.count()
@@ -196,11 +230,11 @@ def candidates(texts: DataFrame, words: DataFrame, least: int, longest: int, mos
             break
         chunks, found = math.ceil(n / most_keys), []
         for chunk in range(chunks):
-            keys = below.where(F.pmod(F.xxhash64("key"), F.lit(chunks)) == chunk).select("key").toArrow()["key"].to_numpy()
-            shared = context.broadcast(np.sort(keys.view(np.uint64)))
-            rows = texts.mapInArrow(_extensions(level, shared, chunks == 1), "key long, left long, last long, n long")
-            rows = rows.groupBy("key").agg(F.min("left").alias("left"), F.min("last").alias("last"), F.sum("n").alias("n"))
-            found.append(cut_lineage(rows.where(F.col("n") >= least).select("key", "left", "last")))
+            keys = _sorted_keys(below.where(F.pmod(F.xxhash64("key"), F.lit(chunks)) == chunk))
+            shared = context.broadcast((keys, all_words, chunks == 1))
+            rows = texts.mapInArrow(_extensions(level, shared), "place long, last long, n long")
+            rows = rows.groupBy("place", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("place", "last")
+            found.append(cut_lineage(rows.mapInArrow(_named_pairs(shared), "key long, left long, last long")))
             shared.destroy()
         grown = reduce(DataFrame.unionByName, found).join(below.withColumnRenamed("key", "left"), "left").join(last_words, "last")
         below = cut_lineage(grown.select("key", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase")))
