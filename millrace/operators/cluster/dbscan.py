@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.cluster import quality
-from millrace.operators.cluster.neighbors import assign, block_pairs, build_cells, choose_pivots, distances, knn_join, route
+from millrace.operators.cluster.neighbors import block_pairs, build_cells, distances, knn_join, route
 from millrace.plans.components import connected_components
 from millrace.plans.lineage import cut_lineage
 from millrace.plans.quantiles import quantiles
@@ -68,9 +68,8 @@ def _forest(hit: np.ndarray) -> list[tuple[int, int]]:
 
 def neighbor_counts(points: DataFrame, eps: float, cells: int | None = None) -> DataFrame:
     """(id, neighbors): points within eps, the point itself included."""
-    pivots = choose_pivots(points, cells)
-    placed = assign(points, pivots)
-    return _counts(placed, build_cells(placed, pivots), eps)
+    shape = build_cells(points, cells)
+    return _counts(shape.placed, shape, eps)
 
 
 def _counts(placed, shape, eps):
@@ -89,9 +88,8 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, cells: int | None = None
 
     A border point joins the cluster of its nearest core (ties: smaller id).
     """
-    pivots = choose_pivots(points, cells)
-    placed = assign(points, pivots)
-    shape = build_cells(placed, pivots)
+    shape = build_cells(points, cells)
+    placed = shape.placed
     counts = _counts(placed, shape, eps)
     flagged = cut_lineage(
         placed.join(counts.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select(

@@ -1,10 +1,14 @@
 """Exact neighbour search by cells, without a cross join.
 
-Points are assigned to the nearest of a few pivots. The triangle inequality tells which cells
+Points are assigned to the nearest of some pivots. The triangle inequality tells which cells
 can hold a neighbour of a point, so it is sent to those cells only. Inside a cell points are
 packed into blocks of bounded size on both sides; a pair of blocks is one Arrow row, and its
 distances are one matrix product in numpy. A hot cell becomes many block pairs, never one big
 group, and only the wanted neighbours leave a block.
+
+Cells keep their size: there are as many as the points need. Up to FLAT pivots all tasks know them all. Beyond that
+pivots form two levels. The upper one has about the square root of their number and is known everywhere; the lower one
+is a table, and points meet the lower pivots of an upper cell in tasks of at most MEET points.
 """
 
 from __future__ import annotations
@@ -22,17 +26,25 @@ from millrace.plans.frames import col
 from millrace.plans.lineage import cut_lineage
 
 BLOCK = 1_000
-MAX_PIVOTS = 512
 ROWS_PER_CELL = 5_000
+FLAT = 256
+MEET = 50_000
+#: Lower pivots of one upper cell are numbered within this many.
+LOWER = 1 << 31
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Pivots (driver-side, at most MAX_PIVOTS) and the spread of the reference points around them."""
+    """Upper pivots with the spread of the reference points around them and, in two levels, the table of lower ones.
+
+    ``lower`` is (upper, cell, pivot, radius, n), ``placed`` the reference points with their ``cell``.
+    """
 
     pivots: np.ndarray
     count: np.ndarray
     radius: np.ndarray
+    placed: DataFrame
+    lower: DataFrame | None = None
 
 
 def as_points(df: DataFrame, id_col: str, vector: str | Column) -> DataFrame:
@@ -45,11 +57,9 @@ def pack_columns(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     return as_points(df, id_col, F.array(*[col(c).cast("double") for c in cols]))
 
 
-def choose_pivots(points: DataFrame, cells: int | None = None) -> np.ndarray:
-    """The points with the smallest id hash: a deterministic uniform sample of bounded size."""
-    if cells is None:
-        cells = min(MAX_PIVOTS, points.count() // ROWS_PER_CELL + 1)
-    rows = points.orderBy(F.xxhash64("id"), "id").limit(min(cells, MAX_PIVOTS)).select("vec").collect()
+def choose_pivots(points: DataFrame, n: int) -> np.ndarray:
+    """The points with the smallest id hash: a deterministic uniform sample; ``n`` is at most about the root of the number of cells."""
+    rows = points.orderBy(F.xxhash64("id"), "id").limit(n).select("vec").collect()
     return np.array([r["vec"] for r in rows], dtype=float)
 
 
@@ -59,43 +69,129 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add ``cell`` and ``reach`` (distance to the pivot)."""
+def _nearest_pivot(points: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
+    """Add ``name`` (place of the nearest pivot) and ``reach`` (distance to it)."""
 
-    @F.pandas_udf("cell int, reach double")
+    @F.pandas_udf("cell bigint, reach double")
     def nearest(vec: pd.Series) -> pd.DataFrame:
         x = np.stack(vec.to_numpy())
-        d = distances(x, pivots)
-        cell = d.argmin(1)
-        reach = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
-        return pd.DataFrame({"cell": cell.astype("int32"), "reach": reach})
-
-    return points.withColumn("_a", nearest("vec")).select("*", "_a.cell", "_a.reach").drop("_a")
-
-
-def build_cells(assigned: DataFrame, pivots: np.ndarray) -> Cells:
-    stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()  # row per pivot
-    count, radius = np.zeros(len(pivots), dtype=int), np.zeros(len(pivots))
-    for s in stats:
-        count[s["cell"]], radius[s["cell"]] = s["n"], s["r"]
-    return Cells(pivots, count, radius)
-
-
-def route(points: DataFrame, cells: Cells, limit: Column, skip_home: bool = False) -> DataFrame:
-    """One row (id, vec, limit, cell) per cell that may hold a point within ``limit``."""
+        cell = distances(x, pivots).argmin(1)
+        return pd.DataFrame({"cell": cell, "reach": np.sqrt(((x - pivots[cell]) ** 2).sum(1))})
+
+    return points.withColumn("_a", nearest("vec")).select("*", F.col("_a.cell").alias(name), "_a.reach").drop("_a")
+
+
+def _spread(placed: DataFrame, name: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    count, radius = np.zeros(n, dtype=int), np.zeros(n)
+    for s in placed.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect():  # row per upper pivot
+        count[s[name]], radius[s[name]] = s["n"], s["r"]
+    return count, radius
+
+
+def _meeting(rows: DataFrame, lower: DataFrame, run, schema: str) -> DataFrame:
+    """``run(rows, lower pivots)`` for every upper cell; an upper cell with more than MEET rows is several tasks."""
+    sizes = rows.groupBy("upper").agg(F.ceil(F.count(F.lit(1)) / MEET).alias("parts"))
+    left = rows.join(sizes, "upper").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    spread = lower.join(sizes, "upper").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    # names of their own: both sides may come from one frame
+    right = spread.select(F.col("upper").alias("_upper"), F.col("part").alias("_part"), *[c for c in lower.columns if c != "upper"])
+    return left.groupBy("upper", "part").cogroup(right.groupBy("_upper", "_part")).applyInPandas(run, schema)
+
+
+def _home(points: DataFrame, lower: DataFrame) -> DataFrame:
+    """(id, vec, upper, cell, reach): the nearest lower pivot of each point's upper cell."""
+
+    def run(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or pivots.empty:
+            return rows[["id", "vec", "upper"]].assign(cell=0, reach=0.0).iloc[:0]
+        pivots = pivots.sort_values("cell")
+        x, p = np.stack(rows["vec"].to_numpy()), np.stack(pivots["pivot"].to_numpy())
+        best = distances(x, p).argmin(1)
+        return rows[["id", "vec", "upper"]].assign(cell=pivots["cell"].to_numpy()[best], reach=np.sqrt(((x - p[best]) ** 2).sum(1)))
+
+    return _meeting(points, lower, run, "id bigint, vec array<double>, upper bigint, cell bigint, reach double")
+
+
+def build_cells(points: DataFrame, cells: int | None = None) -> Cells:
+    """Cells over the reference points (id, vec); ``cells`` is about how many, by default one for ROWS_PER_CELL points."""
+    n = points.count()
+    wanted = max(1, min(n, cells if cells is not None else n // ROWS_PER_CELL + 1))
+    if wanted <= FLAT:
+        pivots = choose_pivots(points, wanted)
+        placed = _nearest_pivot(points, pivots, "cell")
+        return Cells(pivots, *_spread(placed, "cell", len(pivots)), placed)
+    pivots = choose_pivots(points, int(np.ceil(np.sqrt(wanted))))
+    first = cut_lineage(_nearest_pivot(points, pivots, "upper"))
+    count, radius = _spread(first, "upper", len(pivots))
+    # Lower pivots are a sample of the points by another hash, so dense regions get more; equal ones count once.
+    share = max(1, n // wanted)
+    sample = first.where(F.pmod(F.xxhash64("id", F.lit("lower")), F.lit(share)) == 0).select("upper", F.col("vec").alias("pivot"))
+    own = points.sparkSession.createDataFrame([(i, p.tolist()) for i, p in enumerate(pivots)], "upper bigint, pivot array<double>")
+    pairs = sample.unionByName(own).distinct()
+    number = F.row_number().over(Window.partitionBy("upper").orderBy(F.xxhash64("pivot"), "pivot"))
+    lower = cut_lineage(pairs.withColumn("cell", F.col("upper") * LOWER + number))
+    placed = cut_lineage(_home(first.select("id", "vec", "upper"), lower))
+    inside = placed.groupBy("cell").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("n"))
+    return Cells(pivots, count, radius, placed, cut_lineage(lower.join(inside, "cell")))
+
+
+def place(points: DataFrame, cells: Cells) -> DataFrame:
+    """``points`` (id, vec) with their home ``cell``."""
+    if cells.lower is None:
+        return _nearest_pivot(points, cells.pivots, "cell")
+    # Homes are cells that hold reference points, and so are upper ones.
+    held = np.flatnonzero(cells.count > 0)
+    upper = _nearest_pivot(points, cells.pivots[held], "_u").select("id", "vec", F.lit(held.tolist())[F.col("_u").cast("int")].cast("bigint").alias("upper"))
+    return _home(upper, cells.lower)
+
+
+def route(points: DataFrame, cells: Cells, limit: Column, skip_home: bool = False, least: int = 0, taken: DataFrame | None = None) -> DataFrame:
+    """One row (id, vec, limit, cell) per cell that may hold a point within ``limit``.
+
+    With ``least``, ``limit`` is lowered to the distance within which the upper cells must hold that many points. ``taken`` (cell, owner) with a column
+    ``owner`` of the points leaves out cells that are the owner's alone.
+    """
     pivots, count, radius = cells.pivots, cells.count, cells.radius
+    flat, owned = cells.lower is None, taken is not None
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def targets(vec: pd.Series, bound: pd.Series, home: pd.Series) -> pd.Series:
+    @F.pandas_udf("limit double, targets array<bigint>")
+    def targets(vec: pd.Series, bound: pd.Series, home: pd.Series) -> pd.DataFrame:
         d = distances(np.stack(vec.to_numpy()), pivots)
         slack = 1e-9 * (1.0 + d)
-        ok = (d - radius[None, :] <= bound.to_numpy()[:, None] + slack) & (count[None, :] > 0)
-        if skip_home:
+        bound = bound.to_numpy()
+        if 0 < least <= count.sum():
+            reach = np.where(count > 0, d + radius + slack, np.inf)
+            order = reach.argsort(axis=1)
+            enough = (np.cumsum(count[order], axis=1) >= least).argmax(axis=1)
+            bound = np.minimum(bound, np.take_along_axis(reach, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0])
+        ok = (d - radius[None, :] <= bound[:, None] + slack) & (count[None, :] > 0)
+        if skip_home and flat:
             ok[np.arange(len(d)), home.to_numpy()] = False
-        return pd.Series([np.flatnonzero(row).tolist() for row in ok])
-
-    routed = points.withColumn("limit", limit)
-    return routed.select("id", "vec", "limit", F.explode(targets("vec", "limit", "cell")).alias("cell"))
+        return pd.DataFrame({"limit": bound, "targets": [np.flatnonzero(row).tolist() for row in ok]})
+
+    owner = [F.col("owner")] if owned else []
+    routed = points.withColumn("_t", targets("vec", limit, "cell")).select("id", "vec", "cell", *owner, "_t.limit", F.explode("_t.targets").alias("upper"))
+    if flat:
+        routed = routed.select("id", "vec", "limit", *owner, F.col("upper").alias("cell"))
+    else:
+        kept = ["id", "vec", "limit", *(["owner"] if owned else [])]
+
+        def visit(rows: pd.DataFrame, lower: pd.DataFrame) -> pd.DataFrame:
+            if rows.empty or lower.empty:
+                return rows[kept].assign(cell=0).iloc[:0]
+            d = distances(np.stack(rows["vec"].to_numpy()), np.stack(lower["pivot"].to_numpy()))
+            ok = d - lower["radius"].to_numpy()[None, :] <= rows["limit"].to_numpy()[:, None] + 1e-9 * (1.0 + d)
+            names = lower["cell"].to_numpy()
+            if skip_home:
+                ok &= names[None, :] != rows["cell"].to_numpy()[:, None]
+            i, j = np.nonzero(ok)
+            return rows[kept].iloc[i].assign(cell=names[j])
+
+        schema = "id bigint, vec array<double>, limit double" + (", owner bigint" if owned else "") + ", cell bigint"
+        routed = _meeting(routed, cells.lower, visit, schema)
+    if owned:
+        routed = routed.join(taken, ["cell", "owner"], "left_anti")
+    return routed
 
 
 def _parts(rows: DataFrame) -> DataFrame:
@@ -104,8 +200,8 @@ def _parts(rows: DataFrame) -> DataFrame:
 
 
 def _with_parts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    small = sizes.select(F.col("cell").alias("_cell"), "parts")  # at most MAX_PIVOTS rows
-    return rows.join(F.broadcast(small), F.col("cell") == F.col("_cell")).drop("_cell")
+    small = sizes.select(F.col("cell").alias("_cell"), "parts")
+    return rows.join(small, F.col("cell") == F.col("_cell")).drop("_cell")
 
 
 def _member(rows: str, name: str) -> Column:
@@ -186,21 +282,21 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, exclude_self: bool
     one searches the home cell and yields an upper bound per point; round two visits the other
     cells that bound cannot rule out.
     """
-    pivots = choose_pivots(refs, cells)
-    if not len(pivots):
+    shape = build_cells(refs, cells)
+    if not len(shape.pivots):
         return queries.sparkSession.createDataFrame([], "id bigint, neighbor bigint, distance double, rank int")
-    r, q = assign(refs, pivots), assign(queries, pivots)
-    shape = build_cells(r, pivots)
+    r = shape.placed
+    q = place(queries, shape)
     anywhere = F.lit(float("inf"))
     home = q.withColumn("limit", anywhere).select("id", "vec", "limit", "cell")
     local = _top(_nearest_in_blocks(block_pairs(home, r, ["limit"]), k, exclude_self), k)
-    if len(pivots) == 1:
+    if len(shape.pivots) == 1 and shape.lower is None:
         return local
     local = cut_lineage(local)  # read twice: as bound and as result
     bound = local.groupBy("id").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_n"))
     bounded = q.join(bound.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     limit = F.when(F.col("_n") >= k, F.col("_far")).otherwise(anywhere)
-    away = route(bounded.withColumn("limit", limit).select("id", "vec", "cell", "limit"), shape, F.col("limit"), skip_home=True)
+    away = route(bounded.select("id", "vec", "cell", limit.alias("limit")), shape, F.col("limit"), skip_home=True, least=k + exclude_self)
     remote = _nearest_in_blocks(block_pairs(away, r, ["limit"]), k, exclude_self)
     return _top(local.drop("rank").unionByName(remote), k)
 

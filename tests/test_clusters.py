@@ -48,6 +48,43 @@ def test_knn_join_against_brute_force(cloud, tiny_blocks, cells, own):
         assert part["neighbor"].tolist() == ids[want].tolist()
 
 
+@pytest.fixture(params=[False, True])
+def levels(request, monkeypatch):
+    """One level of pivots, or two; tasks of two levels meet 30 points at a time."""
+    if request.param:
+        monkeypatch.setattr(nb, "FLAT", 1)
+        monkeypatch.setattr(nb, "MEET", 30)
+
+
+@pytest.mark.parametrize("cells, own", [(20, True), (60, False)])
+def test_knn_join_over_two_levels(cloud, tiny_blocks, levels, cells, own):
+    x, ids, points = cloud
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    if own:
+        np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :30]
+    got = nb.knn_join(points, points, 30, exclude_self=own, cells=cells).toPandas().sort_values(["id", "rank"])
+    assert np.allclose(got["distance"].to_numpy().reshape(len(x), 30), want[np.argsort(ids)])
+
+
+def test_compared_pairs_grow_with_the_points(spark, monkeypatch):
+    """Twice the points in twice the clusters: about twice the comparisons, cells keep their size."""
+    monkeypatch.setattr(nb, "FLAT", 1)
+    compared = []
+    for clusters in (20, 40):
+        rng = np.random.default_rng(1)
+        centers = rng.uniform(0, 1000, (clusters, 3))
+        x = np.repeat(centers, 100, axis=0) + rng.normal(0, 1, (100 * clusters, 3))
+        points = nb.pack_columns(spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(len(x)))), "id", list("abc"))
+        shape = nb.build_cells(points, len(x) // 25)
+        sizes = shape.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        asked = nb.route(shape.placed, shape, F.lit(1.0)).groupBy("cell").agg(F.count(F.lit(1)).alias("q")).join(sizes, "cell")
+        total, most = asked.agg(F.sum(F.col("q") * F.col("n")), F.max("n")).first()
+        assert most <= 200 and len(shape.pivots) <= 2 * np.sqrt(len(x) // 25)
+        compared.append(total)
+    assert compared[1] < 2.6 * compared[0]
+
+
 def brute_dbscan(x, ids, eps, min_pts):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     near = d <= eps
@@ -72,7 +109,7 @@ def brute_dbscan(x, ids, eps, min_pts):
 
 
 @pytest.mark.parametrize("cells", [1, 12])
-def test_dbscan_against_brute_force(cloud, tiny_blocks, cells):
+def test_dbscan_against_brute_force(cloud, tiny_blocks, levels, cells):
     x, ids, points = cloud
     eps = 0.5 * np.sqrt(x.shape[1])
     got = dbscan(points, eps, 5, cells=cells).toPandas().set_index("id")["cluster"]
