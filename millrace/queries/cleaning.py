@@ -373,17 +373,13 @@ def f26_choose_scalers(t):
 @query(
     "f27_scale",
     """WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS b, avg(user_id) AS um, stddev_pop(user_id) AS us FROM events)
-       SELECT event_id, round(CAST((value - m) / (b - a) AS DOUBLE), 3) AS value, round(CAST((user_id - um) / us AS DOUBLE), 3) AS user_id FROM events, q""",
+       SELECT event_id, round(CAST(CAST((value - m) / (b - a) AS FLOAT) AS DOUBLE), 3) AS value, round(CAST(CAST((user_id - um) / us AS FLOAT) AS DOUBLE), 3) AS user_id FROM events, q""",
 )
 def f27_scale(t):
     df = t.events.select("event_id", "value", "user_id")
-    plan = scale.choose_scalers(df, ["value", "user_id"])
-    exact = {s.column: s for s in plan}
-    out = scale.scale(df, plan)
-    # the scaled columns are 4-byte floats; the check compares the same arithmetic in double
-    again = df.select("event_id", *[F.round((F.col(c) - exact[c].center) / exact[c].spread, 3).alias(c) for c in ("value", "user_id")])
+    out = scale.scale(df, scale.choose_scalers(df, ["value", "user_id"]))
     assert [f.dataType.simpleString() for f in out.schema.fields] == ["bigint", "float", "float"]
-    return again
+    return out.select("event_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("value", "user_id")])
 
 
 @query(
@@ -483,11 +479,23 @@ def f32_narrowing_plan(t):
     return validate.narrowing_plan(t.lineitem).select("column", "type", "narrowed")
 
 
-@query("f32_narrowed_part", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_size AS INT) AS p_size, p_brand FROM part")
+def _least_type(column: str) -> str:
+    sizes = (("tinyint", 7), ("smallint", 15), ("int", 31))
+    cases = " ".join(f"WHEN min({column}) >= -{2**bits} AND max({column}) < {2**bits} THEN '{kind}'" for kind, bits in sizes)
+    return f"(SELECT CASE {cases} ELSE 'bigint' END FROM part)"
+
+
+@query(
+    "f32_narrowed_part",
+    f"""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_size AS BIGINT) AS p_size, p_brand,
+        {_least_type("p_partkey")} AS p_partkey_type, {_least_type("p_size")} AS p_size_type FROM part""",
+)
 def f32_narrowed_part(t):
-    return validate.narrow_types(t.part.select("p_partkey", "p_size", "p_brand")).select(
-        F.col("p_partkey").cast("bigint"), F.col("p_size").cast("int"), "p_brand"
-    )
+    """Narrowed values and the types that the operator gave their columns."""
+    out = validate.narrow_types(t.part.select("p_partkey", "p_size", "p_brand"))
+    kinds = dict(out.dtypes)
+    numbers = ("p_partkey", "p_size")
+    return out.select(*[F.col(c).cast("bigint").alias(c) for c in numbers], "p_brand", *[F.lit(kinds[c]).alias(f"{c}_type") for c in numbers])
 
 
 @query("f39_auto_target", f"SELECT 'urgency' AS target, count(*) AS rows FROM {MESSY} m")
