@@ -9,6 +9,7 @@ from millrace.operators.cluster import dbscan as db
 from millrace.operators.cluster import outliers as ou
 from millrace.operators.cluster import quality as qu
 from millrace.operators.cluster import sweep as sw
+from millrace.operators.cluster import tree as tr
 from millrace.operators.cluster.neighbors import as_points
 from millrace.queries.exploring import rounded
 from millrace.queries.registry import query
@@ -44,6 +45,21 @@ def h3_bisecting(t):
     return sw.fit_bisecting(v, 4).transform(v).select("vec_id", "prediction")
 
 
+LINK = 0.85
+
+
+@query(
+    "h3_single_linkage",
+    f"""WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        d AS (SELECT a.id, b.id AS other FROM e a JOIN e b ON list_distance(a.v, b.v) <= {LINK}),
+        r(id, label) AS (SELECT id, id FROM e UNION SELECT d.other, r.label FROM r JOIN d ON d.id = r.id)
+        SELECT id, min(label) AS cluster FROM r GROUP BY id""",
+)
+def h3_single_linkage(t):
+    p = points(t)
+    return tr.single_linkage(p, tr.spanning_tree(p), height=LINK)
+
+
 @query("h4_gaussian_mixture")
 def h4_gaussian_mixture(t):
     v = vectors(t).select("vec_id", "features")
@@ -136,6 +152,25 @@ def h11_dbscan(t):
     return db.dbscan(points(t), EPS, 6, cells=8)
 
 
+RADII = (0.85, 0.9)
+
+
+@query(
+    "h11_density_labels",
+    " UNION ALL ".join(
+        f"""SELECT * FROM (WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        d AS (SELECT a.id, b.id AS other FROM e a JOIN e b ON list_distance(a.v, b.v) <= {eps}),
+        core AS (SELECT id FROM d GROUP BY id HAVING count(*) >= 6),
+        cc AS (SELECT d.id, d.other FROM d JOIN core a ON a.id = d.id JOIN core b ON b.id = d.other),
+        r(id, label) AS (SELECT id, id FROM core UNION SELECT cc.other, r.label FROM r JOIN cc ON cc.id = r.id)
+        SELECT CAST({eps} AS DOUBLE) AS eps, e.id, coalesce(min(label), -1) AS cluster FROM e LEFT JOIN r ON r.id = e.id GROUP BY e.id) q{i}"""
+        for i, eps in enumerate(RADII)
+    ),
+)
+def h11_density_labels(t):
+    return tr.density_labels(*tr.density_tree(points(t), 6, cells=8), RADII)
+
+
 @query("h12_isolation_forest")
 def h12_isolation_forest(t):
     return ou.isolation_forest(points(t))
