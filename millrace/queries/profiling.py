@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import catalog as cat
 from millrace.operators import keys as kd
+from millrace.operators import lattice as la
 from millrace.operators import profile as pf
 from millrace.plans.frames import col
 from millrace.queries.registry import TABLE_NAMES, query
@@ -347,6 +348,66 @@ def d18_inclusion_deps(t):
     return kd.inclusion_deps(t.every, PAIRS)
 
 
+# Families of the inclusion search, for the SQL twin only.
+FAMILIES = {"int": "integer", "bigint": "integer", "double": "float", "string": "text", "timestamp_ntz": "timestamp"}
+LEAST = 0.5
+
+
+@query(
+    "d18_all_inclusions",
+    f"""WITH v AS ({" UNION ALL ".join(
+        f"SELECT DISTINCT '{t}.{c}' AS c, '{FAMILIES[kind]}' AS f, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL"
+        for t, cols in COLUMNS.items() for c, kind in cols if kind in FAMILIES
+    )}), n AS (SELECT c, count(*) AS n FROM v GROUP BY c),
+    p AS (SELECT a.c AS child, b.c AS parent, count(*) AS contained FROM v a JOIN v b ON a.f = b.f AND a.v = b.v AND a.c <> b.c GROUP BY a.c, b.c)
+    SELECT child, parent, n AS child_values, contained, round(contained * 1.0 / n, 6) AS containment FROM p JOIN n ON n.c = p.child WHERE contained >= {LEAST} * n""",
+)
+def d18_all_inclusions(t):
+    return la.inclusions(t.every, LEAST)
+
+
+WIDE = ("customer", "part", "orders", "events")
+
+
+def lattice_ctes(table: str, width: int) -> str:
+    """Column sets with their distinct counts (s) and the table's rows (r)."""
+    names = [c for c, _ in COLUMNS[table]]
+    sets = [g for w in range(1, width + 1) for g in combinations(names, w)]
+    each = " UNION ALL ".join(f"SELECT {list(g)} AS x, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(g)} FROM {table}) q) AS n" for g in sets)
+    return f"s AS ({each}), r AS (SELECT count(*) AS total FROM {table})"
+
+
+def minimal_keys_sql(table: str) -> str:
+    return f"""SELECT * FROM (WITH {lattice_ctes(table, 2)}, k AS (SELECT x FROM s, r WHERE n = total)
+        SELECT '{table}' AS "table", array_to_string(x, ', ') AS key, CAST(len(x) AS INT) AS width, total AS row_count FROM k, r
+        WHERE NOT EXISTS (SELECT 1 FROM k o WHERE len(o.x) < len(k.x) AND list_has_all(k.x, o.x))) q_{table}"""
+
+
+def dependencies_sql(table: str) -> str:
+    return f"""SELECT * FROM (WITH {lattice_ctes(table, 3)},
+        f AS (SELECT l.x, l.n, list_filter(b.x, lambda c: NOT list_contains(l.x, c))[1] AS a FROM s l JOIN s b ON len(b.x) = len(l.x) + 1 AND list_has_all(b.x, l.x) AND b.n = l.n, r WHERE l.n < total)
+        SELECT '{table}' AS "table", array_to_string(x, ', ') AS determinant, a AS dependent, CAST(len(x) AS INT) AS width, n AS determinant_values FROM f
+        WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.a = f.a AND len(g.x) < len(f.x) AND list_has_all(f.x, g.x))) q_{table}"""
+
+
+def each_table(t, run):
+    out = None
+    for name in WIDE:
+        part = run(getattr(t, name), 2).select(F.lit(name).alias("table"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("d17_minimal_keys", " UNION ALL ".join(minimal_keys_sql(x) for x in WIDE))
+def d17_minimal_keys(t):
+    return each_table(t, la.minimal_keys)
+
+
+@query("d17_dependencies", " UNION ALL ".join(dependencies_sql(x) for x in WIDE))
+def d17_dependencies(t):
+    return each_table(t, la.dependencies)
+
+
 @query(
     "d19_multivalued_columns",
     " UNION ALL ".join(
