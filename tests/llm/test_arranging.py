@@ -9,6 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from millrace.llm import cross_polytope, mixing, packing
 from tests.llm import cases
 
@@ -50,6 +52,28 @@ def test_mix_of_odd_rows(spark, monkeypatch):
     assert mixing.mix_sources(docs, {}).count() == 0 and mixing.mix_sources(cases.frame(spark, [])).count() == 0
 
 
+def test_mix_of_very_high_rates(spark):
+    # one short text against one of 3 MB: equal weights repeat the short one 750 000 times
+    docs = cases.frame(spark, [(1, "", "en", "short"), (2, "x" * 3_000_000, "en", "long")])
+    rate = {r.source: (r.rate, r.parts) for r in mixing.repetition_rates(docs).collect()}
+    want = (3_000_001 + 1) / 2
+    assert math.isclose(rate["short"][0], want) and rate["short"][1] == math.ceil(want / mixing.PART_RATE) and rate["long"][1] == 1
+    copies = mixing.mix_report(docs).select("doc_id", "copy").where("doc_id = 1")
+    n, distinct = copies.agg(F.count("*"), F.count_distinct("copy")).first()
+    assert n == distinct and abs(n - want) < 6 * want**0.5
+
+
+def test_mix_in_parts_keeps_the_distribution(spark, monkeypatch):
+    docs = cases.frame(spark, [(k, f"text {k:05d}", "en", "a") for k in range(3000)])
+    monkeypatch.setattr(mixing, "PART_RATE", 2.0)
+    out = mixing.mix_report(docs, size=9.0)
+    assert mixing.repetition_rates(docs, size=9.0).first().parts == 5
+    per = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("d")).toPandas()
+    assert (per.n == per.d).all()
+    n = np.concatenate([per.n.to_numpy(), np.zeros(3000 - len(per))])
+    assert abs(n.mean() - 9) < 5 * (9 / 3000) ** 0.5 and abs(n.var() - 9) < 5 * (2 * 81 / 3000) ** 0.5
+
+
 def test_mix_uses_no_python(spark):
     plan = mixing.mix_sources(cases.frame(spark, ROWS))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
