@@ -170,6 +170,58 @@ def test_compression_verdicts():
     assert compression.in_bands(3000, 2.0, 0, 3) and not compression.in_bands(3000, 2.0, 1, 3) and not compression.in_bands(3000, 9.0, 0, 3)
 
 
+RUSSIAN = """Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.
+Каждый человек должен обладать всеми правами и всеми свободами, провозглашенными настоящей Декларацией, без какого бы то ни было различия, как-то в отношении расы, цвета кожи, пола, языка, религии, политических или иных убеждений, национального или социального происхождения, имущественного, сословного или иного положения.
+Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность. Никто не должен содержаться в рабстве или в подневольном состоянии; рабство и работорговля запрещаются во всех их видах.
+Никто не должен подвергаться пыткам или жестоким, бесчеловечным или унижающим его достоинство обращению и наказанию. Каждый человек, где бы он ни находился, имеет право на признание его правосубъектности."""
+CHINESE = """人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。
+人人有资格享有本宣言所载的一切权利和自由,不分种族、肤色、性别、语言、宗教、政治或其他见解、国籍或社会出身、财产、出生或其他身分等任何区别。
+人人有权享有生命、自由和人身安全。任何人不得使为奴隶或奴役;一切形式的奴隶制度和奴隶买卖,均应予以禁止。
+任何人不得加以酷刑,或施以残忍的、不人道的或侮辱性的待遇或刑罚。人人在任何地方有权被承认在法律前的人格。
+法律之前人人平等,并有权享受法律的平等保护,不受任何歧视。任何人不得加以任意逮捕、拘禁或放逐。"""
+
+
+def passes(text):
+    data = text.encode() if isinstance(text, str) else text
+    out = compression.measure([data])
+    width = len(data) / len(data.decode())
+    return compression.in_bands(len(data), out["ratio"][0], out["chunks_out"][0], out["chunks"][0], width=width)
+
+
+def test_compression_bands_by_script_and_length():
+    import base64
+    import random
+
+    # clean prose in scripts of two and three bytes a character, whole and by its first half
+    for text in (RUSSIAN, CHINESE):
+        assert passes(text) and passes(text[: len(text) // 2])
+        assert not passes(text[:60] * 60)
+    draw = random.Random(3)
+    for n in (1_500, 6_000, 40_000, 400_000):
+        assert not passes(base64.b64encode(draw.randbytes(n)))
+        assert not passes((b"the same words again and more of them " * (n // 30))[:n])
+        prose = cases.prose(n, n // 6, 20_000)
+        assert passes(prose)
+        # a loop in a fifth of the text shows in the chunks
+        assert not passes(prose[: n // 2] + "again and again " * (n // 4 // 16 + 130) + prose[n // 2 :])
+
+
+def test_compression_bands_follow_the_table(spark):
+    rows = [(k, cases.prose(k, 400, 20_000), "en", "a") for k in range(150)] + [(900, RUSSIAN, "ru", "a"), (901, CHINESE * 2, "zh", "a")]
+    rows += [(1_000 + k, "one loop of junk text without end " * 70, "en", "a") for k in range(300)]
+    docs = cases.frame(spark, rows)
+    bands = compression.learn_bands(docs)
+    for (length, wide), top in bands.tops.items():
+        text = [t for _, t, *_ in rows if compression.class_of(len(t.encode()), len(t.encode()) / len(t)) == (length, wide)]
+        n = len([t for t in text if not compression.measure([t.encode()])["base_failed"][0]])
+        ratios = np.sort([compression.measure([t.encode()])["ratio"][0] for t in text])
+        middle, upper = ratios[math.ceil(0.5 * n) - 1], ratios[math.ceil(0.75 * n) - 1]
+        widest = compression.WIDEST.whole(int(2 ** (length / 2)), wide / 2 + 0.25)[1]
+        assert math.isclose(top, (n * (middle + 5 * (upper - middle) / 0.6745) + 50 * widest) / (n + 50))
+    kept = {r.doc_id for r in compression.quality_report(docs).where("kept").collect()}
+    assert {k for k, *_ in rows if k < 900} | {900} <= kept and not any(k >= 1_000 for k in kept)
+
+
 @pytest.fixture(scope="module")
 def graded(spark, folder):
     folder = folder.replace("0.001", "0.1")
