@@ -45,7 +45,7 @@ def h3_bisecting(t):
     return sw.fit_bisecting(v, 4).transform(v).select("vec_id", "prediction")
 
 
-LINK = 0.85
+LINK = 1.13
 
 
 @query(
@@ -152,7 +152,7 @@ def h11_dbscan(t):
     return db.dbscan(points(t), EPS, 6, cells=8)
 
 
-RADII = (0.85, 0.9)
+RADII = (1.16, 1.18)
 
 
 @query(
