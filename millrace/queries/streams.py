@@ -44,7 +44,7 @@ def s1_sliding_counts(t):
        SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, s""",
 )
 def s1_session_counts(t):
-    return _local(runner.drain_complete(windows.session_counts(event_stream(t), "ts", "30 minutes", ["user_id"]), _scratch(t, "sessions")))
+    return _local(runner.drain_sessions(windows.session_updates(event_stream(t), "ts", 1800, ["user_id"]), _scratch(t, "sessions"), ["user_id"]))
 
 
 @query(

@@ -49,6 +49,11 @@ def drain_updates(stream: DataFrame, path: str, keys: Sequence[str]) -> DataFram
     return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in stream.columns])
 
 
+def drain_sessions(stream: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Result of ``windows.session_updates``: the newest row of each session, without those that another one took in."""
+    return drain_updates(stream, path, [*keys, "start"]).where("n > 0")
+
+
 def drain_complete(stream: DataFrame, path: str) -> DataFrame:
     """Run an aggregation to the end of the available files, its whole result in parquet at ``path``.
 

@@ -47,6 +47,47 @@ def test_sessions(spark, parts, tmp_path):
     assert rows(live) == rows(windows.session_counts(parts[1], "ts", "3 hours", ["user_id"]))
 
 
+def test_session_updates_equal_the_batch(spark, parts, tmp_path):
+    live = runner.drain_sessions(windows.session_updates(stream(spark, parts), "ts", 3 * 3600, ["user_id"], late="30 days"), str(tmp_path / "u"), ["user_id"])
+    assert rows(live) == rows(windows.session_counts(parts[1], "ts", "3 hours", ["user_id"]))
+
+
+def test_sessions_merge_close_and_free_their_state(spark, tmp_path):
+    """Out of order rows join two sessions; a row beyond the bound changes nothing; closed keys leave no state."""
+    folder = str(tmp_path / "in")
+    batches = (
+        [("a", "01 10:00"), ("a", "01 11:30"), (None, "01 10:00"), ("b", None)],
+        [("a", "01 10:50"), ("a", "01 09:30")],
+        [("a", "05 10:00")],
+        [("a", "01 10:10"), ("z", "01 10:10"), ("a", "05 10:20"), ("a", "09 10:00")],
+    )
+    for batch in batches:
+        frame = spark.createDataFrame(batch, "k string, t string").select("k", F.expr("CAST('2024-01-' || t || ':00' AS TIMESTAMP_NTZ)").alias("ts"))
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        __import__("time").sleep(1.1)
+    live = windows.session_updates(runner.file_stream(spark, folder, "*.parquet", frame.schema), "ts", 3600, ["k"], late="3 hours")
+    seen = []
+    query = (
+        live.writeStream.outputMode("update").foreachBatch(lambda b, i: seen.extend((i, *r) for r in b.selectExpr("k", "date_format(start, 'dd HH:mm')", "n").collect()))
+        .option("checkpointLocation", runner._checkpoint(spark)).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    left = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    newest = {}
+    for _, k, start, n in seen:
+        newest[k, start] = n
+    assert {x: n for x, n in newest.items() if n} == {("a", "01 09:30"): 4, (None, "01 10:00"): 1, ("a", "05 10:00"): 2, ("a", "09 10:00"): 1}
+    assert left == 1  # the last session lies within the bound of the newest row
+
+
+def test_sessions_of_an_empty_stream(spark, tmp_path):
+    folder = str(tmp_path / "none")
+    spark.range(0).selectExpr("id AS user_id", "CAST(NULL AS TIMESTAMP_NTZ) AS ts").write.parquet(folder)
+    live = windows.session_updates(runner.file_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema), "ts", 60, ["user_id"])
+    out = runner.drain_sessions(live, str(tmp_path / "o"), ["user_id"])
+    assert out.columns == ["user_id", "start", "end", "n"] and out.count() == 0
+
+
 def test_checks_merge_over_batches(spark, parts, tmp_path):
     handle = lambda b: quality.batch_checks(b, "ts", "1 day", ["value", "event_type"], ["event_id"])
     runner.drain_batches(stream(spark, parts), quality.to_batches(handle, str(tmp_path / "c")))
