@@ -6,7 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from millrace.operators.clean import encode, impute, outliers, scale, schema, select, validate
+from millrace.functions import normal
+from millrace.operators.clean import encode, impute, normality, outliers, scale, schema, select, validate
 from millrace.queries.exploring import NUMS, rounded
 from millrace.queries.profiling import COLUMNS, HOLED, holed
 from millrace.queries.registry import query
@@ -245,6 +246,36 @@ def f14_normality(t):
     return n.select("column", "n", F.round("skewness", 4).alias("skewness"), F.round("kurtosis", 4).alias("kurtosis"), F.round("statistic", 2).alias("statistic"))
 
 
+def _horner(coefficients, x):
+    text = repr(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        text = f"({text} * {x} + {c!r})"
+    return text
+
+
+def _z_sql(p):
+    ratio = lambda table, x: f"{_horner(table[0], x)} / {_horner(table[1], x)}"
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"""CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio(normal.CENTRAL, f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')}
+        ELSE sign({p} - 0.5) * CASE WHEN {r} <= 5 THEN {ratio(normal.MIDDLE, f'({r} - 1.6)')} ELSE {ratio(normal.TAIL, f'({r} - 5)')} END END"""
+
+
+def _shapiro_sql(table, c):
+    # outermost weights a, next ones b, the others m / sqrt(phi)
+    return f"""SELECT '{c}' AS "column", n, round(CAST(power((mx - m1 * x1 - m2 * x2) / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a * a - 2 * b * b)) + a * x1 + b * x2, 2) / ss AS DOUBLE), 6) AS statistic
+      FROM (SELECT *, m1 / sqrt(mm) + {_horner(normality.OUTER, '(1 / sqrt(n))')} AS a, m2 / sqrt(mm) + {_horner(normality.SECOND, '(1 / sqrt(n))')} AS b
+        FROM (SELECT n, sum(m * x) AS mx, sum(m * m) AS mm, sum(x * x) AS ss, max(m) AS m1, max(m) FILTER (WHERE i = n - 1) AS m2, max(x) - min(x) AS x1,
+              max(x) FILTER (WHERE i = n - 1) - max(x) FILTER (WHERE i = 2) AS x2
+          FROM (SELECT x, i, n, {_z_sql('p')} AS m FROM (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM (
+            SELECT {c} - avg({c}) OVER () AS x, CAST(row_number() OVER (ORDER BY {c}) AS DOUBLE) AS i, count(*) OVER () AS n FROM {table} WHERE {c} IS NOT NULL) r) w) z GROUP BY n) s) t"""
+
+
+@query("f14_shapiro_wilk", " UNION ALL ".join(_shapiro_sql(t, c) for t, c in (("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"), ("events", "value"))))
+def f14_shapiro_wilk(t):
+    lines = normality.shapiro_wilk(t.lineitem, ["l_quantity", "l_extendedprice"])
+    return rounded(lines.unionByName(normality.shapiro_wilk(t.events, ["value"])).select("column", "n", "statistic"), 6)
+
+
 _HEAVY = "(SELECT event_id, value, value * value * value AS cubed, sqrt(value) AS root FROM events)"
 
 
