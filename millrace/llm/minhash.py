@@ -51,6 +51,8 @@ BLOCK = 1024
 STRIP = 4096
 #: Rows of a call that decides many small tasks, on average.
 BUNDLE = 16_384
+#: Shingles that the texts of a block, or of a call on full sets, hold on average; a longer text is a block of its own size.
+BLOCK_SHINGLES = 1 << 19
 _FACTORS = (np.random.default_rng(20240607).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ONES = sum(((1 << BITS) - 1) << (LANE * i) for i in range(WIDTH))
 _TOPS = sum((1 << BITS) << (LANE * i) for i in range(WIDTH))
@@ -297,31 +299,41 @@ def _across(members: DataFrame, groups: DataFrame, docs: DataFrame, reps: DataFr
     tasks are pairs of blocks of which one at least lies outside. Signatures settle which nodes stay, full
     sets which are linked; both stages return nodes, not pairs.
     """
-    named = members.join(groups, "nid", "left").select("key", "slot", "nid", F.coalesce("component", "nid").alias("part"))
-    parts = named.groupBy("key", "part").agg(F.count("*").alias("size"))
+    named = members.join(groups, "nid", "left").join(reps.select("nid", "n"), "nid").select("key", "slot", "nid", F.coalesce("component", "nid").alias("part"), "n")
+    parts = named.groupBy("key", "part").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     mixed = parts.groupBy("key").agg(
-        F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("major"), F.max("size").alias("inside"), F.sum("size").alias("all")
+        F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("major"), F.max("size").alias("inside"),
+        F.max_by("weight", F.struct("size", "part")).alias("inside_weight"), F.sum("size").alias("all"), F.sum("weight").alias("all_weight"),
     )
+    blocks = lambda rows, weight: F.ceil(F.greatest(rows / BLOCK, F.least(rows, weight / BLOCK_SHINGLES))).cast("int")
+    outside = F.col("all") - F.col("inside")
     mixed = mixed.where("parts > 1").select(
-        "key", "major", F.ceil((F.col("all") - F.col("inside")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("inside") / BLOCK).cast("int").alias("inner")
+        "key", "major", outside.alias("outside"), "inside",
+        blocks(outside, F.col("all_weight") - F.col("inside_weight")).alias("outer"), blocks(F.col("inside"), F.col("inside_weight")).alias("inner"),
     )
+    mixed = cut_lineage(mixed)
+    # A node outside meets all blocks, one inside those outside: so many rows are dealt.
+    copies = mixed.agg(F.sum(F.col("outside") * (F.col("outer") + F.col("inner")) + F.col("inside") * F.col("outer"))).first()[0] or 0
+    if not copies:
+        return None
+    mixed = mixed.select("key", "major", "outer", "inner")
     here = F.pmod(F.xxhash64("nid", "key"), F.when(F.col("part") == F.col("major"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
     # Blocks 0 .. outer - 1 lie outside, the ones after them are the largest component's.
     half = F.when(F.col("part") == F.col("major"), F.col("outer") + here).otherwise(here)
     nodes = named.join(mixed, "key").withColumn("half", half)
     last = F.when(F.col("half") < F.col("outer"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
     dealt = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
-    dealt = dealt.select("key", "slot", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "half", "nid", "part")
-    dealt = dealt.join(reps.select("nid", "n", "sig"), "nid").select("key", "slot", "low", "high", "half", "nid", "part", "n", "sig")
-    # Most tasks are tiny, so several go into one call: bundles by a hash of the task, about as many rows each.
-    bundle = lambda rows, most: F.pmod(F.xxhash64("key", "low", "high"), F.lit(math.ceil(rows / most) or 1)).alias("bundle")
-    dealt = dealt.select(bundle(members.count(), BUNDLE), "*")
+    dealt = dealt.select("key", "slot", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "half", "nid", "part", "n")
+    dealt = dealt.join(reps.select("nid", "sig"), "nid").select("key", "slot", "low", "high", "half", "nid", "part", "n", "sig")
+    # Most tasks are tiny, so several go into one call: bundles by a hash of the task, about as many rows (and shingles of full sets) each.
+    bundle = lambda calls: F.pmod(F.xxhash64("key", "low", "high"), F.lit(math.ceil(calls) or 1)).alias("bundle")
+    dealt = dealt.select(bundle(copies / BUNDLE), "*")
     near = cut_lineage(dealt.groupBy("bundle").applyInArrow(_near_in_bucket(masks, bound, like), "key long, low int, high int, half int, nid long"))
-    rows = near.count()
+    rows, weight = near.join(reps.select("nid", "n"), "nid").agg(F.count("*"), F.sum("n")).first()
     if not rows:
         return None
     texts = _texts(near.select("nid").distinct(), docs, reps)
-    wide = near.join(texts, "nid").select(bundle(rows, BLOCK), "key", "low", "high", "half", "nid", "text")
+    wide = near.join(texts, "nid").select(bundle(max(rows / BLOCK, weight / BLOCK_SHINGLES)), "key", "low", "high", "half", "nid", "text")
     return wide.groupBy("bundle").applyInArrow(_linked_in_bucket(like), "a long, b long").distinct()
 
 
