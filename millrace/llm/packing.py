@@ -222,6 +222,8 @@ def fill(tails: list[np.ndarray], length: int = LENGTH) -> list[list[tuple[int,
 
 
 _WIDE = "spread long, doc_id long, print long, nth long, start long, length long, ids_crc32 long, doc_tokens long, full boolean, tokens binary, sketch array<long>"
+#: Mark of the sequence ids of full windows; those of a shard start at its number times 2^32.
+FULL = 1 << 62
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -294,31 +296,36 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "print", "nth", "start")])
         base = table["shard"][0].as_py() << 32
-        column = {c: table[c].to_pylist() for c in table.column_names}
-        whole = [i for i, f in enumerate(column["full"]) if f]
-        rest = [i for i, f in enumerate(column["full"]) if not f]
+        column = {c: table[c].to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "tokens")}
+        tails = [read(blob, n) for blob, n in zip(column.pop("tokens"), column["length"])]
         out = []
-        for k, i in enumerate(whole):
-            row = (column["doc_id"][i], column["start"][i], length, column["ids_crc32"][i], column["doc_tokens"][i], base + k, 0)
-            out.append(row + ((read(column["tokens"][i], length).astype(np.int32),) if with_ids else ()))
-        tails = [read(column["tokens"][i], column["length"][i]) for i in rest]
         for k, window in enumerate(fill(tails, length)):
             offset = 0
-            for item, first, n in window:
-                ids, i = tails[item][first : first + n], rest[item]
-                row = (column["doc_id"][i], column["start"][i] + first, n, _crc(ids), column["doc_tokens"][i], base + len(whole) + k, offset)
+            for i, first, n in window:
+                ids = tails[i][first : first + n]
+                row = (column["doc_id"][i], column["start"][i] + first, n, _crc(ids), column["doc_tokens"][i], base + k, offset)
                 out.append(row + ((ids.astype(np.int32),) if with_ids else ()))
                 offset += n
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _WIDE)
     rows = cut_lineage(rows.withColumn("uid", F.monotonically_increasing_id()))
-    lone = F.pmod("spread", F.lit(shards))
+    # A full window has nothing to look for: it is a sequence by its number, and no shard holds it.
+    full = rows.where("full").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("uid").bitwiseOR(F.lit(FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "tokens")
+    shape = _PIECE + (", ids array<int>" if with_ids else "")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids = pa.array([read(blob, length).astype(np.int32) for blob in part.column(7).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:7], ids], names=names)
+
+    full = full.mapInArrow(decode, shape) if with_ids else full.drop("tokens")
+    rest = rows.where(~F.col("full"))
     if shards > 1:
-        dealt = deal(rows.where(~F.col("full")).select("uid", "spread", "length", "sketch"), shards)
-        tails = rows.where(~F.col("full")).join(dealt, "uid")
-        rows = tails.unionByName(rows.where("full").withColumn("shard", lone))
+        rest = rest.join(deal(rest.select("uid", "spread", "length", "sketch"), shards), "uid")
     else:
-        rows = rows.withColumn("shard", lone)
-    rows = rows.drop("uid", "spread", "sketch")
-    return rows.groupBy("shard").applyInArrow(join, _PIECE + (", ids array<int>" if with_ids else ""))
+        rest = rest.withColumn("shard", F.lit(0).cast("long"))
+    rest = rest.select("shard", "doc_id", "print", "nth", "start", "length", "doc_tokens", "tokens")
+    return full.unionByName(rest.groupBy("shard").applyInArrow(join, shape))
