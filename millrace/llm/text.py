@@ -141,3 +141,5 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES
                 yield part, column_bytes(part, name)
                 start, size = i, 0
             size += (length or 0) + 16
+    # The worker lives on: what this task freed goes back to the system.
+    pa.default_memory_pool().release_unused()
