@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.lineage import cut_lineage
+from millrace.plans.lineage import cut_lineage, forget_size
+
+#: Rounds after which the labels' size estimate starts anew; it has about four times the digits after each.
+ANEW = 4
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -18,7 +21,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     )
     labels = cut_lineage(vertices.select("id", F.col("id").alias("component")))
-    total = _total(labels)
+    total, rounds = _total(labels), 0
     while True:
         named = labels.select(F.col("id").alias("dst"), F.col("component").alias("_near"))
         nearest = both.join(named, "dst").groupBy(F.col("src").alias("id")).agg(F.min("_near").alias("_near"))
@@ -27,7 +30,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         )
         lower = cut_lineage(lower)
         parents = lower.select(F.col("id").alias("component"), F.col("component").alias("_up"))
-        labels = cut_lineage(lower.join(parents, "component").select("id", F.col("_up").alias("component")))
+        rounds += 1
+        keep = cut_lineage if rounds % ANEW else forget_size
+        labels = keep(lower.join(parents, "component").select("id", F.col("_up").alias("component")))
         fresh = _total(labels)
         if fresh == total:
             return labels

@@ -1,5 +1,7 @@
 """Prefix sums, exact quantiles, rolling blocks and components against pandas and numpy."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -103,3 +105,14 @@ def test_components_of_chain_star_and_pair(spark):
     ).toPandas().set_index("id")["component"]
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30))
     assert got[500] == got[501] == 500 and got[900] == 900
+
+
+def test_size_estimates_do_not_compound_over_rounds(spark, capsys):
+    """A path in shuffled order takes many rounds; each used to multiply the digits of the estimate by four."""
+    ids = np.random.default_rng(5).permutation(120).tolist()
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src bigint, dst bigint")
+    got = connected_components(spark.createDataFrame([(i,) for i in ids], "id bigint"), edges)
+    got.explain("cost")
+    powers = [int(p) for p in re.findall(r"sizeInBytes=[0-9.]+E\+(\d+)", capsys.readouterr().out)]
+    assert max(powers, default=0) < 10_000
+    assert got.where("component <> 0").count() == 0
