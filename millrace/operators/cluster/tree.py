@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from millrace.operators.cluster import neighbors as nb
 from millrace.operators.cluster.quality import NOISE
 from millrace.plans.components import connected_components
-from millrace.plans.lineage import cut_lineage
+from millrace.plans.lineage import cut_lineage, forget_size
 
 #: Edges up to which the rest of the tree is found in one task.
 MERGE = 1_000_000
@@ -183,7 +183,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         second = named.select(F.col("id").alias("b"), F.col("component").alias("_b"))
         moved = rest.join(first, "a").join(second, "b").where("_a <> _b")
         pair = [F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")]
-        rest = cut_lineage(moved.groupBy(*pair).agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.weight", "a", "b"))
+        rest = forget_size(moved.groupBy(*pair).agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.weight", "a", "b"))
     if left:
         taken.append(rest.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: _last_edges(pdf), EDGE))
     if not taken:
@@ -267,7 +267,7 @@ def density_labels(core: DataFrame, tree: DataFrame, radii: Sequence[float]) ->
         right = named.select(F.col("id").alias("dst"), F.col("cluster").alias("_b"))
         links = fresh.join(left, "src").join(right, "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"))
         joined = connected_components(named.select(F.col("cluster").alias("id")).distinct(), links)
-        named = cut_lineage(named.join(joined.select(F.col("id").alias("cluster"), "component"), "cluster").select("id", F.col("component").alias("cluster")))
+        named = forget_size(named.join(joined.select(F.col("id").alias("cluster"), "component"), "cluster").select("id", F.col("component").alias("cluster")))
         inner = core.select(F.col("id").alias("_id"), "core")
         part = named.join(inner, F.col("id") == F.col("_id")).select(
             F.lit(float(eps)).alias("eps"), "id", F.when(F.col("core") <= eps, F.col("cluster")).otherwise(F.lit(NOISE).cast("bigint")).alias("cluster")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -111,3 +113,11 @@ def test_spanning_forest_of_a_graph_in_rounds(spark, monkeypatch):
             name = {k: low if v == high else v for k, v in name.items()}
             want.append((a, b, w))
     assert got == sorted(want)
+
+
+def test_density_labels_at_many_radii_keep_their_size_estimate(spark, capsys):
+    ids, x = cloud()
+    core, tree = tr.density_tree(frame(spark, ids, x), 4)
+    tr.density_labels(core, tree, [0.2, 0.4, 0.9]).explain("cost")
+    powers = [int(p) for p in re.findall(r"sizeInBytes=[0-9.]+E\+(\d+)", capsys.readouterr().out)]
+    assert max(powers, default=0) < 1_000
