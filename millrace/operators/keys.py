@@ -134,6 +134,7 @@ def multivalued_columns(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
         aggs += [
             F.count(col(c)).alias(f"n_{c}"),
             F.count_if(is_json).alias(f"j_{c}"),
-            F.count_if(~is_json & text.rlike(r"^[^,;|]+([,;|][^,;|]+)+$")).alias(f"d_{c}"),
+            # no repeated group: Java's matcher calls itself for each repetition, and a long text overflows the stack
+            F.count_if(~is_json & text.rlike("[,;|]") & ~text.rlike(r"\A[,;|]|[,;|]{2}|[,;|]\z")).alias(f"d_{c}"),
         ]
     return df.agg(*aggs).select(F.inline(F.array(*records)))

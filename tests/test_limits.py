@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators.keys import multivalued_columns
 from millrace.operators import explore, logs, profile
 from millrace.operators.clean import encode, schema, select
 from millrace.operators.cluster import quality as cluster_quality
@@ -82,3 +83,10 @@ def test_recursion_has_no_level_limit(spark):
     from millrace.operators.sql import run_sql
 
     assert run_sql(spark, {}, text).first().c == 300
+
+
+def test_lists_in_long_texts(spark):
+    """A group repeated for every separator overflowed the matcher's stack, which ends an executor."""
+    texts = ["a,b", "a|b;c", "a,b,\n", "a\n,b", ",a,b", "a,b,", "a,,b", "a", " a,b ", "x," * 200_000 + "x", "x," * 200_000, None, ""]
+    got = multivalued_columns(spark.createDataFrame([(t,) for t in texts], "t string")).first()
+    assert (got["values"], got["json_share"], got["list_share"]) == (12, 0.0, 0.5)
