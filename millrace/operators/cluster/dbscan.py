@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.cluster import quality
-from millrace.operators.cluster.neighbors import block_pairs, build_cells, distances, knn_join, route
+from millrace.operators.cluster.neighbors import block_pairs, block_size, build_cells, distances, knn_join, route, slices
 from millrace.plans.components import connected_components
 from millrace.plans.lineage import cut_lineage
 from millrace.plans.quantiles import quantiles
@@ -77,9 +77,10 @@ def _counts(placed, shape, eps):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 q_ids, _, q, r = _matrix(row)
-                yield pd.DataFrame({"id": q_ids, "n": _within(q, r, eps)[1].sum(1)})
+                found = [_within(q[part], r, eps)[1].sum(1) for part in slices(len(q), len(r))]
+                yield pd.DataFrame({"id": q_ids, "n": np.concatenate(found)})
 
-    pairs = block_pairs(route(placed, shape, F.lit(float(eps))), placed)
+    pairs = block_pairs(route(placed, shape, F.lit(float(eps))), placed, size=block_size(shape.count.sum()))
     return pairs.select(*FIELDS).mapInPandas(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("neighbors"))
 
 
@@ -97,33 +98,35 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, cells: int | None = None
         )
     )
     core, rest = flagged.where("core"), flagged.where("NOT core")
-    reach = F.lit(float(eps))
+    reach, size = F.lit(float(eps)), block_size(shape.count.sum())
 
     def link(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 q_ids, r_ids, q, r = _matrix(row)
-                edges = _forest(_within(q, r, eps)[1])
-                if edges:
-                    i, j = np.array(edges).T
-                    keep = q_ids[i] != r_ids[j]
-                    yield pd.DataFrame({"src": q_ids[i][keep], "dst": r_ids[j][keep]})
+                for part in slices(len(q), len(r)):
+                    edges = _forest(_within(q[part], r, eps)[1])
+                    if edges:
+                        i, j = np.array(edges).T
+                        src, dst = q_ids[part][i], r_ids[j]
+                        yield pd.DataFrame({"src": src[src != dst], "dst": dst[src != dst]})
 
     def attach(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 q_ids, r_ids, q, r = _matrix(row)
-                _, hit = _within(q, r, eps)
-                i, j = np.nonzero(hit)
-                exact = np.sqrt(((q[i] - r[j]) ** 2).sum(1))
-                order = np.lexsort((r_ids[j], exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                first = np.unique(i, return_index=True)[1]
-                yield pd.DataFrame({"id": q_ids[i[first]], "core_id": r_ids[j[first]], "distance": exact[first]})
-
-    edges = block_pairs(route(core, shape, reach), core).select(*FIELDS).mapInPandas(link, "src bigint, dst bigint")
+                for part in slices(len(q), len(r)):
+                    own, x = q_ids[part], q[part]
+                    i, j = np.nonzero(_within(x, r, eps)[1])
+                    exact = np.sqrt(((x[i] - r[j]) ** 2).sum(1))
+                    order = np.lexsort((r_ids[j], exact, i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    first = np.unique(i, return_index=True)[1]
+                    yield pd.DataFrame({"id": own[i[first]], "core_id": r_ids[j[first]], "distance": exact[first]})
+
+    edges = block_pairs(route(core, shape, reach), core, size=size).select(*FIELDS).mapInPandas(link, "src bigint, dst bigint")
     clusters = connected_components(core.select("id"), edges)
-    near = block_pairs(route(rest, shape, reach), core).select(*FIELDS).mapInPandas(attach, "id bigint, core_id bigint, distance double")
+    near = block_pairs(route(rest, shape, reach), core, size=size).select(*FIELDS).mapInPandas(attach, "id bigint, core_id bigint, distance double")
     nearest = near.groupBy("id").agg(F.min(F.struct("distance", "core_id")).alias("best"))
     named = clusters.select(F.col("id").alias("_core"), F.col("component").alias("cluster"))
     border = nearest.join(named, F.col("best.core_id") == F.col("_core")).select("id", "cluster")

@@ -3,7 +3,8 @@
 Points are assigned to the nearest of some pivots. The triangle inequality tells which cells
 can hold a neighbour of a point, so it is sent to those cells only. Inside a cell points are
 packed into blocks of bounded size on both sides; a pair of blocks is one Arrow row, and its
-distances are one matrix product in numpy. A hot cell becomes many block pairs, never one big
+distances are matrix products in numpy, a slice of the queries at a time. Blocks widen with the table up to WIDE rows, so
+that points without clusters, which meet every block, are not sent more often in larger tables. A hot cell becomes many block pairs, never one big
 group, and only the wanted neighbours leave a block.
 
 Cells keep their size: there are as many as the points need. Up to FLAT pivots all tasks know them all. Beyond that
@@ -26,7 +27,12 @@ from millrace.plans.frames import col
 from millrace.plans.lineage import cut_lineage
 
 BLOCK = 1_000
-ROWS_PER_CELL = 5_000
+#: Blocks of reference points that a point meets at most, about, while blocks have fewer than WIDE rows.
+BLOCKS = 32
+WIDE = 16_000
+#: Distances of a block pair that are held at once.
+SLICE = 2_000_000
+ROWS_PER_CELL = 20_000
 FLAT = 256
 MEET = 50_000
 #: Lower pivots of one upper cell are numbered within this many.
@@ -194,9 +200,20 @@ def route(points: DataFrame, cells: Cells, limit: Column, skip_home: bool = Fals
     return routed
 
 
-def _parts(rows: DataFrame) -> DataFrame:
+def block_size(n: int) -> int:
+    """Rows of a block for ``n`` reference points."""
+    return max(BLOCK, min(WIDE, -(-int(n) // BLOCKS)))
+
+
+def slices(rows: int, others: int):
+    """Slices of the query rows of a block pair, at most SLICE distances each."""
+    step = max(1, SLICE // max(1, others))
+    return [slice(start, start + step) for start in range(0, rows, step)]
+
+
+def _parts(rows: DataFrame, size: int) -> DataFrame:
     """(cell, parts): blocks per cell; one small row per cell."""
-    return rows.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("parts"))
+    return rows.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).alias("parts"))
 
 
 def _with_parts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -209,7 +226,7 @@ def _member(rows: str, name: str) -> Column:
 
 
 def _blocks(rows: DataFrame, sizes: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Pack rows of a cell into blocks of about BLOCK rows: ids, flat vectors, extras as arrays."""
+    """Pack rows of a cell into its ``parts`` blocks: ids, flat vectors, extras as arrays."""
     keyed = _with_parts(rows, sizes).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     packed = keyed.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "vec", *extra)).alias("rows"))
     return packed.select(
@@ -221,19 +238,20 @@ def _blocks(rows: DataFrame, sizes: DataFrame, extra: Sequence[str] = ()) -> Dat
     )
 
 
-def block_pairs(queries: DataFrame, refs: DataFrame, q_extra: Sequence[str] = (), r_extra: Sequence[str] = ()) -> DataFrame:
-    """Pairs of query and reference blocks of the same cell.
+def block_pairs(queries: DataFrame, refs: DataFrame, q_extra: Sequence[str] = (), r_extra: Sequence[str] = (), size: int | None = None) -> DataFrame:
+    """Pairs of query and reference blocks of the same cell, of about ``size`` rows (BLOCK by default).
 
     Query blocks are repeated once per reference block of their cell and meet it on
     (cell, part), so the pairs of a hot cell spread over all tasks.
     """
-    sizes = _parts(refs)
+    size = size or BLOCK
+    sizes = _parts(refs, size)
     r = _blocks(refs, sizes, r_extra)
     r = r.select(
         F.col("cell").alias("_rc"), F.col("part").alias("_rp"), F.col("ids").alias("r_ids"), F.col("vecs").alias("r_vecs"),
         *[col(e).alias(f"r_{e}") for e in r_extra],
     )
-    q = _blocks(queries, _parts(queries), q_extra).drop("part")
+    q = _blocks(queries, _parts(queries, size), q_extra).drop("part")
     spread = _with_parts(q, sizes).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
     # a fixed partition number keeps the heavy pairs apart, however few bytes they hold
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -242,6 +260,22 @@ def block_pairs(queries: DataFrame, refs: DataFrame, q_extra: Sequence[str] = ()
 
 
 def _nearest_in_blocks(pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    def nearest(q_ids, q, limit, r_ids, r) -> pd.DataFrame:
+        d = distances(q, r)
+        if exclude_self:
+            d[q_ids[:, None] == r_ids[None, :]] = np.inf
+        kk = min(k, len(r_ids))
+        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        # the expansion is off by rounding: keep near-ties and settle them exactly
+        bar = np.minimum(kth, limit) + 1e-6 * (1.0 + np.where(np.isfinite(kth), kth, 0.0))
+        qi, ri = np.nonzero((d <= bar[:, None]) & np.isfinite(d))
+        exact = np.sqrt(((q[qi] - r[ri]) ** 2).sum(1))
+        order = np.lexsort((r_ids[ri], exact, qi))
+        qi, ri, exact = qi[order], ri[order], exact[order]
+        first = np.searchsorted(qi, qi, side="left")
+        keep = np.arange(len(qi)) - first < k
+        return pd.DataFrame({"id": q_ids[qi[keep]], "neighbor": r_ids[ri[keep]], "distance": exact[keep]})
+
     def run(batches):
         for pdf in batches:
             out = []
@@ -250,20 +284,8 @@ def _nearest_in_blocks(pairs: DataFrame, k: int, exclude_self: bool) -> DataFram
                 q = np.asarray(row.vecs, dtype=float).reshape(len(q_ids), -1)
                 r = np.asarray(row.r_vecs, dtype=float).reshape(len(r_ids), -1)
                 limit = np.asarray(row.limit, dtype=float)
-                d = distances(q, r)
-                if exclude_self:
-                    d[q_ids[:, None] == r_ids[None, :]] = np.inf
-                kk = min(k, len(r_ids))
-                kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                # the expansion is off by rounding: keep near-ties and settle them exactly
-                bar = np.minimum(kth, limit) + 1e-6 * (1.0 + np.where(np.isfinite(kth), kth, 0.0))
-                qi, ri = np.nonzero((d <= bar[:, None]) & np.isfinite(d))
-                exact = np.sqrt(((q[qi] - r[ri]) ** 2).sum(1))
-                order = np.lexsort((r_ids[ri], exact, qi))
-                qi, ri, exact = qi[order], ri[order], exact[order]
-                first = np.searchsorted(qi, qi, side="left")
-                keep = np.arange(len(qi)) - first < k
-                out.append(pd.DataFrame({"id": q_ids[qi[keep]], "neighbor": r_ids[ri[keep]], "distance": exact[keep]}))
+                for part in slices(len(q), len(r)):
+                    out.append(nearest(q_ids[part], q[part], limit[part], r_ids, r))
             yield pd.concat(out) if out else pd.DataFrame({"id": [], "neighbor": [], "distance": []})
 
     return pairs.select("ids", "vecs", "limit", "r_ids", "r_vecs").mapInPandas(run, "id bigint, neighbor bigint, distance double")
@@ -285,11 +307,11 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, exclude_self: bool
     shape = build_cells(refs, cells)
     if not len(shape.pivots):
         return queries.sparkSession.createDataFrame([], "id bigint, neighbor bigint, distance double, rank int")
-    r = shape.placed
+    r, size = shape.placed, block_size(shape.count.sum())
     q = place(queries, shape)
     anywhere = F.lit(float("inf"))
     home = q.withColumn("limit", anywhere).select("id", "vec", "limit", "cell")
-    local = _top(_nearest_in_blocks(block_pairs(home, r, ["limit"]), k, exclude_self), k)
+    local = _top(_nearest_in_blocks(block_pairs(home, r, ["limit"], size=size), k, exclude_self), k)
     if len(shape.pivots) == 1 and shape.lower is None:
         return local
     local = cut_lineage(local)  # read twice: as bound and as result
@@ -297,7 +319,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, exclude_self: bool
     bounded = q.join(bound.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     limit = F.when(F.col("_n") >= k, F.col("_far")).otherwise(anywhere)
     away = route(bounded.select("id", "vec", "cell", limit.alias("limit")), shape, F.col("limit"), skip_home=True, least=k + exclude_self)
-    remote = _nearest_in_blocks(block_pairs(away, r, ["limit"]), k, exclude_self)
+    remote = _nearest_in_blocks(block_pairs(away, r, ["limit"], size=size), k, exclude_self)
     return _top(local.drop("rank").unionByName(remote), k)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.cluster import neighbors as nb
 from millrace.operators.cluster import outliers, quality, sweep
-from millrace.operators.cluster.dbscan import dbscan, dbscan_sweep
+from millrace.operators.cluster.dbscan import dbscan, dbscan_sweep, neighbor_counts
 
 
 def blobs(seed=0, dims=2, noise=12):
@@ -190,3 +190,27 @@ def test_feature_matrix_drops_flat_columns(spark):
     assert kept == ["x"] and len(matrix.first()["features"]) == 1
     projected, _ = sweep.pca(matrix, 1)
     assert projected.count() == 30
+
+
+def test_points_are_not_sent_more_often_in_larger_tables(spark):
+    """Points without clusters meet every block, so blocks must widen with the table."""
+    each = []
+    for n in (40_000, 160_000):
+        placed = spark.range(n).select("id", F.array(F.lit(0.0)).alias("vec"), F.lit(0).cast("bigint").alias("cell"))
+        refs = nb._parts(placed, nb.block_size(n)).first()["parts"]
+        each.append(refs)
+    assert each[1] <= 1.1 * each[0] <= 1.1 * (nb.BLOCKS + 1)
+    assert nb.block_size(10**9) == nb.WIDE and nb.block_size(10) == nb.BLOCK
+
+
+def test_sliced_blocks_find_the_same_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(nb, "SLICE", 150)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(0, 1, (120, 2)), 1)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {(i, int(j), r + 1) for i in range(120) for r, j in enumerate(np.lexsort((np.arange(120), np.where(np.arange(120) == i, np.inf, d[i])))[:4])}
+    got = {(r["id"], r["neighbor"], r["rank"]) for r in nb.knn_join(points, points, 4, exclude_self=True, cells=3).collect()}
+    assert got == want
+    counts = {r["id"]: r["neighbors"] for r in neighbor_counts(points, 0.5, cells=3).collect()}
+    assert counts == {i: int(n) for i, n in enumerate((d <= 0.5).sum(1))}
