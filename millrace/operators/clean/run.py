@@ -115,6 +115,8 @@ def clean(
         log.add("validation", "validation_complete")
         if with_baseline and target:
             result.baseline = baseline(fixed, target, key, trees=20)
+            if result.baseline is not None:
+                result.baseline.scores, result.baseline.importances  # fitted while the frames are held
         if drift is not None:
             fresh = schema.apply_types(nan_to_null(drift), found)
             result.reports["drift"] = detect_drift(typed, fresh, found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
@@ -19,13 +20,32 @@ MIN_ROWS = 20
 MAX_CLASSES = 15
 
 
-@dataclass(frozen=True)
+@dataclass
 class Baseline:
+    """The chosen model; fold scores and importances are fitted when they are first asked for."""
+
     task: str
     model: str
     metric: str
-    scores: DataFrame
-    importances: DataFrame
+    df: DataFrame
+    target: str
+    key: Sequence[str]
+    estimator: object
+    folds: int
+    seed: int
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """Scores of all folds; their trees are small jobs, so the folds run side by side."""
+        return run_cv(
+            self.df, self.target, self.key, task=self.task, candidates={self.model: self.estimator}, folds=self.folds, parallelism=self.folds, seed=self.seed
+        )
+
+    @cached_property
+    def importances(self) -> DataFrame:
+        model, _ = train_final(self.df, self.target, self.key, self.estimator, self.task, self.seed)
+        _, numeric, categorical = model_frame(self.df.drop(*[k for k in self.key if k != self.target]), self.target, self.task)
+        return feature_importance(self.df.sparkSession, model, [*numeric, *categorical])
 
 
 def baseline_task(df: DataFrame, target: str) -> str:
@@ -47,10 +67,4 @@ def baseline(df: DataFrame, target: str, key: Sequence[str], trees: int = 100, f
         name, estimator, metric = "Gradient Boosting", mc.GBTClassifier(maxIter=trees, maxDepth=4, seed=seed), "roc_auc"
     else:
         name, estimator, metric = "Random Forest", mc.RandomForestClassifier(numTrees=trees, maxDepth=5, seed=seed), "f1_macro"
-    scores = run_cv(df, target, key, task=task, candidates={name: estimator}, folds=folds, parallelism=1, seed=seed)
-    model, _ = train_final(df, target, key, estimator, task, seed)
-    _, numeric, categorical = model_frame(df.drop(*[k for k in key if k != target]), target, task)
-    return Baseline(task, name, metric, scores, feature_importance(df.sparkSession, model, [*numeric, *categorical]))
-
-
-
+    return Baseline(task, name, metric, df, target, key, estimator, folds, seed)

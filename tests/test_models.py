@@ -106,3 +106,16 @@ def test_knn_class_ties_go_to_the_smaller_label(spark):
     test = pack_columns(spark.createDataFrame([(9, 1.5)], "id bigint, x double"), "id", ["x"])
     assert knn_predict(train, test, 4).first()["prediction"] == 5.0
     assert knn_predict(train, test, 2, regression=True).first()["prediction"] == 5.0
+
+
+def test_baseline_fits_only_what_is_asked_for(loans, monkeypatch):
+    """Scores need no final fit and importances no folds."""
+    from millrace.operators.ml import baseline as module
+
+    def never(*args, **options):
+        raise AssertionError("fitted without need")
+
+    for unused, asked, n in (("run_cv", "importances", 3), ("train_final", "scores", 2)):
+        with monkeypatch.context() as patch:
+            patch.setattr(module, unused, never)
+            assert getattr(baseline(loans, "loan_approved", ["loan_id"], trees=2, folds=2), asked).count() == n
