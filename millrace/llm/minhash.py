@@ -397,9 +397,9 @@ def near_dedup(docs: DataFrame, like: Likeness = Likeness(), miss: float = MISS)
     """
     found = near_duplicates(docs, like, miss).where("n_shingles > 0")
     best = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "print")).alias("best"))
-    best = best.select(F.col("best.id").alias("best_id"), F.col("best.print").alias("best_print"))
-    rows = packed(docs, id=F.col("doc_id").cast("long"), print=F.xxhash64("text"), text=F.col("text"))
+    best = best.select(F.struct("best.id", "best.print").alias("me"))
+    # One key for both steps, so that texts are dealt out once; in a struct a missing id equals a missing id.
+    rows = packed(docs, me=F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print")), text=F.col("text"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    chosen = (F.col("print") == F.col("best_print")) & F.col("id").eqNullSafe(F.col("best_id"))
-    one = rows.where(~blank).join(best, chosen, "left_semi").dropDuplicates(["id", "print"])
+    one = rows.where(~blank).join(best, "me", "left_semi").dropDuplicates(["me"])
     return unpacked(one.select("row").union(rows.where(blank).select("row")), docs)

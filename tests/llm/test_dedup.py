@@ -102,3 +102,15 @@ def test_empty_tables(spark):
     docs = cases.frame(spark, [])
     for report in (minhash.duplicate_report, minhash.near_dedup, line_dedup.line_report, line_dedup.line_dedup, substring.substring_report):
         assert report(docs).count() == 0
+
+
+def test_near_dedup_deals_texts_out_once_at_the_end(spark):
+    """The rows that stay and their repeats are told by one key, so that no second exchange of texts follows."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = minhash.near_dedup(cases.frame(spark, ROWS))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(id#" in x and "print#" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -116,3 +116,18 @@ def test_size_estimates_do_not_compound_over_rounds(spark, capsys):
     powers = [int(p) for p in re.findall(r"sizeInBytes=[0-9.]+E\+(\d+)", capsys.readouterr().out)]
     assert max(powers, default=0) < 10_000
     assert got.where("component <> 0").count() == 0
+
+
+def test_rounds_of_components_leave_no_empty_files(spark):
+    """Small graphs run in about a task a core, whatever the number of shuffle partitions."""
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(400).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("src % 20 <> 19")
+        found = connected_components(spark.range(400), edges)
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert found.where("component <> id - id % 20").count() == 0
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
