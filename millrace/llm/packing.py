@@ -125,24 +125,44 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget_encoder() -> None:
+    """Workers live on after the stage that encodes; what the encoder remembered goes back to the system."""
+    encoder_of.cache_clear()
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 class Index:
-    """BM25 index of one shard's tails: postings by term, weights ready to add."""
+    """BM25 index of one shard's tails: postings by term, weights ready to add. Places are 32 bits wide: a shard has a few million postings."""
 
     def __init__(self, tails: list[np.ndarray]) -> None:
         n = len(tails)
         size = np.fromiter(map(len, tails), np.int64, n)
-        flat = np.concatenate(tails).astype(np.int64) if n else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(n), size)
-        term = (flat[:-1] << 32) | flat[1:]
+        flat = np.concatenate(tails) if n else np.zeros(0, np.uint32)
+        owner = np.repeat(np.arange(n, dtype=np.int32), size)
         inside = owner[:-1] == owner[1:]
-        _, term = np.unique(term[inside], return_inverse=True)
-        posting, times = np.unique(term * n + owner[:-1][inside], return_counts=True)
-        term, self.docs = posting // max(n, 1), posting % max(n, 1)
-        self.edge = np.searchsorted(term, np.arange(int(term[-1]) + 2 if len(term) else 1))
-        self.held = np.diff(self.edge)
+        pair = flat[:-1].astype(np.int64)
+        pair <<= 32
+        pair |= flat[1:]
+        owner, pair = owner[:-1][inside], pair[inside]
+        del flat, inside
+        _, posting = np.unique(pair, return_inverse=True)
+        del pair
+        posting *= n
+        posting += owner
+        del owner
+        posting, times = np.unique(posting, return_counts=True)
+        times = times.astype(np.int32)
+        term, self.docs = (posting // max(n, 1)).astype(np.int32), (posting % max(n, 1)).astype(np.int32)
+        del posting
+        self.edge = np.searchsorted(term, np.arange(int(term[-1]) + 2 if len(term) else 1, dtype=np.int32))
+        self.held = np.diff(self.edge).astype(np.int32)
         idf = np.log1p((n - self.held + 0.5) / (self.held + 0.5))
         spread = K1 * (1 - B + B * size / max(size.mean() if n else 1, 1))
-        self.weight = idf[term] * times * (K1 + 1) / (times + spread[self.docs])
+        self.weight = idf[term] * times
+        self.weight *= K1 + 1
+        self.weight /= times + spread[self.docs]
+        del times
         by = np.argsort(self.docs, kind="stable")
         self.terms, self.own = term[by], np.searchsorted(self.docs[by], np.arange(n + 1))
 
@@ -294,6 +314,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
         return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype(np.uint32)
 
     def join(table: pa.Table) -> pa.Table:
+        forget_encoder()
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "print", "nth", "start")])
         base = table["shard"][0].as_py() << 32
         column = {c: table[c].to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "tokens")}

@@ -1,6 +1,7 @@
 """Mixing, packing, vectors and the pipeline."""
 
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -231,3 +232,22 @@ def test_a_seed_asks_all_its_terms():
     strangers = [np.array([next(fresh) for _ in range(60)], np.uint32) for _ in range(3)]
     window = packing.fill([seed, *rare, *common, *strangers], len(seed) + 2 * len(rare) + 4 * len(common))[0]
     assert {i for i, _, _ in window} == set(range(1 + len(rare) + len(common)))
+
+
+def test_an_index_holds_few_bytes_a_token():
+    rng = np.random.default_rng(5)
+    tails = [rng.integers(0, 400, 1000).astype(np.uint32) for _ in range(100)]
+    tracemalloc.start()
+    try:
+        index = packing.Index(tails)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(index.docs) and held < 26 * 100_000 and peak < 75 * 100_000
+
+
+def test_workers_forget_the_encoder():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = packing.encoder_of(path)
+    packing.forget_encoder()
+    assert packing.encoder_of.cache_info().currsize == 0 and packing.encoder_of(path) is not first
