@@ -1,6 +1,7 @@
 """Keys, dependencies and inclusions over all columns, of any width.
 
-Column sets form a lattice that is searched level by level. A bounded sample of rows is held against each candidate first: two
+Column sets form a lattice that is searched level by level. A bounded sample of rows is held against each candidate first, of which
+ALIKE rows a column share values of that column, so that they agree on more than one: two
 rows of it can only refute, never accept, so the result does not depend on which rows were drawn. What the sample leaves open is
 counted over all rows: each row gives a 128-bit fingerprint for each open set, and distinct fingerprints are added up,
 CHUNK sets a job. Supersets of keys, of determinants and of redundant sets are never looked at.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 from millrace.plans.frames import col, data_type, is_orderable, small_frame
 
 SAMPLE = 1_000
+#: Rows drawn for each column among those with its smallest hashes: in a large table rows drawn at large hardly ever agree.
+ALIKE = 4_000
 CHUNK = 64
 #: Texts longer than this meet by their digest.
 LONG_TEXT = 64
@@ -51,9 +55,13 @@ class _Sample:
     """Value codes of a few rows, to refute keys and dependencies."""
 
     def __init__(self, df: DataFrame, cols: Sequence[str], n: int) -> None:
-        rows = df.select(*[_print(0, c).alias(f"c{i}") for i, c in enumerate(cols)]).limit(n).collect()
+        coded = df.select(*[_print(0, c).alias(f"c{i}") for i, c in enumerate(cols)])
+        alike = [coded.orderBy(f"c{i}").limit(ALIKE) for i in range(len(cols))] if n else []
+        rows = reduce(DataFrame.union, alike, coded.limit(n)).collect()  # at most SAMPLE rows and ALIKE a column
         self.place = {c: i for i, c in enumerate(cols)}
         codes = np.array([list(r) for r in rows], dtype=np.int64).reshape(len(rows), len(cols))
+        # one row may be drawn for several columns; only rows that differ somewhere are surely two
+        codes = np.unique(codes, axis=0) if codes.size else codes
         self.codes = np.column_stack([np.unique(codes[:, i], return_inverse=True)[1] for i in range(len(cols))]) if len(cols) else codes
 
     def open(self, group: tuple[str, ...], others: Sequence[str]) -> tuple[bool, list[str]]:

@@ -2,6 +2,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import lattice as la
 
@@ -77,3 +78,17 @@ def test_inclusions_with_nulls_long_texts_and_families(spark):
     assert {r.child for r in la.inclusions(tables).collect()} == {"left.i", "left.f", "right.f"}
     with pytest.raises(ValueError):
         la.inclusions(tables, 0.0)
+
+
+def test_rows_that_agree_are_drawn(spark, monkeypatch):
+    """Of 20 000 rows with few repeats, only single columns and true keys are counted over all rows."""
+    df = spark.range(20_000, numPartitions=4).select((F.col("id") % 5_000).alias("a"), *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(n)).alias(c) for i, (c, n) in enumerate([("b", 4_000), ("c", 30), ("d", 2)])])
+    asked, count = [], la.set_counts
+    monkeypatch.setattr(la, "set_counts", lambda frame, sets: asked.extend(sets) or count(frame, sets))
+    found = la.search(df, 2)
+    assert not found.deps and set(asked) - {("a", "b")} == {("a",), ("b",), ("c",), ("d",)}
+
+
+def test_a_key_of_all_columns_is_found_though_rows_are_drawn_twice(spark):
+    df = spark.createDataFrame([(i % 7, i // 7) for i in range(49)], "a int, b int")
+    assert la.search(df, 2).keys == [("a", "b")]
