@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -98,6 +100,68 @@ def calinski_harabasz(df: DataFrame, vector: str = "features", label: str = "pre
     )
 
 
+def few_clusters_quality(df: DataFrame, vector: str = "features", label: str = "prediction") -> tuple[float, float, float | None]:
+    """(silhouette, Davies-Bouldin, Calinski-Harabasz) of a labelling without noise whose clusters are few: two passes over the rows.
+
+    Means and variances of the clusters are known to all tasks, and a point's mean squared distance to a cluster is that to its mean plus the
+    cluster's variance.
+    """
+    rows = df.select(col(vector).alias("v"), col(label).cast("bigint").alias("cluster"))
+    found = rows.groupBy("cluster").agg(Summarizer.mean(F.col("v")).alias("m"), Summarizer.variance(F.col("v")).alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    if len(found) < 2:
+        raise ValueError("quality needs two clusters")
+    names = np.array([r["cluster"] for r in found])
+    size, middle = np.array([r["n"] for r in found], dtype=float), np.stack([r["m"].toArray() for r in found])
+    squares = np.array([r["s"].toArray().sum() * (r["n"] - 1) for r in found])
+    order = names.argsort()
+    names, size, middle, squares = names[order], size[order], middle[order], squares[order]
+
+    def sums(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.searchsorted(names, batch.column(1).to_numpy())
+            x = batch.column(0).flatten().to_numpy().reshape(len(own), -1)
+            at = np.arange(len(own))
+            d = ((x[:, None, :] - middle[None]) ** 2).sum(2) if x.shape[1] <= 8 else np.stack([((x - m) ** 2).sum(1) for m in middle], 1)
+            mean = d + (squares / size)[None]
+            inside = mean[at, own] * size[own] / np.maximum(size[own] - 1, 1)
+            mean[at, own] = np.inf
+            outside = mean.min(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                value = np.where(inside < outside, 1 - inside / outside, np.where(inside > outside, outside / inside - 1, 0.0))
+            value[size[own] == 1] = 0.0
+            spread = np.bincount(own, np.sqrt(d[at, own]), len(names))
+            yield pa.RecordBatch.from_pydict({"cluster": names, "value": np.bincount(own, value, len(names)), "spread": spread})
+
+    totals = rows.select(vector_to_array("v").alias("v"), "cluster").mapInArrow(sums, "cluster bigint, value double, spread double")
+    by = {r["cluster"]: r for r in totals.groupBy("cluster").agg(F.sum("value").alias("value"), F.sum("spread").alias("spread")).collect()}
+    n, k = size.sum(), len(names)
+    spread = np.array([by[c]["spread"] for c in names.tolist()]) / size
+    apart = np.sqrt(((middle[:, None] - middle[None]) ** 2).sum(2))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(apart > 0, (spread[:, None] + spread[None]) / apart, 0.0)
+    between = (size * ((middle - (size[:, None] * middle).sum(0) / n) ** 2).sum(1)).sum()
+    within = squares.sum()
+    ch = float(between / (k - 1) / (within / (n - k))) if n > k and within > 0 else None
+    return float(sum(r["value"] for r in by.values()) / n), float(ratio.max(1).mean()), ch
+
+
+def mean_ari(df: DataFrame, labels: Sequence[str]) -> float:
+    """Mean adjusted Rand index over all pairs of label columns, their contingency counts from one pass."""
+    pairs = list(combinations(labels, 2))
+    records = [F.struct(F.lit(i).alias("pair"), col(a).alias("a"), col(b).alias("b")) for i, (a, b) in enumerate(pairs)]
+    cells = df.select(F.inline(F.array(*records))).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    values, choose = [], lambda n: (n * (n - 1) / 2.0).sum()
+    for _, c in cells.groupby("pair"):
+        both, total = choose(c["n"]), c["n"].sum()
+        one, other = choose(c.groupby("a")["n"].sum()), choose(c.groupby("b")["n"].sum())
+        expected = one * other / max(total * (total - 1) / 2.0, 1.0)
+        most = (one + other) / 2.0
+        values.append((both - expected) / (most - expected) if most != expected else 1.0)
+    return float(sum(values) / len(pairs))
+
+
 def cluster_score(sil: float | Column, db: float | Column):
     return SILHOUETTE_WEIGHT * sil - DB_WEIGHT * (db / DB_SCALE)
 

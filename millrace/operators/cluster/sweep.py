@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
@@ -79,32 +78,40 @@ def stability(df: DataFrame, runs: Sequence) -> float:
     """Mean adjusted Rand index between k-means runs of different seeds."""
     for model in runs:
         df = model.transform(df)
-    pairs = list(combinations([m.getPredictionCol() for m in runs], 2))
-    return sum(quality.ari(df, a, b).first()[0] for a, b in pairs) / len(pairs)
+    return quality.mean_ari(df, [m.getPredictionCol() for m in runs])
 
 
-def k_sweep(df: DataFrame, k_min: int = 2, k_max: int = 10, algorithms: Sequence[str] | None = None) -> DataFrame:
-    """Every algorithm and k, best score first. ``df`` holds ``features`` and should be cached."""
+#: Fits of a sweep that run side by side; their iterations are small jobs.
+SIDE_BY_SIDE = 4
+
+
+def _sweep(df: DataFrame, k_min: int, k_max: int, algorithms: Sequence[str] | None) -> tuple[list[tuple], dict]:
+    """Rows of SWEEP_SCHEMA and the models by (algorithm, k)."""
     if not 2 <= k_min <= k_max < df.count():
         raise ValueError("k must lie between 2 and the number of rows less one")
-    rows = []
-    for name in algorithms or ALGORITHMS:
-        for k in range(k_min, k_max + 1):
-            try:
-                runs = kmeans_runs(df, k) if name == "KMeans" else []
-                model = _best(runs) if runs else ALGORITHMS[name](df, k)
-                labelled = model.transform(df).select("features", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
-                try:
-                    sil = quality.silhouette(labelled)
-                    db = quality.davies_bouldin(labelled).first()[0]
-                    ch = quality.calinski_harabasz(labelled).first()[0]
-                finally:
-                    labelled.unpersist()
-                steady = stability(df, runs) if runs else None
-                rows.append((name, k, sil, db, ch, steady, quality.cluster_score(sil, db), None))
-            except Exception as error:  # noqa: BLE001 - one bad fit must not end the sweep
-                rows.append((name, k, None, None, None, None, None, str(error)[:500]))
-    return small_frame(df.sparkSession, rows, SWEEP_SCHEMA).orderBy(F.desc_nulls_last("score"), "algorithm", "k")
+    models = {}
+
+    def attempt(job):
+        name, k = job
+        try:
+            runs = kmeans_runs(df, k) if name == "KMeans" else []
+            model = models[job] = _best(runs) if runs else ALGORITHMS[name](df, k)
+            sil, db, ch = quality.few_clusters_quality(model.transform(df))
+            return (name, k, sil, db, ch, stability(df, runs) if runs else None, quality.cluster_score(sil, db), None)
+        except Exception as error:  # noqa: BLE001 - one bad fit must not end the sweep
+            return (name, k, None, None, None, None, None, str(error)[:500])
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return list(pool.map(attempt, [(name, k) for name in algorithms or ALGORITHMS for k in range(k_min, k_max + 1)])), models
+
+
+def _sweep_frame(spark, rows: list[tuple]) -> DataFrame:
+    return small_frame(spark, rows, SWEEP_SCHEMA).orderBy(F.desc_nulls_last("score"), "algorithm", "k")
+
+
+def k_sweep(df: DataFrame, k_min: int = 2, k_max: int = 10, algorithms: Sequence[str] | None = None) -> DataFrame:
+    """Every algorithm and k, best score first. ``df`` holds ``features`` and should be cached."""
+    return _sweep_frame(df.sparkSession, _sweep(df, k_min, k_max, algorithms)[0])
 
 
 def sweep_curves(sweep: DataFrame) -> DataFrame:
@@ -140,14 +147,19 @@ def run_unsupervised(
 ) -> UnsupervisedResult:
     """Prepare, project, sweep, pick the best clustering, profile, flag anomalies, annotate."""
     matrix, _ = prepare_unsupervised(df, key)
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if matrix.rdd.getNumPartitions() < tasks:
+        # narrow tables come in few partitions; the order inside one decides the starts of k-means
+        matrix = matrix.repartition(tasks, key).sortWithinPartitions(key)
     matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         width = len(matrix.first()["features"])
         _, explained = pca(matrix, min(2, width))
-        sweep = k_sweep(matrix, k_min, k_max, algorithms)
+        rows, models = _sweep(matrix, k_min, k_max, algorithms)
+        sweep = _sweep_frame(df.sparkSession, rows)
         top = sweep.where("score IS NOT NULL").first()
         name, k, score = top["algorithm"], top["k"], top["score"]
-        labels = ALGORITHMS[name](matrix, k).transform(matrix).select(col(key).alias("id"), F.col("prediction").cast("bigint").alias("cluster"))
+        labels = models[(name, k)].transform(matrix).select(col(key).alias("id"), F.col("prediction").cast("bigint").alias("cluster"))
         points = matrix.select(col(key).cast("bigint").alias("id"), vector_to_array("features").alias("vec"))
         if density:
             found = dbscan_sweep(points)
