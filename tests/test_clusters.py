@@ -214,3 +214,51 @@ def test_sliced_blocks_find_the_same_neighbours(spark, monkeypatch):
     assert got == want
     counts = {r["id"]: r["neighbors"] for r in neighbor_counts(points, 0.5, cells=3).collect()}
     assert counts == {i: int(n) for i, n in enumerate((d <= 0.5).sum(1))}
+
+
+def test_points_of_few_coordinates_are_compared_with_few(spark):
+    """A point of few coordinates meets small cells near it, not one that holds all the points."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 1, (12_000, 3))
+    points = nb.pack_columns(spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(len(x)))), "id", list("abc"))
+    shape = nb.build_cells(points)
+    sizes = shape.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    asked = nb.route(shape.placed, shape, F.lit(0.02)).groupBy("cell").agg(F.count(F.lit(1)).alias("q")).join(sizes, "cell")
+    assert asked.agg(F.sum(F.col("q") * F.col("n"))).first()[0] < 3_000 * len(x)
+
+
+@pytest.mark.parametrize("flat", [1, 256])
+def test_equal_points_meet_one_cell(spark, monkeypatch, flat):
+    """Copies that lie at distance 0 are looked for in the own cell only, however far the cells reach."""
+    monkeypatch.setattr(nb, "FLAT", flat)
+    x = np.repeat(np.random.default_rng(4).uniform(0, 1, (200, 3)), 10, axis=0)
+    points = nb.pack_columns(spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(len(x)))), "id", list("abc"))
+    shape = nb.build_cells(points, 20)
+    assert nb.route(shape.placed, shape, F.lit(0.0)).count() < 1.02 * len(x)
+
+
+def test_sweep_scores_equal_the_single_measures(spark):
+    x = blobs(5, 2, 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>").select("id", array_to_vector("v").alias("features")).persist()
+    rows = {(r["algorithm"], r["k"]): r for r in sweep.k_sweep(df, 2, 3, ["KMeans", "Bisecting KMeans"]).collect()}
+    for (name, k), row in rows.items():
+        labelled = sweep.ALGORITHMS[name](df, k).transform(df)
+        assert row["silhouette"] == pytest.approx(quality.silhouette(labelled), rel=1e-9)
+        assert row["davies_bouldin"] == pytest.approx(quality.davies_bouldin(labelled).first()[0], rel=1e-9)
+        assert row["calinski_harabasz"] == pytest.approx(quality.calinski_harabasz(labelled).first()[0], rel=1e-9)
+    both = df.withColumn("a", F.col("id") % 3).withColumn("b", F.col("id") % 5 % 3).withColumn("c", F.col("id") % 2)
+    want = [quality.ari(both, *pair).first()[0] for pair in ("ab", "ac", "bc")]
+    assert quality.mean_ari(both, ["a", "b", "c"]) == pytest.approx(sum(want) / 3, rel=1e-9)
+
+
+def test_sweep_starts_few_jobs(spark):
+    """The measures of a clustering take a few passes, not dozens of small jobs."""
+    x = blobs(6, 2, 2)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id bigint, v array<double>, prediction int").select("prediction", array_to_vector("v").alias("features")).persist()
+    df.count()
+    spark.sparkContext.setJobGroup("measures", "measures")
+    try:
+        quality.few_clusters_quality(df)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("measures")) <= 5
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
