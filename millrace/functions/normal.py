@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +44,13 @@ def normal_quantile(p: Column) -> Column:
     far = F.when(r <= 5.0, ratio(MIDDLE, r - 1.6)).otherwise(ratio(TAIL, r - 5.0))
     z = F.when(F.abs(q) <= 0.425, q * ratio(CENTRAL, near)).otherwise(far * F.signum(q))
     return F.when((p > 0) & (p < 1), z)
+
+
+def normal_quantiles(p: np.ndarray) -> np.ndarray:
+    """The same for an array within (0, 1)."""
+    q = p - 0.5
+    near = np.maximum(0.180625 - q * q, 0.0)
+    r = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+    ratio = lambda table, x: polynomial(table[0], x) / polynomial(table[1], x)
+    far = np.where(r <= 5.0, ratio(MIDDLE, r - 1.6), ratio(TAIL, r - 5.0))
+    return np.where(np.abs(q) <= 0.425, q * ratio(CENTRAL, near), far * np.sign(q))

@@ -1,4 +1,4 @@
-"""Shapiro-Wilk test over all rows: order statistics weighted where they lie, one aggregate at the end."""
+"""Shapiro-Wilk test over all rows: runs of equal values weighted where they lie, one aggregate at the end."""
 
 from __future__ import annotations
 
@@ -6,14 +6,19 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.normal import normal_quantile, polynomial
+from millrace.functions.normal import normal_quantiles, polynomial
 from millrace.plans.frames import col, small_frame, stats_row
 from millrace.plans.prefix import running_totals
 
-RUN = 100_000
+#: Places of one value that are weighted one by one; longer runs have a closed form.
+RUN = 16
+#: Outermost places on each side, always weighted one by one: the closed form is a series that needs smooth weights.
+EDGE = 2_000
 SCHEMA = "column string, n bigint, statistic double, p_value double, is_normal boolean"
 
 # Royston's fixed values: corrections of the two outermost weights, then mean and deviation of the transformed statistic.
@@ -26,25 +31,73 @@ LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 LARGE_DEVIATION = (-0.4803, -0.082676, 0.0030302)
 
 
+def run_weights(low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum of the weights of the places ``low`` to ``high`` of ``n``, for each run.
+
+    Short runs and the EDGE outermost places are weighted one by one. In between the sum is Euler and Maclaurin's: the integral of the
+    quantile is minus the density, the next terms are its first and third derivative at the borders.
+    """
+    size = n + 0.25
+    left, right = np.maximum(low, EDGE + 1), np.minimum(high, n - EDGE)
+    closed = (high - low >= RUN) & (left <= right)
+
+    def upto(place: np.ndarray) -> np.ndarray:
+        z = normal_quantiles((place - 0.375) / size[closed])
+        density = np.exp(-z * z / 2.0) / math.sqrt(2 * math.pi)
+        step = 1.0 / (density * size[closed])
+        return -size[closed] * density - step / 24.0 + 7.0 / 5760.0 * (2 * z * z + 1) * step**3
+
+    out = np.zeros(len(low))
+    out[closed] = upto(right[closed] + 0.5) - upto(left[closed] - 0.5)
+    run = np.arange(len(low))
+    owner = np.concatenate([run[~closed], run[closed], run[closed]])
+    first = np.concatenate([low[~closed], low[closed], right[closed] + 1])
+    last = np.concatenate([high[~closed], left[closed] - 1, high[closed]])
+    held = np.maximum(last - first + 1, 0)
+    place = np.repeat(first - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))
+    owner = np.repeat(owner, held)
+    return out + np.bincount(owner, normal_quantiles((place - 0.375) / size[owner]), len(low))
+
+
+def _squares(n: int) -> float:
+    """Sum of the squared weights of all places: the outer ones in turn, those between by Euler and Maclaurin."""
+    normal, size = NormalDist(), n + 0.25
+    edge = min(EDGE, n // 2)
+    outer = 2 * math.fsum(normal.inv_cdf((i - 0.375) / size) ** 2 for i in range(1, edge + 1))
+    if n - 2 * edge <= 2 * EDGE:
+        return outer + math.fsum(normal.inv_cdf((i - 0.375) / size) ** 2 for i in range(edge + 1, n - edge + 1))
+
+    def upto(place: float) -> float:
+        p = (place - 0.375) / size
+        z = normal.inv_cdf(p)
+        density = normal.pdf(z)
+        step = 1.0 / (density * size)
+        # first and third derivative of z^2 by the place, where z changes by step and step by z * step^2
+        return size * (p - z * density) - 2 * z * step / 24.0 + 7.0 / 5760.0 * (8 * z + 4 * z * z * z) * step**3
+
+    return outer + upto(n - edge + 0.5) - upto(edge + 0.5)
+
+
 def _weighted_sum(df: DataFrame, column: str, centre: float) -> dict:
     """Sums over the order statistics, with m the normal quantile of a place: m * x, m * m, the two least and greatest x.
 
-    Values are counted first, so a value that a third of the rows holds is one row; its run of places is cut into
-    pieces of ``RUN``, each weighted in a task of its own.
+    Values are counted first, so a value that a third of the rows holds is one row. Its run of places is weighted place by place where
+    it is short or among the outermost EDGE places, else by the sum's closed form: the work grows with the distinct values.
     """
     values = df.select((col(column).cast("double") - F.lit(centre)).alias("x"), F.lit(1).cast("long").alias("n")).where("x IS NOT NULL AND NOT isnan(x)")
-    runs = running_totals(values, "x", ["n"]).select("x", "n", (F.col("cum_n") - F.col("n") + 1).alias("low"), F.col("cum_n").alias("high"), F.col("all_n").alias("all"))
-    cut = F.explode(F.sequence("low", "high", F.lit(RUN)))
-    pieces = runs.where(F.col("n") > RUN).withColumn("low", cut).withColumn("high", F.least("high", F.col("low") + F.lit(RUN - 1)))
-    whole = runs.where(F.col("n") <= RUN).unionByName(pieces.repartition("low"))
-    place = F.explode(F.sequence("low", "high")).alias("i")
-    m = normal_quantile((F.col("i") - 0.375) / (F.col("all") + 0.25))
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col("x")))
-    return stats_row(
-        whole.select("x", "all", place).select("x", "i", "all", m.alias("m")),
-        {"mx": F.sum(F.col("m") * F.col("x")), "mm": F.sum(F.col("m") * F.col("m")),
+    runs = running_totals(values, "x", ["n"]).select("x", (F.col("cum_n") - F.col("n") + 1).alias("low"), F.col("cum_n").alias("high"), F.col("all_n").alias("all"))
+
+    @F.pandas_udf("double")
+    def weight(low: pd.Series, high: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(run_weights(low.to_numpy(), high.to_numpy(), n.to_numpy()))
+
+    at = lambda i: F.max(F.when((F.col("low") <= i) & (i <= F.col("high")), F.col("x")))
+    found = stats_row(
+        runs.withColumn("m", weight("low", "high", "all")),
+        {"mx": F.sum(F.col("m") * F.col("x")), "n": F.max("all"),
          "first": at(F.lit(1)), "second": at(F.lit(2)), "last": at(F.col("all")), "last_but_one": at(F.col("all") - 1)},
     )
+    return {**found, "mm": _squares(found["n"])}
 
 
 def w_statistic(n: int, mx: float, mm: float, outer: float, second: float, squares: float) -> float:

@@ -79,3 +79,16 @@ def test_gaps_constants_and_empty(spark):
     assert all(got[c].statistic is None and not got[c].is_normal for c in ("flat", "few", "wild"))
     assert got["x"].statistic == pytest.approx(plain([1, 2, 3, 4, 9]))
     assert shapiro_wilk(spark.createDataFrame([], "v double"), ["v"]).first().n == 0
+
+
+def test_long_runs_are_summed_in_closed_form(spark):
+    """One value on hundreds of thousands of rows costs two quantiles, not one a row, and W stays the same."""
+    n = 60_000
+    df = spark.range(n).select(F.floor(F.col("id") / 6_000).cast("double").alias("v"))
+    x = [math.floor(i / 6_000) for i in range(n)]
+    assert shapiro_wilk(df, ["v"]).first().statistic == pytest.approx(plain(x), rel=1e-11)
+    assert normality._squares(n) == pytest.approx(math.fsum(NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) ** 2 for i in range(1, n + 1)), rel=1e-13)
+    half = 4_000_000_000
+    low, high = np.array([1, half + 1]), np.array([half, 2 * half])
+    weights = normality.run_weights(low, high, np.array([2 * half] * 2))
+    assert weights.tolist() == pytest.approx([-2 * half / math.sqrt(2 * math.pi), 2 * half / math.sqrt(2 * math.pi)], rel=1e-9)
