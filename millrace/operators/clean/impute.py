@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,6 @@ from millrace.operators.clean.log import TransformationLog
 from millrace.operators.clean.schema import DATETIME, NUMERIC, Schema
 from millrace.operators.profile import top_values
 from millrace.plans.frames import col, is_numeric, is_temporal, one_row, stats_row
-from millrace.plans.lineage import cut_lineage
 from millrace.plans.prefix import range_boundaries, with_bucket
 from millrace.plans.quantiles import quantiles
 
@@ -265,47 +266,81 @@ def impute_regression(df: DataFrame, cols: Sequence[str], features: Sequence[str
     return df.select(*out)
 
 
+def _replay(batch: pa.RecordBatch, means: Sequence[float], steps: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(values less their means, missing) of a batch of double columns after the fitted rounds."""
+    x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(float) if batch.num_rows else np.zeros((0, len(means)))
+    gone = np.stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns], 1) if batch.num_rows else x.astype(bool)
+    x = np.where(gone, 0.0, x - np.asarray(means))
+    open_rows = gone.any(1)
+    part, holes = x[open_rows], gone[open_rows]
+    for base, weights in steps:
+        part = np.where(holes, base + part @ weights, part)
+    x[open_rows] = part
+    return x, gone
+
+
 def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 5, nearest: int = 5) -> DataFrame:
     """Round-robin linear imputation on up to ``nearest`` correlated columns, over all rows.
 
-    Each round is one aggregate pass (the cross-product sums of all columns), a k x k solve on
-    the driver and a projection; lineage is cut between rounds.
+    Each round is one pass that sums the cross products of all columns, about their means, and a k x k solve on the driver. A row's fills follow
+    from its own values and the rounds fitted so far, so nothing is stored between rounds: each pass replays them.
     """
     cols = list(cols)
+    width = len(cols)
     means = stats_row(df, {c: F.avg(col(c).cast("double")) for c in cols})
-    means = {c: means[c] if means[c] is not None else 0.0 for c in cols}
-    state = df.select(
-        "*", *[F.coalesce(col(c).cast("double"), F.lit(means[c])).alias(f"_f_{c}") for c in cols]
-    )
+    means = [means[c] if means[c] is not None else 0.0 for c in cols]
+    numbers = df.select(*[col(c).cast("double").alias(c) for c in cols])
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def sums(batches):
+        total = np.zeros((width, width + 1, width + 1))
+        for batch in batches:
+            x, gone = _replay(batch, means, steps)
+            x = np.concatenate([np.ones((len(x), 1)), x], 1)
+            everywhere = x.T @ x
+            for i in range(width):
+                # rows where the column itself was observed
+                missed = x[gone[:, i]]
+                total[i] += everywhere - missed.T @ missed
+        yield pa.RecordBatch.from_pydict({"place": np.arange(total.size), "total": total.ravel()})
+
     for _ in range(rounds):
-        step = {}
-        for c in cols:
-            # sums over the rows where the column itself was observed
-            seen = col(c).isNotNull()
-            for i, a in enumerate(cols):
-                step[(c, a)] = F.avg(F.when(seen, col(f"_f_{a}")))
-                for b in cols[i:]:
-                    step[(c, a, b)] = F.covar_pop(F.when(seen, col(f"_f_{a}")), F.when(seen, col(f"_f_{b}")))
-        sums = stats_row(state, step)
-        projected = []
-        for c in cols:
-            cov = lambda a, b: sums.get((c, a, b), sums.get((c, b, a))) or 0.0  # noqa: E731, B023
-            var = cov(c, c)
-            ranked = sorted(
-                (o for o in cols if o != c and cov(o, o) > 0 and var > 0),
-                key=lambda o: -abs(cov(c, o)) / (cov(o, o) * var) ** 0.5,  # noqa: B023
-            )[:nearest]
+        found = numbers.mapInArrow(sums, "place bigint, total double").groupBy("place").agg(F.sum("total").alias("total")).collect()
+        moments = np.zeros(width * (width + 1) ** 2)
+        for r in found:
+            moments[r["place"]] = r["total"]
+        moments = moments.reshape(width, width + 1, width + 1)
+        base, weights = np.zeros(width), np.eye(width)
+        for i, m in enumerate(moments):
+            if m[0, 0] < 1:
+                continue
+            mean = m[0, 1:] / m[0, 0]
+            cov = m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
+            var = cov.diagonal()
+            ranked = sorted((o for o in range(width) if o != i and var[o] > 0 and var[i] > 0), key=lambda o: -abs(cov[i, o]) / (var[o] * var[i]) ** 0.5)[:nearest]  # noqa: B023
             if not ranked:
-                projected.append(col(f"_f_{c}"))
                 continue
-            gram = np.array([[cov(a, b) for b in ranked] for a in ranked])
-            beta = np.linalg.lstsq(gram, np.array([cov(a, c) for a in ranked]), rcond=None)[0]
-            guess = F.lit(float(sums[(c, c)] - sum(b * sums[(c, o)] for b, o in zip(beta, ranked))))
-            for b, o in zip(beta, ranked):
-                guess = guess + F.lit(float(b)) * col(f"_f_{o}")
-            projected.append(F.when(col(c).isNotNull(), col(f"_f_{c}")).otherwise(guess).alias(f"_f_{c}"))
-        state = cut_lineage(state.select(*[col(c) for c in df.columns], *projected))
-    return state.select(*[col(f"_f_{c}").alias(c) if c in cols else col(c) for c in df.columns])
+            beta = np.linalg.lstsq(cov[np.ix_(ranked, ranked)], cov[ranked, i], rcond=None)[0]
+            weights[:, i] = 0.0
+            weights[ranked, i] = beta
+            base[i] = mean[i] - beta @ mean[ranked]
+        steps = [*steps, (base, weights)]
+
+    place = {c: i for i, c in enumerate(cols)}
+    out = df.select(*[col(c).cast("double").alias(c) if c in place else col(c) for c in df.columns])
+    where = [df.columns.index(c) for c in cols]
+
+    def fill(batches):
+        for batch in batches:
+            x, gone = _replay(batch.select(where), means, steps)
+            columns = list(batch.columns)
+            for i, at in enumerate(where):
+                # observed values stay as they are, to the last digit
+                guess = pa.array(x[:, i] + means[i])
+                columns[at] = pc.if_else(pc.is_null(columns[at]), guess, columns[at])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return out.mapInArrow(fill, out.schema)
 
 
 def fill_ordered(df: DataFrame, cols: Sequence[str], order_by: str, by: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
