@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.clean.log import TransformationLog
@@ -38,14 +40,6 @@ def select_correlation(df: DataFrame, cols: Sequence[str], threshold: float = MA
     return df.drop(*correlated(df, cols, threshold))
 
 
-def _bin(x: Column, edges: Sequence[float]) -> Column:
-    """Number of edges at or below the value."""
-    code = F.lit(0)
-    for e in edges:
-        code = code + F.when(x >= e, 1).otherwise(0)
-    return code
-
-
 def _edges(values: Sequence[float]) -> list[float]:
     return sorted({v for v in values if v is not None})
 
@@ -54,21 +48,37 @@ def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: in
     """(column, mi): mutual information in nats between quantile-binned columns and the target.
 
     A numeric target is used as classes up to 15 distinct values and binned above; a text target is
-    always classes. Joint counts are at most columns x bins x classes rows.
+    always classes. Tasks count their batches; joint counts are at most columns x bins x classes rows.
     """
     probs = [i / bins for i in range(1, bins)]
     rows = df.where(col(target).isNotNull())
     binned = is_numeric(df.schema[target].dataType) and rows.select(target).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES
     cuts = quantiles(rows.select(*[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]), cols, probs)
-    if binned:
-        y = _bin(col(target).cast("double"), _edges(quantiles(rows, [target], probs)[target])).cast("string")
-    else:
-        y = col(target).cast("string")
-    records = [
-        F.struct(F.lit(c).alias("column"), _bin(F.coalesce(col(c).cast("double"), F.lit(0.0)), _edges(cuts[c])).alias("x"), y.alias("y"))
-        for c in cols
-    ]
-    joint = rows.select(F.inline(F.array(*records))).groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    marks = np.array(_edges(quantiles(rows, [target], probs)[target])) if binned else None
+    edges = [np.array(_edges(cuts[c])) for c in cols]
+    y = col(target).cast("double" if binned else "string")
+
+    def counts(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if binned:
+                code = np.searchsorted(marks, batch.column(0).to_numpy(zero_copy_only=False), side="right")
+                names = np.arange(len(marks) + 1).astype(str)
+            else:
+                found = batch.column(0).dictionary_encode()
+                code, names = found.indices.to_numpy(zero_copy_only=False), np.array(found.dictionary.to_pylist(), dtype=object)
+            for i, c in enumerate(cols):
+                # number of edges at or below the value
+                x = np.searchsorted(edges[i], batch.column(i + 1).to_numpy(zero_copy_only=False), side="right")
+                cell, n = np.unique(x * len(names) + code, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c] * len(cell)), pa.array((cell // len(names)).astype(np.int32)), pa.array(names[cell % len(names)].tolist(), pa.string()), pa.array(n.astype(np.int64))],
+                    names=["column", "x", "y", "n"],
+                )
+
+    values = rows.select(y.alias("_y"), *[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(cols)])
+    joint = values.mapInArrow(counts, "column string, x int, y string, n bigint").groupBy("column", "x", "y").agg(F.sum("n").alias("n"))
     per = lambda *keys: F.sum("n").over(Window.partitionBy("column", *keys))
     p = joint.select("column", "n", per("x").alias("nx"), per("y").alias("ny"), per().alias("nt"))
     term = F.col("n") / F.col("nt") * F.log(F.col("n") * F.col("nt") / (F.col("nx") * F.col("ny")))

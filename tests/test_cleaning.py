@@ -220,3 +220,17 @@ def test_iterative_imputation_stores_nothing_and_equals_plain(spark, monkeypatch
             fresh[~known, c] = beta[0] + state[~known][:, others] @ beta[1:]
         state = fresh
     assert np.allclose(got[["a", "b", "c"]].to_numpy(), state, rtol=1e-7)
+
+
+def test_mutual_information_is_counted_in_batches(spark):
+    """Equal to counts in numpy; tasks send counts, not one row a value."""
+    rng = np.random.default_rng(5)
+    a, y = np.round(rng.normal(0, 1, 500), 2), rng.integers(0, 3, 500)
+    df = spark.createDataFrame([(float(v), int(k)) for v, k in zip(a, y)], "a double, y int")
+    found = select.mutual_information(df, "y", ["a"])
+    x = np.searchsorted(np.unique(np.quantile(a, np.arange(1, 10) / 10)), a, side="right")
+    p = np.histogram2d(x, y, bins=[np.arange(11), np.arange(4)])[0] / 500
+    outer = np.outer(p.sum(1), p.sum(0))
+    want = (p[p > 0] * np.log(p[p > 0] / outer[p > 0])).sum()
+    assert found.first()["mi"] == pytest.approx(want, rel=1e-9)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
