@@ -10,8 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ml.evaluate import score_of
+from millrace.operators.ml.evaluate import regression_scores, score_of
 from millrace.operators.ml.models import scored
+from millrace.operators.ml.prep import REGRESSION
 from millrace.plans.frames import col, small_frame, stats_row
 from millrace.plans.prefix import row_positions
 
@@ -64,19 +65,31 @@ def permutation_importance(
     on. One positioned self-join serves all columns, and every row is used.
     """
     order = F.xxhash64(*[col(k) for k in key]).cast("double")
-    placed = row_positions(df.withColumn("_hash", order), "_hash", tie=list(key)).drop("_hash")
+    placed = row_positions(df.withColumn("_hash", order), "_hash", tie=list(key)).drop("_hash", *key)
     other = placed.select(
         F.col("position").alias("_from"), *[col(c).alias(f"_other_{c}") for c in cols]
     )
     shifted = F.pmod(F.col("position") - 1 + offset, F.col("total")) + 1
-    joined = placed.join(other, shifted == F.col("_from")).persist()
-    try:
-        base = score_of(scored(model.transform(joined), task), task)
-        rows = []
-        for c in cols:
-            swapped = joined.withColumn(c, col(f"_other_{c}"))
-            rows.append((c, base - score_of(scored(model.transform(swapped), task), task)))
-    finally:
-        joined.unpersist()
+    joined = placed.join(other, shifted == F.col("_from")).drop("_from", "position", "total")
+    if task == REGRESSION:
+        # the rows as they are and with each column swapped, all scored in one pass; nothing is stored
+        kept = [c for c in joined.columns if not c.startswith("_other_")]
+        forms = [
+            F.struct(F.lit(i).alias("_form"), *[col(f"_other_{c}" if i and c == cols[i - 1] else c).alias(c) for c in kept])
+            for i in range(len(cols) + 1)
+        ]
+        every = model.transform(joined.select(F.inline(F.array(*forms)))).select("_form", "label", "prediction")
+        found = regression_scores(every, "_form")
+        rows = [(c, found[0] - found[i + 1]) for i, c in enumerate(cols)] if found else [(c, float("nan")) for c in cols]
+    else:
+        joined = joined.persist()
+        try:
+            base = score_of(scored(model.transform(joined), task), task)
+            rows = []
+            for c in cols:
+                swapped = joined.withColumn(c, col(f"_other_{c}"))
+                rows.append((c, base - score_of(scored(model.transform(swapped), task), task)))
+        finally:
+            joined.unpersist()
     rows.sort(key=lambda r: (-r[1], r[0]))
     return small_frame(df.sparkSession, rows, "feature string, importance double")

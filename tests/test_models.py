@@ -119,3 +119,23 @@ def test_baseline_fits_only_what_is_asked_for(loans, monkeypatch):
         with monkeypatch.context() as patch:
             patch.setattr(module, unused, never)
             assert getattr(baseline(loans, "loan_approved", ["loan_id"], trees=2, folds=2), asked).count() == n
+
+
+def test_models_share_the_preprocessing_of_a_fold(loans, monkeypatch):
+    """Three models, two folds: preprocessing is fitted twice, not six times."""
+    made = []
+    build = models.build_preprocessor
+    monkeypatch.setattr(models, "build_preprocessor", lambda *a: made.append(a) or build(*a))
+    candidates = {n: m for n, m in models.models("binary").items() if n in ("Logistic Regression", "Decision Tree", "Linear SVC")}
+    scores = models.run_cv(loans, "loan_approved", ["loan_id"], candidates=candidates, folds=2)
+    assert scores.where("error IS NULL").count() == 6 and len(made) == 2
+
+
+def test_swapped_columns_are_scored_in_one_pass(spark, monkeypatch):
+    """All forms of the rows go through the model together; an ignored column has no importance."""
+    rows = [(i, float(i % 10), float(i % 7), float(i % 10) * 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, y double")
+    model, _ = models.train_final(df, "y", ["id"], models.models("regression")["Decision Tree"], "regression")
+    monkeypatch.setattr(explain, "score_of", None)
+    found = {r["feature"]: r["importance"] for r in explain.permutation_importance(model, df.withColumn("label", F.col("y")), ["a", "b"], "regression", ["id"]).collect()}
+    assert found["a"] > 0.5 and abs(found["b"]) < 1e-9
