@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +33,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +52,14 @@ SKETCH = 32
 #: Ranges of commonest terms whose tokens the driver sums.
 BUCKETS = 1 << 16
 K1, B = 1.2, 0.75
-#: Distinct chunks that an encoder keeps, the first ones it meets; others are encoded when met.
-REMEMBERED = 300_000
+#: Text that is cut into chunks and encoded at a time.
+ENCODED_BYTES = 4 << 20
 
-_CHUNK = re.compile(r"\s*\S+|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
+#: White space as the vocabulary's pattern knows it.
+_WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A space inside a run of white space that goes on behind it: there the pattern may not cut.
+_RUN = f"{_WHITE} (?:{_WHITE}|$)"
+_EDGE = f"^(?:{_WHITE}|$)|{_WHITE}$"
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -67,11 +70,12 @@ def _bytes_of_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of texts; chunks of white space and what follows it are encoded once and remembered.
+    """Token ids of texts; each distinct chunk of a call, a space and what follows it up to the next one, is encoded once.
 
-    The vocabulary's pattern never joins a character to white space after it, so a text's ids are those of its
-    chunks in turn. New chunks go through a merger built from the tokenizer file's own vocabulary, whose ids are
-    its merge ranks; separators on which white-space definitions differ send a text to the tokenizer whole.
+    The vocabulary's pattern always cuts before a space that follows other than white space or precedes it, so a
+    text's ids are those of its chunks in turn. Texts with a space in the middle of a run of white space are encoded
+    whole. Distinct chunks are encoded as one text, whose ids are dealt back by the bytes they stand for. The merger
+    is built from the tokenizer file's own vocabulary, whose ids are its merge ranks. Nothing is kept between calls.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,54 +83,54 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        tokenizer = Tokenizer.from_file(path)
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         letters = _bytes_of_letters()
-        ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        ranks = {bytes(letters[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token not in special}
         self.merger = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.index: dict[str, int] = {}
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row of each chunk, all ids, first id and number of ids by row); the first REMEMBERED chunks met stay."""
-        at, table = list(map(self.index.get, chunks)), (self.flat, self.first, self.size)
-        if None in at:
-            fresh = list(dict.fromkeys(c for c, i in zip(chunks, at) if i is None))
-            ids = list(map(self.merger.encode_ordinary, fresh))
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-            known = dict(zip(fresh, range(len(self.size), len(self.size) + len(fresh))))
-            at = [known[c] if i is None else i for c, i in zip(chunks, at)]
-            first = len(self.flat) + np.cumsum(size) - size
-            table = tuple(map(np.concatenate, ((self.flat, flat), (self.first, first), (self.size, size))))
-            if len(self.index) + len(fresh) <= REMEMBERED:
-                self.index.update(known)
-                self.flat, self.first, self.size = table
-        return np.array(at, np.int64), *table
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = list(map(len, ranks))
+
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each) of ``words`` with a space before each; none is empty or has white space at an end."""
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py()
+        ids = np.array(self.merger.encode_ordinary(f" {text}" if text else ""), np.uint32)
+        ends = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1, prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [[] if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        at, table, first, sizes = self._table(list(chain.from_iterable(parts)))
-        size = sizes[at]
+        given = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(given, _RUN)
+        cut = pc.split_pattern(pc.if_else(whole, "", given), " ")
+        edge = cut.offsets.to_numpy()
+        head = np.zeros(edge[-1], bool)
+        head[edge[:-1]] = True
+        words = cut.values.filter(pa.array(~head)).dictionary_encode()
+        white = pc.match_substring_regex(words.dictionary, _EDGE)
+        flat, size = self._joined(words.dictionary.filter(pc.invert(white)))
+        # What follows no space, and what begins or ends with white space, is encoded alone.
+        alone = [f" {w}" for w in words.dictionary.filter(white).to_pylist()] + pc.if_else(whole, given, cut.values.take(cut.offsets[:-1])).to_pylist()
+        ids = list(map(self.merger.encode_ordinary, alone))
+        flat = np.concatenate((flat, np.fromiter(chain.from_iterable(ids), np.uint32)))
+        size = np.concatenate((size, np.fromiter(map(len, ids), np.int64, len(ids))))
+        at = np.empty(len(head), np.int64)
+        at[head] = np.arange(len(size) - len(texts), len(size))
+        at[~head] = np.argsort(np.argsort(white.to_numpy(zero_copy_only=False), kind="stable"))[words.indices.to_numpy()]
+        first, size = (np.cumsum(size) - size)[at], size[at]
         ends = np.cumsum(size)
-        flat = table[np.repeat(first[at] - (ends - size), size) + np.arange(int(size.sum()))]
-        edge = np.concatenate(([0], ends))[np.cumsum([0, *map(len, parts)])]
-        out = [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
-        for i, text in enumerate(texts):
-            if text and not parts[i]:
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return out
+        flat = flat[np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))]
+        edge = np.concatenate(([0], ends))[edge]
+        return [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """One encoder per worker process, with what it remembers."""
+    """One encoder per worker process."""
     return Encoder(path)
 
 
 def forget_encoder() -> None:
-    """Workers live on after the stage that encodes; what the encoder remembered goes back to the system."""
+    """Workers live on after the stage that encodes; the encoder's memory goes back to the system."""
     encoder_of.cache_clear()
     pa.default_memory_pool().release_unused()
     pa.system_memory_pool().release_unused()
@@ -141,37 +145,54 @@ class Index:
         flat = np.concatenate(tails) if n else np.zeros(0, np.uint32)
         owner = np.repeat(np.arange(n, dtype=np.int32), size)
         inside = owner[:-1] == owner[1:]
-        pair = flat[:-1].astype(np.int64)
-        pair <<= 32
-        pair |= flat[1:]
-        owner, pair = owner[:-1][inside], pair[inside]
+        # Pair and owner in one number, so that one plain sort gives the postings.
+        places, bits = n.bit_length(), int(flat.max()).bit_length() if len(flat) else 0
+        ranked = 2 * bits + places > 63
+        posting = flat[:-1].astype(np.int64)
+        posting <<= 32 if ranked else bits
+        posting |= flat[1:]
+        owner, posting = owner[:-1][inside], posting[inside]
         del flat, inside
-        _, posting = np.unique(pair, return_inverse=True)
-        del pair
-        posting *= n
-        posting += owner
+        if ranked:
+            posting = np.unique(posting, return_inverse=True)[1]
+        posting <<= places
+        posting |= owner
         del owner
-        posting, times = np.unique(posting, return_counts=True)
-        times = times.astype(np.int32)
-        term, self.docs = (posting // max(n, 1)).astype(np.int32), (posting % max(n, 1)).astype(np.int32)
-        del posting
-        self.edge = np.searchsorted(term, np.arange(int(term[-1]) + 2 if len(term) else 1, dtype=np.int32))
+        posting.sort()
+        at = np.flatnonzero(np.diff(posting, prepend=-1))
+        times = np.diff(at, append=len(posting)).astype(np.int32)
+        posting = posting[at]
+        del at
+        self.docs = (posting & ((1 << places) - 1)).astype(np.int32)
+        posting >>= places
+        new = np.diff(posting, prepend=-1) != 0
+        self.edge = np.append(np.flatnonzero(new), len(posting))
         self.held = np.diff(self.edge).astype(np.int32)
+        del posting
+        term = np.cumsum(new, dtype=np.int32)
+        term -= 1
         idf = np.log1p((n - self.held + 0.5) / (self.held + 0.5))
         spread = K1 * (1 - B + B * size / max(size.mean() if n else 1, 1))
         self.weight = idf[term] * times
         self.weight *= K1 + 1
         self.weight /= times + spread[self.docs]
-        del times
-        by = np.argsort(self.docs, kind="stable")
-        self.terms, self.own = term[by], np.searchsorted(self.docs[by], np.arange(n + 1))
+        del times, new
+        self.own = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=n))))
+        by = self.docs.astype(np.int64)
+        by <<= 32
+        by |= term
+        by.sort()
+        self.terms = by.astype(np.int32)
+        self.asked: tuple[int, np.ndarray] = (-1, self.terms[:0])
 
     def shared_terms(self, seed: int) -> np.ndarray:
         """The seed's terms that another item holds too, rarest first."""
-        terms = self.terms[self.own[seed] : self.own[seed + 1]]
-        held = self.held[terms]
-        terms, held = terms[held > 1], held[held > 1]
-        return terms[np.argsort(held, kind="stable")]
+        if self.asked[0] != seed:
+            terms = self.terms[self.own[seed] : self.own[seed + 1]]
+            by = (self.held[terms].astype(np.int64) << 32) | terms
+            by.sort()
+            self.asked = (seed, by[np.searchsorted(by, 2 << 32) :] & 0xFFFFFFFF)
+        return self.asked[1]
 
     def drop_used(self, unused: np.ndarray) -> None:
         """Forget postings of used items; weights and the number of items that hold a term stay."""
@@ -186,10 +207,16 @@ class Index:
             return np.zeros(0, np.int64)
         size = self.edge[terms + 1] - self.edge[terms]
         at = np.repeat(self.edge[terms] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        docs = self.docs[at]
-        free = unused[docs]
-        found, code = np.unique(docs[free], return_inverse=True)
-        return found[np.argsort(-np.bincount(code, self.weight[at][free], len(found)), kind="stable")]
+        at = at[unused[self.docs[at]]]
+        docs, weight = self.docs[at], self.weight[at]
+        if 16 * len(docs) < len(unused):
+            found, code = np.unique(docs, return_inverse=True)
+            score = np.bincount(code, weight, len(found))
+        else:
+            score = np.bincount(docs, weight, len(unused))
+            found = np.flatnonzero(score)
+            score = score[found]
+        return found[np.argsort(-score, kind="stable")]
 
 
 def fill(tails: list[np.ndarray], length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
@@ -253,8 +280,9 @@ def _crc(ids: np.ndarray) -> int:
 
 def sketch(ids: np.ndarray) -> np.ndarray:
     """The SKETCH smallest hashes of the distinct adjacent pairs."""
-    found = np.unique(mix(((ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:]) + np.uint64(1)))
-    return found[:SKETCH].astype(np.int64)
+    found = mix(((ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:]) + np.uint64(1))
+    found.sort()
+    return found[np.append(True, found[1:] != found[:-1])[: len(found)]][:SKETCH].astype(np.int64)
 
 
 def deal(tails: DataFrame, shards: int) -> DataFrame:
@@ -292,7 +320,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
         encoder, met = encoder_of(path), Counter()
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
         schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in _WIDE.split(", "))])
-        for batch, raw in slices(batches, "text"):
+        for batch, raw in slices(batches, "text", ENCODED_BYTES):
             out = []
             for doc_id, text, ids in zip(batch.column(0).to_pylist(), raw, encoder.encode([(t or b"").decode() for t in raw])):
                 ids = np.append(ids, np.uint32(END))

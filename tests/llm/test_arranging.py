@@ -95,6 +95,37 @@ def test_encoder_equals_the_tokenizer(tokenizer):
             assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_together(tokenizer):
+    """Words never met before take one call of the merger, and nothing of them stays behind."""
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"{k:x}qz{k % 7}v" for k in range(a, a + 50)) for a in range(0, 2000, 50)]
+
+    class Counted:
+        calls, merger = 0, encoder.merger
+
+        def encode_ordinary(self, text):
+            self.calls += 1
+            return self.merger.encode_ordinary(text)
+
+    encoder.merger = Counted()
+    before = {k: len(v) for k, v in vars(encoder).items() if hasattr(v, "__len__")}
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.merger.calls <= len(texts) + 1
+    assert before == {k: len(v) for k, v in vars(encoder).items() if hasattr(v, "__len__")}
+
+
+def test_encoder_cuts_white_space_like_the_tokenizer(tokenizer):
+    """Runs of every kind of white space, at both ends and between words."""
+    draw = np.random.default_rng(6)
+    white = [*" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b", *[" "] * 20]
+    words = ["a", "The", "'s", "'", "?!", "12", "\xe9", "\u65e5\u672c", "<|endoftext|>", "don't", "\U0001f600", "_"]
+    texts = ["".join(draw.choice(white if draw.random() < 0.6 else words) for _ in range(draw.integers(0, 25))) for _ in range(2000)]
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("length, shard", [(2048, 4 << 20), (64, 500)])
 def test_pack_round_trip(spark, tokenizer, length, shard):
     docs = cases.frame(spark, ROWS)
@@ -246,6 +277,15 @@ def test_an_index_holds_few_bytes_a_token():
     assert len(index.docs) and held < 26 * 100_000 and peak < 75 * 100_000
 
 
+def test_an_index_of_wide_ids_is_the_same():
+    """Ids too wide to share a number with their tail are ranked first."""
+    rng = np.random.default_rng(7)
+    tails = [rng.integers(1, 40, rng.integers(1, 60)).astype(np.uint32) for _ in range(50)]
+    narrow, wide = packing.Index(tails), packing.Index([t * np.uint32(1 << 25) for t in tails])
+    assert all(np.array_equal(getattr(narrow, k), getattr(wide, k)) for k in ("docs", "edge", "held", "weight", "terms", "own"))
+    assert packing.fill(tails, 64) == packing.fill([t * np.uint32(1 << 25) for t in tails], 64)
+
+
 def test_workers_forget_the_encoder():
     path = public_tokenizers.path("byte_bpe_50k.json")
     first = packing.encoder_of(path)
