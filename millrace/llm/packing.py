@@ -293,7 +293,8 @@ def deal(tails: DataFrame, shards: int) -> DataFrame:
     own = terms.join(held, "term").groupBy("uid").agg(F.min(rank).getField("term").alias("rarest"), F.max(rank).getField("term").alias("common"))
     # A tail that shares nothing is a group of its own.
     named = tails.select("uid", "spread", "length").join(own, "uid", "left")
-    named = named.select("uid", "spread", "length", F.coalesce("rarest", "spread").alias("rarest"), F.coalesce("common", "spread").alias("common"))
+    # Kept: groups and the join below both read it, and terms are counted once.
+    named = cut_lineage(named.select("uid", "spread", "length", F.coalesce("rarest", "spread").alias("rarest"), F.coalesce("common", "spread").alias("common")))
     groups = named.groupBy("rarest").agg(F.min("common").alias("common"), F.sum("length").alias("tokens"))
     groups = cut_lineage(groups.select("rarest", "tokens", F.pmod(F.xxhash64("common"), F.lit(BUCKETS)).alias("bucket")))
     sums = dict(groups.groupBy("bucket").agg(F.sum("tokens")).collect())

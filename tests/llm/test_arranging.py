@@ -254,6 +254,14 @@ def test_similar_tails_meet_whatever_the_number_of_shards(spark):
     assert out.groupby(out.sequence_id // 2**32).length.sum().max() < 0.35 * out.length.sum()
 
 
+def test_dealing_counts_terms_once(spark):
+    """What places the groups and what places the tails read the same kept rows."""
+    rows = [(k, k * 17, 10, [k % 5, 100 + k]) for k in range(40)]
+    dealt = packing.deal(spark.createDataFrame(rows, "uid long, spread long, length long, sketch array<long>"), 3)
+    assert "Generate" not in dealt._jdf.queryExecution().toString()
+    assert sorted(r.uid for r in dealt.collect()) == list(range(40)) and {r.shard for r in dealt.collect()} <= {0, 1, 2}
+
+
 def test_a_seed_asks_all_its_terms():
     """Neighbours that share only a common term are taken before longer strangers."""
     fresh = iter(range(10**4, 10**6))
