@@ -83,11 +83,15 @@ def stability(df: DataFrame, runs: Sequence) -> float:
 
 #: Fits of a sweep that run side by side; their iterations are small jobs.
 SIDE_BY_SIDE = 4
+#: Clusters up to which a sweep goes by itself.
+K_MAX = 10
 
 
-def _sweep(df: DataFrame, k_min: int, k_max: int, algorithms: Sequence[str] | None) -> tuple[list[tuple], dict]:
+def _sweep(df: DataFrame, k_min: int, k_max: int | None, algorithms: Sequence[str] | None) -> tuple[list[tuple], dict]:
     """Rows of SWEEP_SCHEMA and the models by (algorithm, k)."""
-    if not 2 <= k_min <= k_max < df.count():
+    n = df.count()
+    k_max = min(K_MAX, n - 1) if k_max is None else k_max
+    if not 2 <= k_min <= k_max < n:
         raise ValueError("k must lie between 2 and the number of rows less one")
     models = {}
 
@@ -109,8 +113,8 @@ def _sweep_frame(spark, rows: list[tuple]) -> DataFrame:
     return small_frame(spark, rows, SWEEP_SCHEMA).orderBy(F.desc_nulls_last("score"), "algorithm", "k")
 
 
-def k_sweep(df: DataFrame, k_min: int = 2, k_max: int = 10, algorithms: Sequence[str] | None = None) -> DataFrame:
-    """Every algorithm and k, best score first. ``df`` holds ``features`` and should be cached."""
+def k_sweep(df: DataFrame, k_min: int = 2, k_max: int | None = None, algorithms: Sequence[str] | None = None) -> DataFrame:
+    """Every algorithm and k, best score first. ``df`` holds ``features`` and should be cached; ``k_max`` is K_MAX or the rows less one."""
     return _sweep_frame(df.sparkSession, _sweep(df, k_min, k_max, algorithms)[0])
 
 

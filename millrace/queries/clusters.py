@@ -120,7 +120,7 @@ def h9_ari(t):
 def h10_k_sweep(t):
     v = vectors(t).select("vec_id", "features").persist()
     try:
-        return sw.k_sweep(v, 2, 3, ["KMeans", "Bisecting KMeans"])
+        return sw.k_sweep(v)
     finally:
         v.unpersist()
 

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators.cluster import neighbors as nb
 from millrace.operators.cluster import outliers, quality, sweep
 from millrace.operators.cluster.dbscan import dbscan, dbscan_sweep, neighbor_counts
+from millrace.queries.clusters import h10_k_sweep
 
 
 def blobs(seed=0, dims=2, noise=12):
@@ -262,3 +265,16 @@ def test_sweep_starts_few_jobs(spark):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("measures")) <= 5
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_registered_sweep_tries_every_algorithm_and_k(spark, monkeypatch):
+    """The query leaves out no algorithm and no k; with few rows it goes as far as they allow."""
+    monkeypatch.setattr(sweep.quality, "few_clusters_quality", lambda df: (0.5, 1.0, 2.0))
+    monkeypatch.setattr(sweep, "stability", lambda df, runs: 1.0)
+    monkeypatch.setattr(sweep, "kmeans_runs", lambda df, k: [])
+    monkeypatch.setattr(sweep, "ALGORITHMS", {name: lambda df, k: type("Fit", (), {"transform": lambda self, df: df})() for name in sweep.ALGORITHMS})
+    for n, most in ((30, 10), (6, 5)):
+        rows = spark.createDataFrame([(i, [float(i), 1.0], i % 3) for i in range(n)], "vec_id bigint, embedding array<double>, label int")
+        found = h10_k_sweep(SimpleNamespace(embeddings=rows)).collect()
+        assert {(r["algorithm"], r["k"]) for r in found} == {(name, k) for name in ("KMeans", "Bisecting KMeans", "Gaussian Mixture") for k in range(2, most + 1)}
+        assert all(r["error"] is None for r in found)
