@@ -288,8 +288,9 @@ def _nearest_in_blocks(pairs: DataFrame, k: int, exclude_self: bool) -> DataFram
             d[q_ids[:, None] == r_ids[None, :]] = np.inf
         kk = min(k, len(r_ids))
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        # the expansion is off by rounding: keep near-ties and settle them exactly
-        bar = np.minimum(kth, limit) + 1e-6 * (1.0 + np.where(np.isfinite(kth), kth, 0.0))
+        # the expansion is off by rounding, most for long vectors: keep near-ties and settle them exactly
+        size = np.sqrt((q * q).sum(1)) + np.sqrt((r * r).sum(1).max())
+        bar = np.minimum(kth, limit) + 1e-6 * (1.0 + size + np.where(np.isfinite(kth), kth, 0.0))
         qi, ri = np.nonzero((d <= bar[:, None]) & np.isfinite(d))
         exact = np.sqrt(((q[qi] - r[ri]) ** 2).sum(1))
         order = np.lexsort((r_ids[ri], exact, qi))

@@ -1,13 +1,13 @@
 """Exact minimum spanning trees of points: single linkage and density clusters at every radius.
 
-Points lie in cells (see ``neighbors``). Blocks of one cell meet pairwise first; of the tree over the points of two
-blocks only edges from one block to the other leave a task. An edge between cells can belong to the tree only if it is
-no heavier than the heaviest edge of a known path between its ends. Such a path runs through the trees inside the cells and one
-point of each cell, so cells further apart than that never meet. What is left, a few edges a point, is merged
-by rounds of cheapest edges; the last MERGE edges are merged in one task.
+The nearest NEAR points of every point are found first (see ``neighbors``). Any other point lies no nearer than the last of them, so a
+component whose cheapest listed edge is lighter than that floor of all its points has found its cheapest edge, and joins. Components are
+joined in rounds of such edges; of a component of up to NEAR - 1 points every point lists one outside. What does not join that way,
+groups of more points that lie closer together than to any other, looks for its cheapest edge in the cells that may hold one: points whose floor lies above a known edge of
+their component stay out, the largest component only answers, and components at least halve each round.
 
 Weights are distances or, with core distances, the largest of the distance and both cores (mutual reachability). Equal
-weights are ordered by ids, so the tree is unique. Points without clusters in many dimensions still meet most cells.
+weights are ordered by ids, so the tree is unique. Equal points without a core distance are one point with links of weight 0.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.cluster import neighbors as nb
@@ -26,122 +26,194 @@ from millrace.plans.lineage import cut_lineage, forget_size
 
 #: Edges up to which the rest of the tree is found in one task.
 MERGE = 1_000_000
+#: Neighbours a point lists before components look for edges themselves, the point itself among them.
+NEAR = 12
+#: Pivots through which a first bound of a component's cheapest edge is found.
+THROUGH = 32
 EDGE = "src bigint, dst bigint, weight double"
+#: A forest in the making: edges taken (own is null), edges between components (a, b) and components (own) with their floor.
+STATE = "kind string, src bigint, dst bigint, weight double, a bigint, b bigint"
+
+
+def _root(parent: np.ndarray) -> np.ndarray:
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    return parent
+
+
+def _certain(edges: pd.DataFrame, floors: pd.DataFrame) -> pd.DataFrame:
+    """Rounds of cheapest edges lighter than the floor of their component, until there is none (see STATE)."""
+    names = floors["id"].to_numpy()
+    floor = floors["floor"].to_numpy()
+    order = np.lexsort((edges["dst"].to_numpy(), edges["src"].to_numpy(), edges["weight"].to_numpy()))
+    src, dst, weight = (edges[c].to_numpy()[order] for c in ("src", "dst", "weight"))
+    by = np.argsort(names)
+    place = lambda v: by[np.searchsorted(names, v, sorter=by)]
+    a, b = place(edges["a"].to_numpy()[order]), place(edges["b"].to_numpy()[order])
+    at, own, taken = np.arange(len(src)), np.arange(len(names)), []
+    while len(at):
+        # edges ascend, so the first of a component is its cheapest
+        first = np.full(len(names), len(at))
+        np.minimum.at(first, a, np.arange(len(at)))
+        np.minimum.at(first, b, np.arange(len(at)))
+        having = np.flatnonzero(first < len(at))
+        sure = having[weight[at[first[having]]] < floor[having]]
+        if not len(sure):
+            break
+        chosen = np.unique(first[sure])
+        taken.append(at[chosen])
+        # links form a forest: the far end of each component's edge is its parent, of two that chose one edge the smaller stays
+        parent = np.arange(len(names))
+        e = first[sure]
+        other = np.where(a[e] == sure, b[e], a[e])
+        parent[sure] = other
+        mutual = sure[(parent[other] == sure) & (sure < other)]
+        parent[mutual] = mutual
+        parent = _root(parent)
+        least = np.full(len(names), np.inf)
+        np.minimum.at(least, parent, floor)
+        floor, own, a, b = least, parent[own], parent[a], parent[b]
+        kept = a != b
+        at, a, b = at[kept], a[kept], b[kept]
+    used = np.concatenate(taken) if taken else np.zeros(0, int)
+    smallest = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, own, names)
+    return pd.concat([
+        pd.DataFrame({"kind": "taken", "src": src[used], "dst": dst[used], "weight": weight[used], "a": 0, "b": 0}),
+        pd.DataFrame({"kind": "left", "src": src[at], "dst": dst[at], "weight": weight[at], "a": smallest[a], "b": smallest[b]}),
+        pd.DataFrame({"kind": "named", "src": names, "dst": smallest[own], "weight": floor[own], "a": 0, "b": 0}),
+    ])
+
+
+def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, own, floor) after the components ``own`` are joined by ``links`` (a, b)."""
+    nodes = named.groupBy("own").agg(F.min("floor").alias("floor"))
+    linked = connected_components(nodes.select(F.col("own").alias("id")), links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    found = linked.select(F.col("id").alias("own"), F.col("component").alias("_to"))
+    least = nodes.join(found, "own").groupBy("_to").agg(F.min("floor").alias("_least"))
+    moved = named.join(found, "own").join(least, "_to")
+    return forget_size(moved.select("id", F.col("_to").alias("own"), F.col("_least").alias("floor")))
+
+
+def _between(edges: DataFrame, named: DataFrame) -> DataFrame:
+    """The lightest edge (src, dst, weight, a, b) between any two components ``own`` of ``named``; a < b."""
+    first = named.select(F.col("id").alias("src"), F.col("own").alias("_a"))
+    second = named.select(F.col("id").alias("dst"), F.col("own").alias("_b"))
+    moved = edges.select("src", "dst", "weight").join(first, "src").join(second, "dst").where("_a <> _b")
+    pair = [F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")]
+    return forget_size(moved.groupBy(*pair).agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.weight", "a", "b"))
+
+
+def _cheapest(rest: DataFrame) -> DataFrame:
+    """(own, weight, src, dst, a, b): the cheapest edge of every component that has one."""
+    ends = rest.select("src", "dst", "weight", "a", "b", F.explode(F.array("a", "b")).alias("own"))
+    return ends.groupBy("own").agg(F.min(F.struct("weight", "src", "dst", "a", "b")).alias("e")).select("own", "e.*")
+
+
+def _grown(edges: DataFrame, floors: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """(edges of the tree, edges left, (id, own, floor)) after all rounds in which a component's listed edge is certain."""
+    named = cut_lineage(floors.select("id", F.col("id").alias("own"), "floor"))
+    rest = _between(edges, named)
+    taken = []
+    while rest.count() > MERGE:
+        sure = _cheapest(rest).join(named.groupBy("own").agg(F.min("floor").alias("_floor")), "own").where("weight < _floor")
+        chosen = cut_lineage(sure.select("src", "dst", "weight", "a", "b").distinct())
+        if chosen.isEmpty():
+            return taken, rest, named
+        taken.append(chosen.select("src", "dst", "weight"))
+        named = _joined(named, chosen)
+        rest = _between(rest, named)
+    nodes = named.groupBy("own").agg(F.min("floor").alias("floor")).select(F.col("own").alias("id"), "floor")
+    sides = rest.select(F.lit(0).alias("_all"), "src", "dst", "weight", "a", "b").groupBy("_all").cogroup(_ends(nodes, rest).select(F.lit(0).alias("_all"), "id", "floor").groupBy("_all"))
+    state = cut_lineage(sides.applyInPandas(lambda rows, ids: _certain(rows, ids), STATE))
+    taken.append(state.where("kind = 'taken'").select("src", "dst", "weight"))
+    moved = state.where("kind = 'named'").select(F.col("src").alias("own"), F.col("dst").alias("_to"), F.col("weight").alias("_least"))
+    joined = named.join(moved, "own", "left").select("id", F.coalesce("_to", "own").alias("own"), F.coalesce("_least", "floor").alias("floor"))
+    return taken, forget_size(state.where("kind = 'left'").select("src", "dst", "weight", "a", "b")), forget_size(joined)
+
 
+def _ends(nodes: DataFrame, rest: DataFrame) -> DataFrame:
+    """The components that still have an edge; the others stay as they are."""
+    return nodes.join(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
 
-def _block_tree(ids: np.ndarray, x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from, to, weight) of the tree over a block's points, places in ``ids``, which ascend."""
-    m = len(ids)
-    weight, source, todo = np.full(m, np.inf), np.full(m, m), np.ones(m, bool)
-    out = np.empty((m - 1, 2), np.int64)
-    found = np.empty(m - 1)
-    now = 0
-    for step in range(m - 1):
-        todo[now] = False
-        # differences, not the expansion: a pair weighs the same in whichever task it is met
-        reach = np.maximum(np.sqrt(((x - x[now]) ** 2).sum(1)), np.maximum(core, core[now]))
-        better = todo & ((reach < weight) | ((reach == weight) & (now < source)))
-        weight[better], source[better] = reach[better], now
-        open_ = np.flatnonzero(todo)
-        tied = open_[weight[open_] == weight[open_].min()]
-        low, high = np.minimum(tied, source[tied]), np.maximum(tied, source[tied])
-        now = tied[np.lexsort((high, low))[0]]
-        out[step], found[step] = (min(now, source[now]), max(now, source[now])), weight[now]
-    return out[:, 0], out[:, 1], found
-
-
-def _crossing(batches):
-    """Tree edges between the two blocks of each pair; all of them where both are the same block."""
+
+def _lightest(batches):
+    """Per component of a pair's query block the lightest edge to another component, within the queries' limits."""
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):
-            q_ids, r_ids = np.asarray(row.ids), np.asarray(row.r_ids)
-            ids, first = np.unique(np.concatenate([q_ids, r_ids]), return_index=True)
-            if len(ids) < 2:
-                continue
-            x = np.concatenate([np.asarray(row.vecs, float), np.asarray(row.r_vecs, float)]).reshape(len(q_ids) + len(r_ids), -1)[first]
-            core = np.concatenate([np.asarray(row.core, float), np.asarray(row.r_core, float)])[first]
-            a, b, weight = _block_tree(ids, x, core)
-            in_q, in_r = np.isin(ids, q_ids), np.isin(ids, r_ids)
-            cross = (in_q[a] & in_r[b]) | (in_r[a] & in_q[b])
-            out.append(pd.DataFrame({"cell": row.cell, "src": ids[a[cross]], "dst": ids[b[cross]], "weight": weight[cross]}))
-        yield pd.concat(out) if out else pd.DataFrame({"cell": [], "src": [], "dst": [], "weight": []})
-
-
-def _edges(pairs: DataFrame) -> DataFrame:
-    return pairs.select("cell", "ids", "vecs", "core", "r_ids", "r_vecs", "r_core").mapInPandas(_crossing, f"cell bigint, {EDGE}")
-
-
-def _limits(placed: DataFrame, inside: DataFrame, shape: nb.Cells) -> np.ndarray:
-    """For each pair of upper cells a weight that no tree edge between them exceeds."""
-    least = placed.groupBy("cell").agg(F.min(F.struct("reach", "core")).alias("near"))
-    longest = inside.groupBy("cell").agg(F.max("weight").alias("longest"))
-    cells = least.join(longest, "cell", "left").select("cell", F.col("near.reach").alias("off"), F.col("near.core").alias("core"), F.coalesce("longest", F.lit(0.0)).alias("longest"))
-    if shape.lower is None:
-        cells = cells.withColumn("upper", F.col("cell"))
-    else:
-        pivots = shape.pivots
-
-        @F.pandas_udf("double")
-        def away(upper: pd.Series, pivot: pd.Series) -> pd.Series:
-            return pd.Series(np.sqrt(((np.stack(pivot.to_numpy()) - pivots[upper.to_numpy()]) ** 2).sum(1)))
-
-        lower = shape.lower.select(F.col("cell").alias("_cell"), "upper", away("upper", "pivot").alias("away"))
-        cells = cells.join(lower, F.col("cell") == F.col("_cell")).withColumn("off", F.col("off") + F.col("away"))
-    each = cells.groupBy("upper").agg(F.max(F.greatest("longest", "core")).alias("inner"), F.max("off").alias("wide"), F.min(F.struct("off", "core")).alias("hub")).collect()
-    n = len(shape.pivots)
-    inner, off, core, held = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
-    for r in each:  # one row per upper cell
-        u = r["upper"]
-        held[u], off[u], core[u] = True, r["hub"]["off"], r["hub"]["core"]
-        inner[u] = max(r["inner"], r["wide"] + r["hub"]["off"])
-    hop = np.maximum(nb.distances(shape.pivots, shape.pivots) + off[:, None] + off[None, :], np.maximum(core[:, None], core[None, :]))
-    limit = np.full((n, n), np.inf)
-    order = np.flatnonzero(held)
-    done, rest = [order[0]], set(order[1:].tolist())
-    limit[order[0], order[0]] = 0.0
-    near, via = hop[order[0]].copy(), np.full(n, order[0])
-    while rest:
-        v = min(rest, key=lambda i: near[i])
-        rest.remove(v)
-        limit[v, done] = limit[done, v] = np.maximum(limit[via[v], done], near[v])
-        limit[v, v] = 0.0
-        done.append(v)
-        closer = hop[v] < near
-        near[closer], via[closer] = hop[v][closer], v
-    limit = np.maximum(limit, np.maximum(inner[:, None], inner[None, :]))
-    return limit * (1 + 1e-9) + 1e-12
-
-
-def _visits(placed: DataFrame, shape: nb.Cells, limit: np.ndarray) -> DataFrame:
-    """(id, vec, core, cell): each point with the later cells that may hold the other end of one of its tree edges."""
-    pivots, radius, count, flat = shape.pivots, shape.radius, shape.count, shape.lower is None
-
-    @F.pandas_udf("array<struct<upper:bigint,limit:double>>")
-    def targets(vec: pd.Series, cell: pd.Series) -> pd.Series:
-        home = cell.to_numpy() if flat else cell.to_numpy() // nb.LOWER
-        d = nb.distances(np.stack(vec.to_numpy()), pivots)
-        bound = limit[home]
-        ok = (d - radius[None, :] <= bound + 1e-9 * (1.0 + d)) & (count[None, :] > 0)
-        # a pair of cells meets once, from the earlier one
-        ok &= np.arange(len(pivots))[None, :] > home[:, None] if flat else np.arange(len(pivots))[None, :] >= home[:, None]
-        return pd.Series([[{"upper": int(u), "limit": float(b[u])} for u in np.flatnonzero(row)] for row, b in zip(ok, bound)])
-
-    out = placed.select("id", "vec", "core", "cell", F.explode(targets("vec", "cell")).alias("_t")).select("id", "vec", "core", F.col("cell").alias("home"), "_t.upper", "_t.limit")
-    if flat:
-        return out.select("id", "vec", "core", F.col("upper").alias("cell"))
-
-    def visit(rows: pd.DataFrame, lower: pd.DataFrame) -> pd.DataFrame:
-        kept = ["id", "vec", "core"]
-        if rows.empty or lower.empty:
-            return rows[kept].assign(cell=0).iloc[:0]
-        d = nb.distances(np.stack(rows["vec"].to_numpy()), np.stack(lower["pivot"].to_numpy()))
-        names = lower["cell"].to_numpy()
-        ok = d - lower["radius"].to_numpy()[None, :] <= rows["limit"].to_numpy()[:, None] + 1e-9 * (1.0 + d)
-        i, j = np.nonzero(ok & (names[None, :] > rows["home"].to_numpy()[:, None]))
-        return rows[kept].iloc[i].assign(cell=names[j])
-
-    return nb._meeting(out, shape.lower, visit, "id bigint, vec array<double>, core double, cell bigint")
+            q_ids, r_ids, q_own, r_own = (np.asarray(v) for v in (row.ids, row.r_ids, row.owner, row.r_owner))
+            q, r = np.asarray(row.vecs, float).reshape(len(q_ids), -1), np.asarray(row.r_vecs, float).reshape(len(r_ids), -1)
+            q_core, r_core, limit = (np.asarray(v, float) for v in (row.core, row.r_core, row.limit))
+            middle = r.mean(0)
+            for part in nb.slices(len(q), len(r)):
+                x, y, own = q[part], r, q_own[part]
+                d = nb.distances(x - middle, y - middle)
+                # the expansion is off by rounding, most where distances are small beside the vectors
+                slack = 1e-6 * (1.0 + np.sqrt(((x - middle) ** 2).sum(1)) + np.sqrt(((y - middle) ** 2).sum(1).max()))
+                w = np.maximum(np.maximum(d, q_core[part][:, None]), r_core[None, :])
+                w[own[:, None] == r_own[None, :]] = np.inf
+                order = np.argsort(own, kind="stable")
+                starts = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+                least = np.repeat(np.minimum.reduceat(w.min(1)[order], starts), np.diff(np.r_[starts, len(own)]))
+                bar = np.empty(len(own))
+                bar[order] = least
+                bar = np.minimum(bar + 2 * slack.max(), limit[part] + slack)
+                i, j = np.nonzero((w <= bar[:, None]) & np.isfinite(w))
+                best: list[pd.DataFrame] = []
+                for some in np.array_split(np.arange(len(i)), len(i) // 100_000 + 1):
+                    si, sj = i[some], j[some]
+                    # differences: a pair weighs the same in whichever task it is met
+                    exact = np.maximum(np.sqrt(((x[si] - y[sj]) ** 2).sum(1)), np.maximum(q_core[part][si], r_core[sj]))
+                    a, b = q_ids[part][si], r_ids[sj]
+                    found = pd.DataFrame({"own": own[si], "src": np.minimum(a, b), "dst": np.maximum(a, b), "weight": exact, "a": own[si], "b": r_own[sj]})
+                    best.append(found.sort_values(["own", "weight", "src", "dst"]).drop_duplicates("own"))
+                out.append(pd.concat(best).sort_values(["own", "weight", "src", "dst"]).drop_duplicates("own"))
+        yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("own", "src", "dst", "weight", "a", "b")})
+
+
+def _known(placed: DataFrame, pivots: np.ndarray, named: DataFrame) -> DataFrame:
+    """(own, near): a weight that the cheapest edge of a component does not exceed, by the points nearest to the pivots."""
+
+    def near(batches):
+        for pdf in batches:
+            if len(pdf):
+                x, core = np.stack(pdf["vec"].to_numpy()), pdf["core"].to_numpy()
+                own, place = np.unique(pdf["own"].to_numpy(), return_inverse=True)
+                for i, pivot in enumerate(pivots):
+                    least = np.full(len(own), np.inf)
+                    np.minimum.at(least, place, np.maximum(np.sqrt(((x - pivot) ** 2).sum(1)), core))
+                    yield pd.DataFrame({"pivot": i, "own": own, "d": least})
+
+    # through a pivot: a point of the component and one of another, both as near to it as any
+    members = placed.join(named.select(F.col("id").alias("_id"), "own"), F.col("id") == F.col("_id")).select("own", "vec", "core")
+    sides = cut_lineage(members.mapInPandas(near, "pivot int, own bigint, d double").groupBy("pivot", "own").agg(F.min("d").alias("d")))
+    two = Window.partitionBy("pivot").orderBy("d", "own")
+    top = sides.withColumn("_n", F.row_number().over(two)).where("_n <= 2").groupBy("pivot").agg(
+        F.min_by("own", "_n").alias("first"), F.min("d").alias("d1"), F.when(F.count(F.lit(1)) > 1, F.max("d")).alias("d2")
+    )
+    return sides.join(top, "pivot").select("own", (F.col("d") + F.when(F.col("first") == F.col("own"), F.col("d2")).otherwise(F.col("d1"))).alias("near")).groupBy("own").agg(F.min("near").alias("near"))
+
+
+def _searched(placed: DataFrame, shape: nb.Cells, rest: DataFrame, named: DataFrame) -> DataFrame:
+    """(src, dst, weight, a, b): the cheapest edge of every component but the largest."""
+    sizes = named.groupBy("own").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.orderBy(F.desc("n"), "own").first()["own"]
+    known = _known(placed, shape.pivots[:THROUGH], named).select("own", F.col("near").alias("weight")).unionByName(_cheapest(rest).select("own", "weight"))
+    bound = known.groupBy("own").agg(F.min("weight").alias("_most"))
+    held = cut_lineage(placed.join(named.select(F.col("id").alias("_id"), F.col("own").alias("owner"), "floor"), F.col("id") == F.col("_id")).drop("_id"))
+    asking = held.where(F.col("owner") != largest).join(bound, F.col("owner") == F.col("own"), "left").withColumn("limit", F.coalesce("_most", F.lit(float("inf"))) * (1 + 1e-9) + 1e-12)
+    alone = held.groupBy("cell").agg(F.min("owner").alias("owner"), F.max("owner").alias("_last")).where("owner = _last").select("cell", "owner")
+    asking = cut_lineage(asking.where((F.col("own_floor") <= F.col("limit")) & (F.col("core") <= F.col("limit"))).select("id", "vec", "cell", "owner", "core", "limit"))
+    routed = nb.route(asking.select("id", "vec", "cell", "owner", "limit"), shape, F.col("limit"), taken=alone)
+    cores = asking.select(F.col("id").alias("_id"), "core")
+    visits = routed.join(cores, F.col("id") == F.col("_id")).select("id", "vec", "cell", "owner", "core", "limit")
+    pairs = nb.block_pairs(visits, held.select("id", "vec", "cell", "owner", "core"), ["owner", "core", "limit"], ["owner", "core"], size=nb.block_size(shape.count.sum()))
+    found = pairs.select("ids", "vecs", "owner", "core", "limit", "r_ids", "r_vecs", "r_owner", "r_core").mapInPandas(_lightest, "own bigint, src bigint, dst bigint, weight double, a bigint, b bigint")
+    listed = _cheapest(rest).where(F.col("own") != largest)
+    both = found.unionByName(listed.select("own", "src", "dst", "weight", "a", "b"))
+    best = both.groupBy("own").agg(F.min(F.struct("weight", "src", "dst", "a", "b")).alias("e"))
+    return cut_lineage(best.select("e.src", "e.dst", "e.weight", F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct())
 
 
 def _last_edges(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -206,17 +278,31 @@ def spanning_tree(points: DataFrame, core: DataFrame | None = None, cells: int |
     else:
         rows = points.join(core.where("core IS NOT NULL").select("id", "core"), "id")
     rows = cut_lineage(rows)
-    shape = nb.build_cells(rows.select("id", "vec"), cells)
-    if not len(shape.pivots):
-        return rows.sparkSession.createDataFrame([], EDGE)
-    placed = cut_lineage(shape.placed.select("id", "vec", "cell", "reach").join(rows.select("id", "core"), "id"))
-    within = nb.block_pairs(placed.select("id", "vec", "core", "cell"), placed, ["core"], ["core"])
-    inside = _edges(within.where(F.array_min("ids") <= F.array_min("r_ids")))
-    if len(shape.pivots) > 1 or shape.lower is not None:
-        inside = cut_lineage(inside)
-        limit = _limits(placed, inside, shape)
-        inside = inside.unionByName(_edges(nb.block_pairs(_visits(placed, shape, limit), placed, ["core"], ["core"])))
-    return spanning_forest(inside.select("src", "dst", "weight"))
+    # copies without a core distance lie at weight 0: the smallest id stands for them
+    copies = cut_lineage(rows.where("core = 0").groupBy("vec").agg(F.min("id").alias("src"), F.collect_set("id").alias("ids")).where("size(ids) > 1").select("src", F.explode("ids").alias("dst")).where("src <> dst"))
+    rows = cut_lineage(rows.join(copies.select(F.col("dst").alias("id")), "id", "left_anti"))
+    linked = copies.select("src", "dst", F.lit(0.0).alias("weight"))
+    plain = rows.select("id", "vec")
+    near = cut_lineage(nb.knn_join(plain, plain, NEAR, cells=cells))
+    ends = rows.select("id", "core")
+    listed = near.where("id <> neighbor").join(ends, "id").join(ends.select(F.col("id").alias("neighbor"), F.col("core").alias("_core")), "neighbor")
+    edges = listed.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.greatest("distance", "core", "_core").alias("weight")).distinct()
+    # a point with fewer neighbours than asked for lists all there are
+    floors = cut_lineage(near.groupBy("id").agg(F.when(F.count(F.lit(1)) < NEAR, float("inf")).otherwise(F.max("distance")).alias("floor")))
+    taken, rest, named = _grown(edges, floors)
+    placed = shape = None
+    while named.agg(F.count_distinct("own")).first()[0] > 1:
+        if placed is None:
+            shape = nb.build_cells(rows.select("id", "vec"), cells)
+            placed = shape.placed.select("id", "vec", "cell").join(rows.select("id", "core"), "id")
+            placed = cut_lineage(placed.join(floors.withColumnRenamed("floor", "own_floor"), "id"))
+        chosen = _searched(placed, shape, rest, named)
+        taken.append(chosen.select("src", "dst", "weight"))
+        named = _joined(named, chosen)
+        rest = _between(rest, named)
+    for part in taken:
+        linked = linked.unionByName(part)
+    return linked
 
 
 def merges(tree: DataFrame) -> DataFrame:

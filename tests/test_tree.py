@@ -121,3 +121,24 @@ def test_density_labels_at_many_radii_keep_their_size_estimate(spark, capsys):
     tr.density_labels(core, tree, [0.2, 0.4, 0.9]).explain("cost")
     powers = [int(p) for p in re.findall(r"sizeInBytes=[0-9.]+E\+(\d+)", capsys.readouterr().out)]
     assert max(powers, default=0) < 1_000
+
+
+def test_points_without_clusters_join_by_their_nearest_lists(spark, monkeypatch):
+    """No pair of points is met beyond the search for neighbours, the lists alone give the tree."""
+    monkeypatch.setattr(tr, "_searched", None)
+    rng = np.random.default_rng(8)
+    ids, x = np.arange(300), rng.normal(0, 1, (300, 8))
+    w = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert [e[:2] for e in rows(tr.spanning_tree(frame(spark, ids, x)))] == sorted(e[:2] for e in brute_tree(ids, w))
+
+
+def test_groups_beyond_the_lists_far_from_the_origin(spark, monkeypatch):
+    """Groups of more points than a list holds, copies among them, find their links; weights are exact."""
+    monkeypatch.setattr(nb, "BLOCK", 16)
+    monkeypatch.setattr(tr, "NEAR", 3)
+    rng = np.random.default_rng(9)
+    x = 1e5 + np.vstack([rng.normal(40 * g, 0.01, (12, 3)) for g in range(5)])
+    x[3:9] = x[2]
+    ids = np.arange(len(x)) * 3
+    w = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert rows(tr.spanning_tree(frame(spark, ids, x), cells=5)) == sorted(brute_tree(ids, w))
