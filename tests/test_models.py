@@ -2,11 +2,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import classification as mc
+from pyspark.ml import regression as mr
 from pyspark.sql import functions as F
 
 from millrace.operators.cluster.neighbors import knn_predict, pack_columns
 from millrace.operators.ml import evaluate as ev
-from millrace.operators.ml import explain, models, prep
+from millrace.operators.ml import bins, explain, models, prep
 from millrace.operators.ml.baseline import baseline, baseline_task
 
 
@@ -139,3 +140,31 @@ def test_swapped_columns_are_scored_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(explain, "score_of", None)
     found = {r["feature"]: r["importance"] for r in explain.permutation_importance(model, df.withColumn("label", F.col("y")), ["a", "b"], "regression", ["id"]).collect()}
     assert found["a"] > 0.5 and abs(found["b"]) < 1e-9
+
+
+def test_merged_rows_fit_the_same_trees(spark, monkeypatch):
+    """Trees and boosting by squared errors see one row for all rows of equal bins and score as on single rows."""
+    rng = np.random.default_rng(4)
+    n = 1200
+    pdf = pd.DataFrame({"id": range(n), "a": rng.normal(0, 1, n), "b": rng.integers(0, 40, n).astype(float), "c": rng.choice(["x", "y"], n)})
+    pdf["y"] = np.sin(pdf["a"]) * pdf["b"] + (pdf["c"] == "x") * 5 + rng.random(n)
+    df = spark.createDataFrame(pdf)
+    # shallow: in nodes of a few rows splits of equal gain are told apart by rounding
+    trees = {"tree": mr.DecisionTreeRegressor(maxDepth=4, seed=1), "boosted": mr.GBTRegressor(maxIter=4, maxDepth=3, seed=1)}
+    found = []
+    for merged in (bins.mergeable, lambda estimator: False):
+        monkeypatch.setattr(models, "mergeable", merged)
+        scores = models.run_cv(df, "y", ["id"], task="regression", candidates=trees, folds=2)
+        found.append([(r.model, r.fold, r.train_score, r.val_score, r.error) for r in scores.orderBy("model", "fold").collect()])
+    assert [r[:2] + r[4:] for r in found[0]] == [r[:2] + r[4:] for r in found[1]] and len(found[0]) == 4
+    assert np.allclose([r[2:4] for r in found[0]], [r[2:4] for r in found[1]], rtol=1e-9, atol=0)
+
+
+def test_boosting_passes_over_bins_not_rows(spark, monkeypatch):
+    """What is fitted does not grow with the rows."""
+    seen = []
+    fit = mr.GBTRegressor.fit
+    monkeypatch.setattr(mr.GBTRegressor, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    df = spark.range(2000).select("id", (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("y"))
+    models.run_cv(df, "y", ["id"], task="regression", candidates={"boosted": mr.GBTRegressor(maxIter=2, maxDepth=2)}, folds=2)
+    assert seen == [7, 7]
