@@ -1,14 +1,18 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from millrace.operators.cluster.neighbors import knn_predict, pack_columns
 from millrace.operators.ml import evaluate as ev
 from millrace.operators.ml import bins, explain, models, prep
 from millrace.operators.ml.baseline import baseline, baseline_task
+from millrace.operators.ml.nearest import Nearest
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +172,40 @@ def test_boosting_passes_over_bins_not_rows(spark, monkeypatch):
     df = spark.range(2000).select("id", (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("y"))
     models.run_cv(df, "y", ["id"], task="regression", candidates={"boosted": mr.GBTRegressor(maxIter=2, maxDepth=2)}, folds=2)
     assert seen == [7, 7]
+
+
+def test_nearest_rows_as_a_model(spark):
+    """Mean and shares of the nearest rows against plain numpy; equal rows count as often as they come."""
+    rng = np.random.default_rng(6)
+    x, y, c = rng.normal(0, 1, (60, 2)), rng.normal(0, 1, 60), rng.integers(0, 3, 60)
+    rows = [(i, x[i].tolist(), float(y[i]), float(c[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, y double, c double").withColumn("features", array_to_vector("v"))
+    near = np.argsort(((x[:, None] - x[None, :40]) ** 2).sum(2), axis=1)[:, :5]
+    mean = {r.id: r.prediction for r in Nearest(labelCol="y").fit(df.where("id < 40")).transform(df).collect()}
+    assert np.allclose([mean[i] for i in range(60)], y[near].mean(1))
+    shares = {r.id: r for r in Nearest(labelCol="c", classes=True).fit(df.where("id < 40")).transform(df).collect()}
+    want = np.stack([np.bincount(c[n], minlength=3) / 5 for n in near])
+    assert np.allclose([shares[i].probability.toArray() for i in range(60)], want)
+    assert [shares[i].prediction for i in range(60)] == want.argmax(1).tolist()
+    copies = spark.createDataFrame([([0.0], 1.0)] * 3 + [([0.0], 3.0)] + [([9.0], 8.0)] * 4, "v array<double>, label double").select(array_to_vector("v").alias("features"), "label")
+    assert [r.prediction for r in Nearest(k=5).fit(copies).transform(copies.limit(1)).collect()] == [pytest.approx((1 + 1 + 1 + 3 + 8) / 5)]
+
+
+def test_registry_query_compares_every_model_on_all_folds(monkeypatch):
+    from millrace.queries import supervised
+
+    asked = []
+    monkeypatch.setattr(supervised, "price_features", lambda t: None)
+    monkeypatch.setattr(supervised.md, "run_cv", lambda *args, candidates, folds=5: asked.append((set(candidates), folds)) or SimpleNamespace(drop=lambda name: None))
+    supervised.g8_model_registry(None)
+    assert asked == [(set(models.models("regression")), 5)] and {"Random Forest", "Gradient Boosting", "KNN"} <= asked[0][0]
+
+
+def test_every_regression_model_has_its_fold_scores(spark):
+    df = spark.range(150).select("id", (F.col("id") % 11).cast("double").alias("a"), (F.col("id") % 5).cast("string").alias("b"), (F.col("id") % 11 * 2.0 + F.col("id") % 5).alias("y"))
+    small = models.models("regression")
+    small["Random Forest"].setNumTrees(3)
+    small["Gradient Boosting"].setMaxIter(2)
+    scores = models.run_cv(df, "y", ["id"], task="regression", candidates=small, folds=2).collect()
+    assert {(r.model, r.fold) for r in scores} == {(m, f) for m in small for f in (0, 1)}
+    assert all(r.error is None and r.val_score > 0.2 for r in scores)
