@@ -149,7 +149,7 @@ def test_swapped_columns_are_scored_in_one_pass(spark, monkeypatch):
 def test_merged_rows_fit_the_same_trees(spark, monkeypatch):
     """Trees and boosting by squared errors see one row for all rows of equal bins and score as on single rows."""
     rng = np.random.default_rng(4)
-    n = 1200
+    n = 26_000  # more rows to fit than thresholds are drawn from
     pdf = pd.DataFrame({"id": range(n), "a": rng.normal(0, 1, n), "b": rng.integers(0, 40, n).astype(float), "c": rng.choice(["x", "y"], n)})
     pdf["y"] = np.sin(pdf["a"]) * pdf["b"] + (pdf["c"] == "x") * 5 + rng.random(n)
     df = spark.createDataFrame(pdf)
